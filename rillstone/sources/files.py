@@ -33,6 +33,11 @@ def resolve_paths(spark: SparkSession, paths: Iterable[str]) -> tuple[list[str],
     return list(found), list(missing)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.getFileStatus(p).isDirectory()
+
+
 def split_columns(text: str) -> list[str]:
     """A comma list: trimmed, blanks ignored."""
     return [part.strip() for part in text.split(",") if part.strip()]
