@@ -48,14 +48,21 @@ def _by_brackets(
     for p in probs:
         edges += [max(0.0, p - slack), min(1.0, p + slack)]
     sketch = data.groupBy(*group).agg(
-        F.count("_v").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e")
+        F.count("_v").alias("_n"),
+        F.min("_v").alias("_min"),
+        F.max("_v").alias("_max"),
+        F.percentile_approx("_v", edges, accuracy).alias("_e"),
     )
 
+    # The sketch errs by n / accuracy ranks; three times that leaves two ranks to spare once a
+    # group has ``accuracy`` rows. A smaller group is ranked as a whole.
+    few = F.col("_n") < accuracy
+
     def low(i: int) -> Column:
-        return F.get("_e", F.lit(2 * i))
+        return F.when(few, F.col("_min")).otherwise(F.get("_e", F.lit(2 * i)))
 
     def high(i: int) -> Column:
-        return F.get("_e", F.lit(2 * i + 1))
+        return F.when(few, F.col("_max")).otherwise(F.get("_e", F.lit(2 * i + 1)))
 
     marked = join_null_safe(data, sketch, group).filter(F.col("_v").isNotNull())
     below = marked.groupBy(*group).agg(

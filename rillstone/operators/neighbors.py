@@ -170,8 +170,8 @@ def knn_classify(
     )
     best = F.min(F.struct((-F.col("n")).alias("less"), F.col("vote").alias("vote")))
     answer = votes.groupBy("id").agg(best.getField("vote").alias("prediction"))
-    here = asked.join(answer, F.col(key) == F.col("id")).select(*coords, "prediction")
-    return test.select(key, *place).join(here, list(coords)).select(key, "prediction")
+    here = asked.join(answer.withColumnRenamed("id", key), key).select(*coords, "prediction")
+    return test.select(key, *place).join(here, list(coords), "left").select(key, "prediction")
 
 
 # --- isolation forest ------------------------------------------------------------------------

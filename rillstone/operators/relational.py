@@ -86,7 +86,7 @@ def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     lo, hi = ends.getField("lo"), ends.getField("hi")
     place = F.floor(F.try_divide((F.col(value) - lo) * bins, hi - lo)).cast("int")
     binned = df.filter(F.col(value).isNotNull()).select(
-        F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)).alias("bin"), F.col(value).alias("v"), ends.alias("e")
+        F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).alias("bin"), ends.alias("e")
     )
     width = (F.col("hi") - F.col("lo")) / bins
     return (
