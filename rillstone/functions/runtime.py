@@ -52,3 +52,11 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows to all cores when a scan gives fewer tasks than there are cores, for work that is
+    heavy per row. A table of many files is left as it is, so nothing large is moved. For scans
+    and what is computed from them without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df

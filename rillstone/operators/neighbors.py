@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rillstone.functions.ordered import add_bucket, cut_points
 from rillstone.functions.runtime import cut_lineage
 
-SLAB_ROWS = 4000
+SLAB_ROWS = 2000
 BLOCK_CELLS = 4_000_000
 
 
@@ -58,10 +58,15 @@ def _search(k: int, d: int, same: bool):
             far = np.sqrt(far)
             if same:
                 far[block["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-            # Points are sorted by id and the sort is stable, so ties fall to the smaller id.
-            best = np.argsort(far, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(x)), best.shape[1])
-            cols = best.ravel()
+            # All points up to the k-th distance, then the first k of each row: points are sorted
+            # by id, so ties fall to the smaller id.
+            edge = min(k, len(points)) - 1
+            kth = np.partition(far, edge, axis=1)[:, edge]
+            rows, cols = np.nonzero(far <= kth[:, None])
+            order = np.lexsort((cols, far[rows, cols], rows))
+            rows, cols = rows[order], cols[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+            rows, cols = rows[place < k], cols[place < k]
             found = pd.DataFrame(
                 {"id": block["id"].to_numpy()[rows], "other": ids[cols], "distance": far[rows, cols]}
             )

@@ -9,6 +9,8 @@ from pyspark.ml.fpm import FPGrowth, PrefixSpan
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rillstone.functions.runtime import cut_lineage
+
 
 def _frequent_baskets(df: DataFrame, basket: str, item: str, least: int) -> DataFrame:
     """Baskets cut to frequent items. An item below the support is in no frequent set, so nothing
@@ -24,7 +26,8 @@ def _itemsets(df: DataFrame, basket: str, item: str, support: float) -> tuple[Da
     """Sorted item arrays with their counts, and the number of baskets."""
     n_baskets = df.select(basket, item).dropna().select(basket).distinct().count()
     least = max(1, ceil(support * n_baskets))
-    baskets = _frequent_baskets(df, basket, item, least)
+    # Counted once and read twice more by the growth of the trees.
+    baskets = cut_lineage(_frequent_baskets(df, basket, item, least))
     # Baskets without a frequent item are gone; the threshold must stay the same count.
     share = min(1.0, (least - 0.5) / max(1, baskets.count()))
     model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=0.0).fit(baskets)

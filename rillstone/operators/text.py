@@ -21,10 +21,9 @@ STOPWORDS = (
 
 
 def tokens(text: str | Column) -> Column:
-    """Lower-case runs of letters and digits."""
+    """Lower-case runs of letters and digits, in one pass of one pattern."""
     c = F.col(text) if isinstance(text, str) else text
-    spaced = F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    return F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), "")
 
 
 def without_stopwords(words: str | Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
@@ -46,11 +45,19 @@ def ngrams(words: str | Column, n: int = 2) -> Column:
 
 
 def term_counts(df: DataFrame, key: str, words: str) -> DataFrame:
-    """Bag of words in long form. All words of a document are in one row, so they are counted
-    before the shuffle."""
-    return df.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(
-        F.count("*").alias("n")
+    """Bag of words in long form, one row of ``df`` being one document. All words of a document
+    are in one row, so runs of the sorted list are counted there and nothing is shuffled."""
+    listed = df.select(key, F.sort_array(words).alias("_w"))
+    changed = F.transform(
+        "_w", lambda w, i: F.when((i == 0) | (w != F.get("_w", F.greatest(i - 1, F.lit(0)))), i)
+    )
+    starts = listed.select(key, "_w", F.array_compact(changed).alias("_a"))
+    ends = F.concat(F.slice("_a", 2, F.greatest(F.size("_a") - 1, F.lit(0))), F.array(F.size("_w")))
+    runs = F.zip_with(
+        "_a", ends, lambda a, b: F.struct(F.get("_w", a).alias("term"), (b - a).cast("bigint").alias("n"))
     )
+    # No filter on the list: it would be pushed down and the words made a second time there.
+    return starts.select(key, F.inline(F.when(F.size("_a") > 0, runs)))
 
 
 def ngram_counts(df: DataFrame, words: str, n: int = 2) -> DataFrame:

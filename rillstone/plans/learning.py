@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rillstone.functions.columns import rounded
-from rillstone.functions.runtime import scratch_path
+from rillstone.functions.runtime import scratch_path, spread
 from rillstone.operators import density, evaluate, models, neighbors, vectors
 from rillstone.plans.registry import Tables, query, r
 from rillstone.streaming import daily as stream
@@ -41,8 +41,8 @@ def lof(t: Tables) -> DataFrame:
 @query("isolation_forest")
 def isolation_forest(t: Tables) -> DataFrame:
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
-    df = t.lineitem.withColumn("id", key)
-    return neighbors.isolation_forest(df, "id", ["l_quantity", "l_extendedprice", "l_discount"])
+    columns = ["l_quantity", "l_extendedprice", "l_discount"]
+    return neighbors.isolation_forest(spread(t.lineitem.select(key.alias("id"), *columns)), "id", columns)
 
 
 _EPS = 0.35

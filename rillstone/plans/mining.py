@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rillstone.functions.columns import rounded
+from rillstone.functions.runtime import spread
 from rillstone.operators import evaluate, patterns, privacy, text
 from rillstone.plans.registry import Tables, query, r
 
@@ -14,7 +15,9 @@ STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 
 
 def words(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.tokens("text").alias("words"))
+    return spread(t.documents.select("doc_id", "text")).select(
+        "doc_id", text.tokens("text").alias("words")
+    )
 
 
 @query("tokenize", f"select doc_id, len(words)::int as n, array_to_string(words, ' ') as words from {TOKENS}")
@@ -130,7 +133,8 @@ def stratified_split(t: Tables) -> DataFrame:
 
 @query("bootstrap_ci")
 def bootstrap_ci(t: Tables) -> DataFrame:
-    return evaluate.bootstrap_mean(t.events, "value", "event_id", ["event_type"])
+    df = spread(t.events.select("event_id", "event_type", "value"))
+    return evaluate.bootstrap_mean(df, "value", "event_id", ["event_type"])
 
 
 @query(
