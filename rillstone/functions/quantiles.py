@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rillstone.functions.columns import join_null_safe
-from rillstone.functions.ordered import largest_group
+from rillstone.functions.ordered import largest_group, running_totals
+from rillstone.functions.runtime import cut_lineage
 
 SMALL_GROUP = 2_000_000
 
@@ -47,11 +48,14 @@ def _by_brackets(
     edges: list[float] = []
     for p in probs:
         edges += [max(0.0, p - slack), min(1.0, p + slack)]
-    sketch = data.groupBy(*group).agg(
-        F.count("_v").alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", edges, accuracy).alias("_e"),
+    # One row per group, read by both passes below.
+    sketch = cut_lineage(
+        data.groupBy(*group).agg(
+            F.count("_v").alias("_n"),
+            F.min("_v").alias("_min"),
+            F.max("_v").alias("_max"),
+            F.percentile_approx("_v", edges, accuracy).alias("_e"),
+        )
     )
 
     # The sketch errs by n / accuracy ranks; three times that leaves two ranks to spare once a
@@ -87,18 +91,15 @@ def _by_brackets(
         .groupBy(*group, "_i", "_v")
         .agg(F.count("*").alias("_c"))
     )
-    upto = (
-        Window.partitionBy(*group, "_i")
-        .orderBy("_v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = join_null_safe(inside.withColumn("_upto", F.sum("_c").over(upto)), below, group)
+    # A small share of the rows; ranked in two levels should it still be large.
+    ranks = running_totals(cut_lineage(inside), [*group, "_i"], "_v", ["_c"])
+    ranked = join_null_safe(ranks, below, group)
 
     picks = []
     for i, p in enumerate(probs):
         place = (F.col("_n") - 1) * F.lit(float(p))
         mine = F.col("_i") == i
-        end = F.col(f"_below{i}") + F.col("_upto")
+        end = F.col(f"_below{i}") + F.col("cum__c")
         start = end - F.col("_c")
         for tag, rank in (("a", F.floor(place)), ("b", F.ceil(place))):
             picks.append(

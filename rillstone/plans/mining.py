@@ -93,12 +93,12 @@ def lda_topics(t: Tables) -> DataFrame:
 # --- scores ----------------------------------------------------------------------------------
 
 # A score from the length of a text, with ties, and the verdict at one half.
-SCORED = """(select doc_id, lang, source, quality, toxic, least(round(n_chars / 4000.0, 2), 1.0)::double as score,
+SCORED = """(select doc_id, lang, source, quality, toxic, least((n_chars // 40) / 100.0::double, 1.0::double) as score,
     case when n_chars >= 2000 then 1 else 0 end as predicted from documents join labels using (doc_id))"""
 
 
 def scored(t: Tables) -> DataFrame:
-    score = F.least(F.round(F.col("n_chars") / 4000.0, 2), F.lit(1.0))
+    score = F.least(F.floor(F.col("n_chars") / 40) / 100.0, F.lit(1.0))
     return t.documents.join(t.labels, "doc_id").select(
         "doc_id", "lang", "source", "quality", "toxic", score.alias("score"),
         (F.col("n_chars") >= 2000).cast("int").alias("predicted"),
@@ -329,7 +329,12 @@ def dp_count(t: Tables) -> DataFrame:
 BASKETS = "(select distinct l_orderkey as o, p_brand as b from lineitem join part on p_partkey = l_partkey)"
 _SETS = f"""n as (select count(distinct o) as n from {BASKETS}),
     one as (select b, count(*) as n from {BASKETS} group by 1),
-    two as (select x.b as a, y.b as b, count(*) as n from {BASKETS} x join {BASKETS} y on x.o = y.o and x.b < y.b group by 1, 2)"""
+    two as (select x.b as a, y.b as b, count(*) as n from {BASKETS} x join {BASKETS} y on x.o = y.o and x.b < y.b group by 1, 2),
+    three as (select x.b as a, y.b as b, z.b as c, count(*) as n from {BASKETS} x join {BASKETS} y on x.o = y.o and x.b < y.b
+      join {BASKETS} z on x.o = z.o and y.b < z.b group by 1, 2, 3),
+    sets as (select b as itemset, 1::bigint as size, one.n from one, n where one.n >= 0.01 * n.n
+      union all select a || ',' || b, 2, two.n from two, n where two.n >= 0.01 * n.n
+      union all select a || ',' || b || ',' || c, 3, three.n from three, n where three.n >= 0.01 * n.n)"""
 
 
 def baskets(t: Tables) -> DataFrame:
@@ -338,23 +343,21 @@ def baskets(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    "frequent_itemsets",
-    f"""with {_SETS} select b as itemset, 1::bigint as size, one.n from one, n where one.n >= 0.01 * n.n
-        union all select a || ',' || b, 2, two.n from two, n where two.n >= 0.01 * n.n""",
-)
+@query("frequent_itemsets", f"with {_SETS} select itemset, size, n from sets")
 def frequent_itemsets(t: Tables) -> DataFrame:
-    """At this support no three brands are frequent, which the SQL relies on."""
+    """At this support no four brands are frequent, which the SQL relies on."""
     return patterns.frequent_itemsets(baskets(t), "basket", "brand", 0.01)
 
 
 @query(
     "association_rules",
-    f"""with {_SETS}, dir as (select a, b, n from two union all select b, a, n from two)
-      select d.a as antecedent, d.b as consequent, {r('d.n / n.n', 6)} as support, {r('d.n / x.n', 6)} as confidence,
+    f"""with {_SETS}, dir as (select a as l, b as r, n from two union all select b, a, n from two
+        union all select b || ',' || c, a, n from three union all select a || ',' || c, b, n from three
+        union all select a || ',' || b, c, n from three)
+      select d.l as antecedent, d.r as consequent, {r('d.n / n.n', 6)} as support, {r('d.n / x.n', 6)} as confidence,
         {r('(d.n / x.n) / (y.n / n.n)', 6)} as lift, {r('(1 - y.n / n.n) / nullif(1 - d.n / x.n, 0)', 6)} as conviction
-      from dir d join one x on x.b = d.a join one y on y.b = d.b, n
-      where d.n >= 0.01 * n.n and x.n >= 0.01 * n.n and y.n >= 0.01 * n.n and d.n / x.n >= 0.12""",
+      from dir d join sets x on x.itemset = d.l join sets y on y.itemset = d.r, n
+      where d.n >= 0.01 * n.n and d.n / x.n >= 0.12""",
 )
 def association_rules(t: Tables) -> DataFrame:
     return rounded(patterns.association_rules(baskets(t), "basket", "brand", 0.01, 0.12), 6)
@@ -439,7 +442,7 @@ def spatial_cells(t: Tables) -> DataFrame:
 @query(
     "yearly_trend",
     f"""with y as (select o_orderstatus, year(o_orderdate)::int as year, count(*) as n, avg(o_totalprice) as mean from orders group by 1, 2)
-        select o_orderstatus, year, n, {r('mean')} as mean, {r('mean - lag(mean) over (partition by o_orderstatus order by year)')} as change from y""",
+        select o_orderstatus, year, n, {r('mean', 6)} as mean, {r('mean - lag(mean) over (partition by o_orderstatus order by year)', 6)} as change from y""",
 )
 def yearly_trend(t: Tables) -> DataFrame:
-    return rounded(patterns.yearly_trend(t.orders, "o_orderdate", "o_totalprice", ["o_orderstatus"]))
+    return rounded(patterns.yearly_trend(t.orders, "o_orderdate", "o_totalprice", ["o_orderstatus"]), 6)

@@ -524,7 +524,7 @@ def daily_features_holes(t: Tables) -> DataFrame:
     f"""with s as (select site_no, time, date_diff('microsecond', lag(time) over (partition by site_no order by time), time) as d
         from {SERIES})
       select site_no, count(*)::double as count, min(time) as start, max(time) as "end",
-        {r('median(d) / 1e6')} as median_step_sec, {r('max(d) / 1e6')} as max_gap_sec,
+        {r('median(d) / 1e6', 7)} as median_step_sec, {r('max(d) / 1e6', 7)} as max_gap_sec,
         {r("1 - count(*) / nullif(date_diff('microsecond', min(time), max(time)) / 1e6 / 900, 0)", 6)} as pct_missing_vs_15min
       from s group by site_no""",
 )
@@ -535,8 +535,8 @@ def gap_summary(t: Tables) -> DataFrame:
 def _gaps(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
-            "median_step_sec": F.round("median_step_sec", 4) + F.lit(0.0),
-            "max_gap_sec": F.round("max_gap_sec", 4) + F.lit(0.0),
+            "median_step_sec": F.round("median_step_sec", 7) + F.lit(0.0),
+            "max_gap_sec": F.round("max_gap_sec", 7) + F.lit(0.0),
             "pct_missing_vs_15min": F.round("pct_missing_vs_15min", 6) + F.lit(0.0),
         }
     )
@@ -547,7 +547,7 @@ def _gaps(df: DataFrame) -> DataFrame:
     f"""with l as (select cast(user_id as varchar) as site_no, ts as time, timezone('America/Denver', timezone('UTC', ts + interval 60 day)) as w from events),
       s as (select site_no, w, date_diff('microsecond', lag(w) over (partition by site_no order by time), w) as d from l)
       select site_no, count(*)::double as count, min(w) as start, max(w) as "end",
-        {r('median(d) / 1e6')} as median_step_sec, {r('max(d) / 1e6')} as max_gap_sec,
+        {r('median(d) / 1e6', 7)} as median_step_sec, {r('max(d) / 1e6', 7)} as max_gap_sec,
         {r("1 - count(*) / nullif(date_diff('microsecond', min(w), max(w)) / 1e6 / 900, 0)", 6)} as pct_missing_vs_15min
       from s group by site_no""",
 )

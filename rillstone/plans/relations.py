@@ -134,13 +134,13 @@ UNITS = {"AUTOMOBILE": 0.0283168, "BUILDING": 1.0, "FURNITURE": 448.831, "HOUSEH
 
 @query(
     "unit_convert",
-    f"""select c_custkey, c_mktsegment, {r('c_acctbal * f', 3)} as converted from customer left join (values
+    f"""select c_custkey, c_mktsegment, {r('c_acctbal * f', 6)} as converted from customer left join (values
         {', '.join(f"('{k}', {v}::double)" for k, v in UNITS.items())}) u(s, f) on s = c_mktsegment""",
 )
 def unit_convert(t: Tables) -> DataFrame:
     df = t.customer.select("c_custkey", "c_mktsegment", "c_acctbal")
     out = relational.convert_units(df, "c_acctbal", "c_mktsegment", UNITS, "converted")
-    return rounded(out.drop("c_acctbal"), 3)
+    return rounded(out.drop("c_acctbal"), 6)
 
 
 @query(
@@ -199,13 +199,13 @@ for _kind in _SCALE:
     "robust_z",
     f"""with m as (select event_type, median(value) as m from events group by 1),
         d as (select event_type, median(abs(value - m)) as mad from events join m using (event_type) group by 1)
-        select event_id, event_type, value, {r('0.6745 * (value - m) / nullif(mad, 0)')} as robust_z
+        select event_id, event_type, value, {r('0.6745::double * (value - m) / nullif(mad, 0)', 8)} as robust_z
         from events join m using (event_type) join d using (event_type)""",
 )
 def robust_z(t: Tables) -> DataFrame:
     df = t.events.select("event_id", "event_type", "value")
     return df.transform(lambda x: timeseries.robust_z(x, "value", ["event_type"])).withColumn(
-        "robust_z", F.round("robust_z", 4) + F.lit(0.0)
+        "robust_z", F.round("robust_z", 8) + F.lit(0.0)
     )
 
 
