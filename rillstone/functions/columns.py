@@ -23,6 +23,13 @@ def null_nans(df: DataFrame) -> DataFrame:
     return df.withColumns({n: nan_to_null(n) for n in floats}) if floats else df
 
 
+def strict_cast(text: Column, kind: str | T.DataType) -> Column:
+    """Text to a type; text that does not fit fails the job whatever the session's ANSI setting."""
+    value = text.try_cast(kind)
+    message = F.concat(F.lit("not a valid value: "), text)
+    return F.when(text.isNotNull() & value.isNull(), F.raise_error(message)).otherwise(value)
+
+
 def decode_reading(
     c: str | Column, on_bad: str = "raise", no_data: Sequence[float] = ()
 ) -> Column:
@@ -30,7 +37,7 @@ def decode_reading(
     if on_bad not in ("raise", "null"):
         raise ValueError("on_bad is 'raise' or 'null'")
     text = F.nullif(col(c), F.lit(""))
-    number = text.cast("double") if on_bad == "raise" else text.try_cast("double")
+    number = strict_cast(text, "double") if on_bad == "raise" else text.try_cast("double")
     number = nan_to_null(number)
     return F.when(~number.isin(*no_data), number) if no_data else number
 

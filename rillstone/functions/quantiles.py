@@ -73,23 +73,14 @@ def _by_brackets(
         F.first("_n").alias("_n"),
         *[F.count_if(F.col("_v") < low(i)).alias(f"_below{i}") for i in range(len(probs))],
     )
-    inside = (
-        marked.select(
-            *group,
-            "_v",
-            F.explode(
-                F.array_compact(
-                    F.array(
-                        *[
-                            F.when(F.col("_v").between(low(i), high(i)), F.lit(i))
-                            for i in range(len(probs))
-                        ]
-                    )
-                )
-            ).alias("_i"),
-        )
-        .groupBy(*group, "_i", "_v")
-        .agg(F.count("*").alias("_c"))
+    # Equal values are counted before anything is repeated for each bracket.
+    anywhere = F.lit(False)
+    for i in range(len(probs)):
+        anywhere = anywhere | F.col("_v").between(low(i), high(i))
+    values = marked.filter(anywhere).groupBy(*group, "_v").agg(F.count("*").alias("_c"))
+    hits = [F.when(F.col("_v").between(low(i), high(i)), F.lit(i)) for i in range(len(probs))]
+    inside = join_null_safe(values, sketch, group).select(
+        *group, "_v", "_c", F.explode(F.array_compact(F.array(*hits))).alias("_i")
     )
     # A small share of the rows; ranked in two levels should it still be large.
     ranks = running_totals(cut_lineage(inside), [*group, "_i"], "_v", ["_c"])

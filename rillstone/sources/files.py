@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from rillstone.functions.columns import strict_cast
+
 # Cell texts read as missing.
 NULL_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -100,7 +102,8 @@ def read_csv(
         c = F.col(f"`{f.name}`")
         probe = c if isinstance(f.dataType, T.StringType) else F.trim(c)
         kept = F.when(~probe.isin(*null_tokens), probe) if null_tokens else probe
-        return kept.cast(f.dataType).alias(f.name)
+        typed_value = kept if isinstance(f.dataType, T.StringType) else strict_cast(kept, f.dataType)
+        return typed_value.alias(f.name)
 
     return raw.select(*[typed(declared[c]) for c in wanted])
 

@@ -113,8 +113,11 @@ def test_malformed_payload_fails(spark):
 def test_decode_policies(spark):
     df = spark.createDataFrame([("1.5",), ("Ice",), ("NaN",)], "v string")
     assert [r[0] for r in df.select(decode_reading("v", "null")).collect()] == [1.5, None, None]
-    with pytest.raises(Exception):
-        df.select(decode_reading("v")).collect()
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        with pytest.raises(Exception, match="not a valid value: Ice"):
+            df.select(decode_reading("v")).collect()
+    spark.conf.unset("spark.sql.ansi.enabled")
     with pytest.raises(ValueError):
         decode_reading("v", "ignore")
 
