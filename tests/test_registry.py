@@ -15,7 +15,7 @@ def test_entry_points(spark):
     entry = importlib.import_module("__spark_entry__")
     df = entry.entry(spark)
     assert df.count() > 0 and "discharge_cfs_mean_z" in df.columns
-    assert set(entry.oracle_sql()) <= set(entry.queries()) == set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries()) >= set(QUERIES)
 
 
 # Models fit when a query is built, which takes long; their plans are not looked at here.
