@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillstone.functions.runtime import use_utc
-from rillstone.llm import minhash_dedup, rotation_codes
+from rillstone.functions.runtime import scratch_path, use_utc
+from rillstone.llm import bpe, fair_mix, minhash_dedup, rotation_codes, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +26,26 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES.update({f.__name__: f for f in (op6_embedding_near_dedup, op10_minhash_near_dedup)})
+
+
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_files.write_token_files(_table(spark, folder, "documents"), _vocabulary(), path, end_id=1)
+    return token_files.read_documents(spark, path)
+
+
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encoded_digests(_table(spark, folder, "documents"), _vocabulary())
+
+
+def op9_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return fair_mix.mix(_table(spark, folder, "documents"), weights=(3, 1, 2), share=1.5, repeats=2)
+
+
+QUERIES.update({f.__name__: f for f in (op4_token_files, op5_bpe, op9_fair_mix)})
