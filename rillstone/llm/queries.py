@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rillstone.functions.runtime import scratch_path, use_utc
-from rillstone.llm import bpe, fair_mix, minhash_dedup, rotation_codes, token_files
+from rillstone.llm import bpe, fair_mix, minhash_dedup, multiset_hash, rotation_codes, token_files, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,14 @@ def op9_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES.update({f.__name__: f for f in (op4_token_files, op5_bpe, op9_fair_mix)})
+
+
+def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judge(_table(spark, folder, "pages"), url_rules.RULES)
+
+
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return multiset_hash.edited_likeness(_table(spark, folder, "documents"))
+
+
+QUERIES.update({f.__name__: f for f in (op7_url_filters, op8_fingerprints)})
