@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rillstone.functions.runtime import scratch_path, use_utc
-from rillstone.llm import bpe, fair_mix, minhash_dedup, multiset_hash, rotation_codes, token_files, url_rules
+from rillstone.llm import (
+    bpe, fair_mix, minhash_dedup, multiset_hash, quality_gam, rotation_codes, substring_dedup, token_files, toxicity,
+    url_rules,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +63,20 @@ def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES.update({f.__name__: f for f in (op7_url_filters, op8_fingerprints)})
+
+
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.repeated_spans(_table(spark, folder, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _table(spark, folder, "labels")))
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return quality_gam.score(docs, quality_gam.learn(docs, _table(spark, folder, "labels")))
+
+
+QUERIES.update({f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_quality)})
