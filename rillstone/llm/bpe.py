@@ -18,6 +18,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -149,12 +150,26 @@ def encoder(path: str) -> Encoder:
 
 
 def encode_texts(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded``: ids in decimal and the decoded text, for every row of ``docs``."""
-    return _run(docs, vocabulary, lambda ids, text: (ids, text), "ids string, decoded string", ["ids", "decoded"])
+    """``doc_id, n_tokens, ids`` for every row of ``docs``."""
+    return _run(docs, vocabulary, lambda ids, _: (np.fromstring(ids, np.int32, sep=" "),), "ids array<int>", ["ids"])
+
+
+def decode_ids(tokens: DataFrame, vocabulary: str) -> DataFrame:
+    """``doc_id, decoded`` for every row of ``tokens(doc_id, ids)``; null for null ids. An id that the vocabulary does
+    not have raises."""
+
+    def run(batches):
+        coder = encoder(vocabulary)
+        for rows in batches:
+            texts = [None if ids is None else coder.decode(ids) for ids in rows["ids"]]
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "decoded": pd.Series(texts, dtype=object, index=rows.index)})
+
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.select("doc_id", "ids").mapInPandas(run, f"doc_id {kind}, decoded string")
 
 
 def encoded_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of what ``encode_texts`` gives, which is not kept."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the decimal ids and of what they decode to."""
     def sha(x: str) -> str:
         return hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
 

@@ -47,9 +47,11 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, repeats: flo
 
 
 def mix(
-    docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17
+    docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17,
+    keep_source: bool = False,
 ) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row of ``docs(doc_id, text, source)``."""
+    """``doc_id, size, source_size, target, taken``, and ``source`` if asked for, of every row of
+    ``docs(doc_id, text, source)``."""
     sizes = written(
         docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
         .withColumn("ticket", F.xxhash64(F.lit(seed), "doc_id", "size")),
@@ -72,7 +74,7 @@ def mix(
     )
     done = written(
         placed.select(
-            "doc_id", "size", "source_size", "target", "number", "ticket", (F.col("_in") + F.col("_before")).alias("ends")
+            "doc_id", "source", "size", "source_size", "target", "number", "ticket", (F.col("_in") + F.col("_before")).alias("ends")
         ),
         "order",
     )
@@ -109,4 +111,17 @@ def mix(
         )
         taken = sum((F.when(point(c) < end, F.col("size")).otherwise(F.lit(0)) for c in range(repeats)), F.lit(0))
         taken = F.when((F.col("size") > 0) & (F.col("target") > 0), taken).otherwise(F.lit(0))
-    return done.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    more = ["source"] if keep_source else []
+    return done.select("doc_id", *more, "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, repeats: int = 2) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it is taken, with all columns. Rows with the same id
+    and source are taken alike, as often as the one that is taken most. Rows without words are kept once."""
+    sized = mix(docs, weights, share, repeats, keep_source=True)
+    times = sized.groupBy(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source")).agg(
+        F.max(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1)).cast("int").alias("_times")
+    )
+    same = docs["doc_id"].eqNullSafe(times["_mix_id"]) & docs["source"].eqNullSafe(times["_mix_source"])
+    often = F.explode(F.array_repeat(F.lit(0), times["_times"])).alias("_copy")
+    return docs.join(times, same).select(*(docs[c] for c in docs.columns), often).drop("_copy")
