@@ -6,7 +6,7 @@ Chunks are counted by digest over all documents. Neighbouring chunks that occur
 enough bytes are reported; of each chunk the first occurrence, by ``doc_id`` and place, is kept.
 
 Defined cases: a null or empty text has no chunks. Text without blanks is cut every ``MOST`` bytes, at a character.
-Rows with the same ``doc_id`` and text are one document; rows without ``doc_id`` are neither searched nor changed.
+Rows with the same ``doc_id`` are taken for the same document; rows without ``doc_id`` are neither searched nor changed.
 """
 
 from __future__ import annotations
@@ -73,7 +73,8 @@ def chunk_digests(b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """``doc_id, one, two, ends``: digests and ends of the chunks of each document."""
+    """``doc_id, one, two, ends, again``: of the chunks of each document the digest in two parts, the ends, and whether
+    the document has had the chunk before."""
 
     def run(batches):
         for rows in batches:
@@ -82,13 +83,16 @@ def chunks(docs: DataFrame) -> DataFrame:
                 for t in rows["text"].iloc[i : i + 512]:
                     b = np.frombuffer(as_bytes(t), np.uint8)
                     c = cuts(b) if len(b) else np.zeros(1, np.int64)
-                    out.append((*chunk_digests(b, c), c[1:]))
-                frame = pd.DataFrame(out, columns=["one", "two", "ends"])
+                    one, two = chunk_digests(b, c)
+                    again = np.ones(len(one), bool)
+                    again[np.unique(one ^ two, return_index=True)[1]] = False
+                    out.append((one, (two >> 32).astype(np.int32), c[1:], again))
+                frame = pd.DataFrame(out, columns=["one", "two", "ends", "again"])
                 frame.insert(0, "doc_id", rows["doc_id"].iloc[i : i + 512].to_numpy())
                 yield frame
 
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    return read.mapInPandas(run, "doc_id long, one array<long>, two array<long>, ends array<long>")
+    return read.mapInPandas(run, "doc_id long, one array<long>, two array<int>, ends array<int>, again array<boolean>")
 
 
 def repeated_spans(docs: DataFrame, least: int = 64) -> DataFrame:
@@ -96,24 +100,27 @@ def repeated_spans(docs: DataFrame, least: int = 64) -> DataFrame:
     that occur more than once in ``docs(doc_id, text)``. ``kept`` spans are first occurrences, the others repeat
     text of which ``first_doc_id`` has a first occurrence."""
     held = written(chunks(docs), "chunks")
-    each = held.select("doc_id", F.posexplode(F.arrays_zip("one", "two", "ends")).alias("k", "c"), "ends").select(
-        "doc_id", "k", F.col("c.one").alias("one"), F.col("c.two").alias("two"), F.col("c.ends").alias("end"),
-        F.when(F.col("k") > 0, F.element_at("ends", F.col("k"))).otherwise(0).alias("start"),
+    each = held.select("doc_id", "ends", F.posexplode(F.arrays_zip("one", "two", "again")).alias("k", "c"))
+    counted = each.groupBy("c.one", "c.two").agg(
+        F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last"), F.max("c.again").alias("_again")
     )
-    place = F.struct("doc_id", "start")
-    counted = each.groupBy("one", "two").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    often = counted.filter("first != last").select("one", "two", "first")
-    occurring = each.join(often, ["one", "two"]).select(
-        "doc_id", "k", "start", "end", (place == F.col("first")).alias("kept"), F.col("first.doc_id").alias("first_doc_id")
-    ).dropDuplicates(["doc_id", "k", "end"])
-    # chunks that follow each other have the same difference to their rank
+    often = counted.filter("first_doc_id < _last OR _again").select("one", "two", "first_doc_id")
+    end = F.element_at("ends", F.col("k") + 1)
+    placed = each.select(
+        "doc_id", "k", "c.one", "c.two", "c.again", end.alias("end"),
+        F.when(F.col("k") > 0, end - F.element_at("ends", F.greatest(F.col("k"), F.lit(1)))).otherwise(end).alias("size"),
+    )
+    occurring = placed.join(often, ["one", "two"]).select(
+        "doc_id", "k", "end", "size", (~F.col("again") & (F.col("doc_id") == F.col("first_doc_id"))).alias("kept"), "first_doc_id"
+    )
+    # chunks that follow each other have the same difference to their rank, and repeated rows have the same rank
     order = Window.partitionBy("doc_id", "kept").orderBy("k")
-    runs = occurring.withColumn("run", F.col("k") - F.row_number().over(order))
+    runs = occurring.withColumn("run", F.col("k") - F.dense_rank().over(order))
     return (
         runs.groupBy("doc_id", "kept", "run")
         .agg(
-            F.min("start").alias("first_byte"), F.max("end").alias("end_byte"), F.count("*").alias("n_chunks"),
-            F.min("first_doc_id").alias("first_doc_id"),
+            F.min(F.col("end") - F.col("size")).cast("long").alias("first_byte"), F.max("end").cast("long").alias("end_byte"),
+            (F.max("k") - F.min("k") + 1).cast("long").alias("n_chunks"), F.min("first_doc_id").alias("first_doc_id"),
         )
         .filter(F.col("end_byte") - F.col("first_byte") >= least)
         .select("doc_id", "first_byte", "end_byte", "n_chunks", "kept", "first_doc_id")
