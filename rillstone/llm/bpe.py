@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 WORD_END = "</w>"
 #: Pieces a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 #: Unicode white space.
 _BLANK = "\t-\r \x85\xa0  -     　"
 #: Letters with marks of their own, where neither composition nor lower case needs a look at the neighbours.
@@ -46,7 +46,7 @@ _FULL = regex.compile(rf"{_ENDINGS}|\p{{L}}+|\p{{N}}|[^{_BLANK}\p{{L}}\p{{N}}]+"
 
 def plain(text: str) -> bool:
     """Whether the short way of ``pieces`` gives what the long one does."""
-    return _PLAIN.fullmatch(text) is not None and "<|" not in text
+    return "<|" not in text and _PLAIN.fullmatch(text) is not None
 
 
 def short_pieces(text: str) -> list[str]:

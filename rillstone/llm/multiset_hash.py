@@ -79,16 +79,21 @@ def _run_number(bounds: list[int], doc_id: Column) -> Column:
     return F.when(doc_id.isNull(), F.lit(len(bounds) + 1)).otherwise(F.when(coarse == 0, F.lit(0)).otherwise(start + fine))
 
 
+def id_runs(docs: DataFrame) -> Column:
+    """The number of the run of neighbouring ids that ``doc_id`` is in, ascending; null ids have the last. Its bounds
+    come from one pass over the ids, and there are at most ``MOST_RUNS``."""
+    ids = docs.select(F.col("doc_id").cast("long"))
+    runs = min(MOST_RUNS, max(1, -(-ids.count() // RUN)))
+    cuts = ids.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], 100_000)).first()[0] if runs > 1 else []
+    bounds = sorted(set(cuts or []))
+    return _run_number(bounds, F.col("doc_id")) if bounds else F.when(F.col("doc_id").isNull(), 1).otherwise(0)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """``run, place, doc_id, text, next_text``: each text with the one of the next id, after the last the first. Ids
     are cut into runs; texts are shuffled once, and the first row of a run is also sent to the run before."""
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    count = docs.count()
-    runs = min(MOST_RUNS, max(1, -(-count // RUN)))
-    cuts = base.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)] or [0.5], 100_000)).first()[0] or []
-    bounds = sorted(set(cuts)) if runs > 1 else []
-    run = _run_number(bounds, F.col("doc_id")) if bounds else F.when(F.col("doc_id").isNull(), 1).otherwise(0)
-    base = base.withColumn("run", run)
+    base = base.withColumn("run", id_runs(docs))
     first = written(base.groupBy("run").agg(F.min("doc_id").alias("_first")), "runs")
     around = Window.orderBy("run")
     last_run = F.max("run").over(Window.partitionBy(F.lit(1)))

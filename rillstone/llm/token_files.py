@@ -7,7 +7,7 @@ beside the files has the number of ids in each file. Files are Parquet tables of
 store that Spark reaches.
 
 Defined cases: a null text is an empty one; a document without tokens is its end id alone. Rows without ``doc_id`` come
-first, repeated ids stay together. An empty table gives no blocks.
+last, repeated ids stay together. An empty table gives no blocks.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rillstone.llm import bpe
+from rillstone.llm.multiset_hash import id_runs
 
 #: Ids in a block, unless one document has more.
 BLOCK = 1 << 16
+#: Pieces a worker remembers.
+REMEMBERED = 1_000_000
 BLOCKS = "file int, first_id long, at long, width int, doc_ids binary, no_id binary, counts binary, packed binary"
 
 
@@ -35,12 +37,19 @@ def width_of(vocabulary_size: int) -> int:
 
 def pack(ids: np.ndarray, width: int) -> bytes:
     """Each id in ``width`` bits, most significant first."""
+    if width % 8 == 0:  # whole bytes
+        return ids.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - width // 8 :].tobytes()
     bits = np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
     return np.packbits(bits).tobytes()
 
 
 def unpack(packed: bytes, width: int, first: int, count: int) -> np.ndarray:
     """``count`` ids from position ``first`` on."""
+    if width % 8 == 0:
+        size = width // 8
+        out = np.zeros((count, 4), np.uint8)
+        out[:, 4 - size :] = np.frombuffer(packed, np.uint8, count * size, first * size).reshape(count, size)
+        return out.view(">u4").ravel().astype(np.uint32)
     lead = first * width
     raw = np.frombuffer(packed, np.uint8, count=-(-(lead % 8 + count * width) // 8), offset=lead // 8)
     bits = np.unpackbits(raw)[lead % 8 : lead % 8 + count * width].reshape(count, width)
@@ -69,13 +78,13 @@ class _Library:
         known = self.known
         for i in range(0, len(texts), 256):  # a part of the batch at a time
             split = {k: bpe.short_pieces(texts[k]) for k in range(i, min(i + 256, len(texts))) if plain[k]}
-            if len(known) > bpe.REMEMBERED:
+            if len(known) > REMEMBERED:
                 known.clear()
-            new = list({p for s in split.values() for p in s if p not in known})
+            new = list(set().union(*split.values()).difference(known))
             for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 known[p] = np.array(e.ids, np.uint32).tobytes()
             for k, s in split.items():
-                out[k] = np.frombuffer(b"".join([known[p] for p in s]), np.uint32)
+                out[k] = np.frombuffer(b"".join(map(known.__getitem__, s)), np.uint32)
         rest = [k for k, p in enumerate(plain) if not p]
         for k, e in zip(rest, self.library.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, np.uint32)
@@ -87,7 +96,7 @@ def _library(path: str) -> _Library:
     return _Library(path)
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int, files: int | None = None) -> None:
+def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int) -> None:
     """Encode ``docs(doc_id, text)``, append ``end_id`` to each and write the blocks to ``path/blocks`` and the
     number of ids in each file to ``path/files``."""
 
@@ -105,8 +114,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int,
 
     def block(batches):
         """Documents in order, as they come, into blocks."""
-        width, number = width_of(_library(vocabulary).size), TaskContext.get().partitionId()
-        at, held, total = 0, [], 0
+        width = width_of(_library(vocabulary).size)
+        number, at, held, total = -1, 0, [], 0
 
         def done():
             ids = np.concatenate([unpack(p, width, 0, n) for _, n, p in held])
@@ -119,10 +128,12 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int,
             )], columns=["file", "first_id", "at", "width", "doc_ids", "no_id", "counts", "packed"])
 
         for rows in batches:
-            for d, n, p in zip(rows["doc_id"].astype("Int64"), rows["n"].tolist(), rows["packed"], strict=True):
-                if held and total + n > BLOCK:
+            for run, d, n, p in zip(rows["run"], rows["doc_id"].astype("Int64"), rows["n"].tolist(), rows["packed"], strict=True):
+                if held and (total + n > BLOCK or run != number):
                     yield done()
                     at, held, total = at + total, [], 0
+                if run != number:
+                    number, at = run, 0
                 held.append((d, n, p))
                 total += n
         if held:
@@ -130,8 +141,9 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int,
 
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     coded = read.mapInPandas(encode, "doc_id long, n long, packed binary")
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("packed")]
-    spread = coded.repartitionByRange(*([files] if files else []), *order)
+    # one file for each run of neighbouring ids; a run is whole in a task, in order
+    spread = coded.withColumn("run", id_runs(docs)).repartition("run")
+    order = ["run", F.col("doc_id").asc_nulls_first(), F.xxhash64("packed")]
     blocks = spread.sortWithinPartitions(*order).mapInPandas(block, BLOCKS)
     blocks.write.parquet(f"{path}/blocks")
     written = docs.sparkSession.read.schema(BLOCKS).parquet(f"{path}/blocks")
