@@ -41,13 +41,13 @@ def stratified_split(
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """Over the rows that have both a label and a prediction."""
     error = F.col(label) - F.col(prediction)
-    return df.agg(
+    return df.filter(F.col(label).isNotNull() & F.col(prediction).isNotNull()).agg(
         F.count("*").alias("n"),
         F.avg(error * error).alias("mse"),
         F.sqrt(F.avg(error * error)).alias("rmse"),
         F.avg(F.abs(error)).alias("mae"),
-        F.sum(error * error).alias("_sse"),
         F.var_pop(label).alias("_var"),
     ).select(
         "n", "mse", "rmse", "mae", (1 - F.try_divide("mse", F.col("_var"))).alias("r2")

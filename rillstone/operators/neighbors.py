@@ -200,12 +200,14 @@ def isolation_forest(
     the tasks, which score all rows in batches."""
     total = df.count()
     keep = min(1.0, 4.0 * sample / max(1, total))
-    draw = F.pmod(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)), F.lit(1 << 52))
+
+    def drawn_by(tree):
+        return F.pmod(F.xxhash64(F.col(key), tree, F.lit(seed)), F.lit(1 << 52))
+
     drawn = (
         df.select(key, *[F.col(c).cast("double").alias(c) for c in coords])
-        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("_d", draw)
-        .filter(F.col("_d") <= keep * float(1 << 52))
+        .withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: drawn_by(t) <= keep * float(1 << 52))))
+        .withColumn("_d", drawn_by(F.col("tree")))
     )
     first = Window.partitionBy("tree").orderBy("_d", key)
     chosen = drawn.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= sample)

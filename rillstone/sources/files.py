@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -114,8 +115,8 @@ def window_tag(kind: str, amount: int) -> str:
     return f"{kind}_{amount}{unit}"
 
 
-def _has_table(spark: SparkSession, path: str) -> bool:
-    p, fs = _path(spark, f"{path}/_SUCCESS")
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
     return fs.exists(p)
 
 
@@ -126,21 +127,30 @@ def materialize_if_absent(
     build: Callable[[], DataFrame],
     refresh: bool = False,
     partition_by: Sequence[str] = ("site_no",),
+    wanted: Sequence[str] | None = None,
 ) -> DataFrame:
     """Read-through Parquet table under ``root/tag``, partitioned by site. A finished table is
-    read back; ``refresh`` rebuilds the partitions that ``build`` returns. One site may hold much
-    of the data, so rows go to as many writers as they already have tasks."""
+    read back with the types it was written with; ``refresh`` rebuilds the partitions that ``build``
+    returns. With ``wanted`` values of the first partition column, those that are not stored yet are
+    built and added. One site may hold much of the data, so rows go to as many writers as they
+    already have tasks."""
     path = f"{root.rstrip('/')}/{tag.replace('/', '-')}"
-    present = _has_table(spark, path)
-    if refresh or not present:
+    present = _exists(spark, f"{path}/_SUCCESS")
+    first = partition_by[0]
+    missing = [v for v in wanted or () if not _exists(spark, f"{path}/{first}={v}")] if present else []
+    if refresh or not present or missing:
         made = build()
+        added = made.filter(F.col(first).isin(missing)) if missing and not refresh else made
         # A dynamic overwrite leaves no success mark, so the first write is a plain one.
         mode = "dynamic" if present else "static"
         (
-            made.write.mode("overwrite")
+            added.write.mode("overwrite")
             .option("partitionOverwriteMode", mode)
             .partitionBy(*partition_by)
             .parquet(path)
         )
+        kept = spark.createDataFrame([(made.schema.json(),)], "value string")
+        kept.coalesce(1).write.mode("overwrite").text(f"{path}/_schema")
         return spark.read.schema(made.schema).parquet(path).select(*made.columns)
-    return spark.read.parquet(path)
+    stored = T.StructType.fromJson(json.loads(spark.read.text(f"{path}/_schema").first()[0]))
+    return spark.read.schema(stored).parquet(path).select(*stored.names)

@@ -84,3 +84,13 @@ def test_read_through_table(spark, tmp_path):
     only_b = lambda: spark.createDataFrame([("B", 9.0)], "site_no string, v double")
     again = files.materialize_if_absent(spark, str(tmp_path), tag, only_b, refresh=True)
     assert rows(again.select("site_no", "v")) == [("A", 3.0), ("B", 9.0)]
+
+
+def test_read_through_keeps_types_and_adds_sites(spark, tmp_path):
+    made = lambda: spark.createDataFrame([("09095500", 1.0), ("09152500", 2.0)], "site_no string, v double")
+    one = lambda: made().limit(1)
+    files.materialize_if_absent(spark, str(tmp_path), "iv_7d", one, wanted=["09095500"])
+    again = files.materialize_if_absent(spark, str(tmp_path), "iv_7d", one, wanted=["09095500"])
+    assert rows(again) == [("09095500", 1.0)] and again.schema == made().schema
+    more = files.materialize_if_absent(spark, str(tmp_path), "iv_7d", made, wanted=["09095500", "09152500"])
+    assert rows(more) == [("09095500", 1.0), ("09152500", 2.0)]
