@@ -26,11 +26,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def paired_blocks(members: DataFrame, group: str, node: str, per_block: int) -> DataFrame:
     """Rows of ``members`` once for each pair of blocks ``(_i, _j)`` that their block ``_b`` is in. The block of a
-    row is a hash of its node, so a task that runs again deals alike."""
-    n = members.groupBy(group).agg(F.count("*").alias("_n"))
-    parts = F.ceil(F.col("_n") / F.lit(per_block))
-    cut = members.join(n, group).withColumn("_parts", parts).withColumn("_b", F.pmod(F.xxhash64(node), "_parts"))
-    cut = cut.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)))
+    row is a hash of its node, so a task that runs again deals alike. Of each group, the rows that are not ``_open`` are
+    settled among themselves: their blocks meet those of open rows only. Groups without open rows give nothing."""
+    n = members.groupBy(group).agg(
+        F.count_if("_open").alias("_n"), F.count_if(~F.col("_open")).alias("_m")
+    ).filter("_n > 0").select(group, *(F.ceil(F.col(c) / F.lit(per_block)).alias(c) for c in ("_n", "_m")))
+    h = F.xxhash64(node)
+    cut = members.join(n, group).withColumn(
+        "_b", F.when(F.col("_open"), F.pmod(h, "_n")).otherwise(F.col("_n") + F.pmod(h, F.greatest("_m", F.lit(1))))
+    )
+    last = F.when(F.col("_open"), F.col("_n") + F.col("_m")).otherwise(F.col("_n")) - 1
+    cut = cut.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     return cut.select(
         *members.columns, "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j")
     )
@@ -88,8 +94,9 @@ def bucket_edges(
     """Candidate edges ``(u, v)`` that connect all nodes that share a key and pass ``near``.
 
     ``keyed(node, keys)`` has the keys of each node, ``features(node, ...)`` what ``near`` compares. Buckets with the
-    same members are looked at once. A bucket of two is a pair, and pairs are judged row by row; larger ones are
-    compared in blocks, and give a spanning forest instead of all pairs."""
+    same members are looked at once. Every member is first compared with the smallest of its bucket, row by row. Those
+    that pass are connected by it; only what does not pass is then compared with all of the bucket, in blocks, which
+    give a spanning forest instead of all pairs. A bucket of n copies so costs n comparisons."""
     keys = keyed.select("node", F.explode("keys").alias("key"))
     buckets = written(
         keys.groupBy("key")
@@ -105,14 +112,23 @@ def bucket_edges(
     names = [c for c in features.columns if c != "node"]
     first = features.select(F.col("node").alias("u"), *(F.col(c).alias(f"{c}_u") for c in names))
     second = features.select(F.col("node").alias("v"), *(F.col(c).alias(f"{c}_v") for c in names))
-    twos = buckets.filter("n = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v")).distinct()
+    large = keys.join(buckets.filter("n > 2").select("key", F.col("lo").alias("u")), "key")
+    twos = buckets.filter("n = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+    # a pair is judged once, however many buckets it is in
+    wanted = twos.unionByName(large.filter("node != u").select("u", F.col("node").alias("v"))).distinct()
 
     def judge(batches):
         for rows in batches:
             yield rows.loc[near_pairs(rows), ["u", "v"]]
 
-    pairs = twos.join(first, "u").join(second, "v").mapInPandas(judge, EDGES)
-    members = keys.join(buckets.filter("n > 2").select("key"), "key").join(features, "node")
+    pairs = written(wanted.join(first, "u").join(second, "v").mapInPandas(judge, EDGES), "pairs")
+    passed = pairs.select("u", F.col("v").alias("node"), F.lit(False).alias("_passed"))
+    flagged = large.join(passed, ["u", "node"], "left").select(
+        "key", "node", (F.col("_passed").isNull() & (F.col("node") != F.col("u"))).alias("_open")
+    )
+    flagged = written(flagged, "flagged")
+    unsettled = flagged.filter("_open").select("key").distinct()
+    members = flagged.join(unsettled, "key", "left_semi").join(features, "node")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = sides(rows)

@@ -151,7 +151,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, per_bloc
     sets = shingle_sets(texts.join(clusters.select("node"), "node", "left_semi"), width)
     # a repeated id has the set of its class's own row: the digest says which
     sets = sets.dropDuplicates(["node", "shingles"])
-    full = clusters.join(heads.select("node", "symbols"), "node").join(sets, "node")
+    full = written(clusters.join(heads.select("node", "symbols"), "node").join(sets, "node"), "members")
+    # every text is first held against the smallest of its cluster; texts that link with it need no other link
+    centre = full.filter("node = component").select("component", F.col("shingles").alias("_centre"))
+
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        n, m = len(x), len(y)
+        if 100 * min(n, m) < percent * max(n, m):
+            return False
+        joined = np.concatenate((x, y))
+        joined.sort(kind="stable")
+        both = int((joined[1:] == joined[:-1]).sum())
+        return 100 * both >= percent * (n + m - both)
+
+    def settle(batches):
+        for part in batches:
+            held = [
+                linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+                for x, y in zip(part["shingles"], part["_centre"], strict=True)
+            ]
+            yield pd.DataFrame({"node": part["node"], "component": part["component"], "_open": ~np.array(held, bool)})
+
+    settled = written(
+        full.select("node", "component", "shingles").join(centre, "component")
+        .mapInPandas(settle, "node long, component long, _open boolean"),
+        "settled",
+    )
+    open_groups = settled.filter("_open").select("component").distinct()
+    rest = full.join(settled.join(open_groups, "component", "left_semi").select("node", "_open"), "node")
 
     def confirm(part: pd.DataFrame) -> pd.DataFrame:
         left, right = sides(part)
@@ -165,6 +192,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, per_bloc
             a, b, d = a[keep := a < b], b[keep], d[keep]
         order = np.argsort(d, kind="stable")
         root = list(range(len(part)))
+        done = np.flatnonzero(~part["_open"].to_numpy(bool))
+        for x in done.tolist():  # they are linked already
+            root[x] = int(done[0])
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -176,20 +206,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, per_bloc
         for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
             if find(x) == find(y):
                 continue
-            n, m = len(sets[x]), len(sets[y])
-            if 100 * min(n, m) < percent * max(n, m):
-                continue
-            joined = np.concatenate((sets[x], sets[y]))
-            joined.sort(kind="stable")
-            both = int((joined[1:] == joined[:-1]).sum())
-            if 100 * both >= percent * (n + m - both):
+            if linked(sets[x], sets[y]):
                 root[max(find(x), find(y))] = min(find(x), find(y))
                 out.append((node[x], node[y]))
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     links = (
-        paired_blocks(full, "component", "node", per_block).groupBy("component", "_i", "_j").applyInPandas(confirm, EDGES)
-    )
+        paired_blocks(rest, "component", "node", per_block).groupBy("component", "_i", "_j").applyInPandas(confirm, EDGES)
+    ).unionByName(settled.filter("NOT _open AND node != component").select(F.col("component").alias("u"), F.col("node").alias("v")))
     joined = connected_components(written(links, "links")).select("node", F.col("component").alias("_c"))
     out = member.join(joined, "node", "left").withColumn("component_id", F.coalesce("_c", "node", "doc_id"))
     return out.select(

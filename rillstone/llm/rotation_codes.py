@@ -133,6 +133,31 @@ def embedding_duplicates(
     candidates = bucket_edges(coded.select("node", "keys"), features, near, near_pairs, per_block)
     clusters = written(connected_components(written(candidates, "candidates")), "clusters")
     full = clusters.join(features, "node").join(classes.select("node", "weight"), "node")
+    # vectors within half the angle of the smallest of their cluster link with each other: no pair of them is compared
+    centre = clusters.select("component").distinct().join(
+        features.select(F.col("node").alias("component"), F.col("unit").alias("_centre"), F.col("dims").alias("_dims")), "component"
+    )
+    half = math.cos(math.acos(threshold) / 2) + 1e-9
+
+    def far(batches):
+        for rows in batches:
+            out = np.ones(len(rows), bool)
+            for dims in rows["dims"].unique():
+                at = np.flatnonzero((rows["dims"] == dims) & (rows["_dims"] == dims))
+                a, b = _units(rows["unit"].iloc[at], dims), _units(rows["_centre"].iloc[at], dims)
+                out[at] = np.einsum("ij,ij->i", a, b) < half
+            yield rows.drop(columns=["_centre", "_dims"]).assign(_open=out)
+
+    full = written(
+        full.join(centre, "component").mapInPandas(
+            far, "node long, component long, dims int, unit binary, code binary, factor double, weight long, _open boolean"
+        ),
+        "members",
+    )
+    core = full.filter("NOT _open").groupBy("component").agg(F.sum("weight").alias("_all"))
+    inside = full.filter("NOT _open").join(core, "component").select(
+        "node", (F.col("_all") - F.col("weight")).alias("links"), F.col("component").alias("other")
+    )
 
     def confirm(rows: pd.DataFrame) -> pd.DataFrame:
         """One row for each vector with links: how many, and an edge for each step of a spanning forest."""
@@ -166,7 +191,7 @@ def embedding_duplicates(
 
     found = written(
         paired_blocks(full, "component", "node", per_block).groupBy("component", "_i", "_j")
-        .applyInPandas(confirm, "node long, links long, other long"),
+        .applyInPandas(confirm, "node long, links long, other long").unionByName(inside),
         "links",
     )
     edges = found.filter("node != other").select(F.col("node").alias("u"), F.col("other").alias("v"))

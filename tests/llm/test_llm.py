@@ -242,3 +242,27 @@ def test_pipeline_stages(spark):
     ids = {r.doc_id for r in out.select("doc_id").collect()}
     assert ids and ids <= {r.doc_id for r in docs.select("doc_id").collect()}
     assert out.columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_groups_wider_than_their_first_member(spark):
+    """Groups in which only some members are near the smallest, in blocks of two and three rows."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([c + s * r.standard_normal((14, 16)) for c, s in zip(r.standard_normal((4, 16)), (0.02, 0.1, 0.18, 0.25), strict=True)])
+    df = spark.createDataFrame([(i, [float(v) for v in a]) for i, a in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    got = {v.vec_id: v for v in rotation_codes.embedding_duplicates(df, per_block=3).collect()}
+    assert [got[i].n_links for i in range(len(x))] == (near.sum(axis=1) - 1).tolist()
+    base = words(1, 120).split()
+    texts = [" ".join(base[:i] + ["new"] + base[i:]) for i in range(0, 120, 6)]
+    texts += [" ".join(base[:i] + ["other", "ones"] + base[i + 4 :]) for i in range(0, 110, 11)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    for percent in (80, 90):
+        root = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                    old, new = max(root[i], root[j]), min(root[i], root[j])
+                    root = [new if v == old else v for v in root]
+        found = {v.doc_id: v.component_id for v in minhash_dedup.near_duplicates(table(spark, texts), percent=percent, per_block=2).collect()}
+        assert [found[i] for i in range(len(texts))] == root
