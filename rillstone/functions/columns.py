@@ -42,10 +42,21 @@ def decode_reading(
     return F.when(~number.isin(*no_data), number) if no_data else number
 
 
+#: ISO text of a date, or of a date and a time, that names no zone.
+_ZONELESS = r"^\s*[+-]?\d{4,7}(-\d{1,2}(-\d{1,2}([T ]\s*\d{1,2}(:\d{1,2}(:\d{1,2}(\.\d*)?)?)?)?)?)?\s*$"
+
+
+def utc_wall(instant: Column) -> Column:
+    """An instant as UTC wall clock, whatever the session's zone."""
+    whole = F.make_dt_interval(secs=(F.unix_micros(instant).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+    return F.lit("1970-01-01").cast("timestamp_ntz") + whole
+
+
 def utc_instant(c: str | Column) -> Column:
-    """ISO text to UTC wall clock; an offset is honoured, its absence means UTC.
-    The session must be in UTC (``runtime.use_utc``)."""
-    return F.to_timestamp(col(c)).cast("timestamp_ntz")
+    """ISO text to UTC wall clock; an offset is honoured, its absence means UTC. The session's zone has no part in
+    it."""
+    bare = F.when(col(c).rlike(_ZONELESS), col(c))
+    return F.when(bare.isNotNull(), bare.cast("timestamp_ntz")).otherwise(utc_wall(F.to_timestamp(col(c))))
 
 
 def wall_clock(c: str | Column, zone: str) -> Column:

@@ -28,9 +28,10 @@ def l_diversity(df: DataFrame, quasi: Sequence[str], sensitive: str) -> DataFram
     return pairs.groupBy(*quasi).agg(F.sum("_n").alias("n"), F.count(sensitive).alias("l"))
 
 
-def dp_count(df: DataFrame, by: Sequence[str], epsilon: float = 1.0, seed: str = "0") -> DataFrame:
+def dp_count(df: DataFrame, by: Sequence[str], epsilon: float = 1.0, *, seed: str) -> DataFrame:
     """Counts with Laplace noise of scale 1/epsilon. The noise comes from a seeded uniform of the
-    group key, so a repeated release gives no new draw; keep the seed secret."""
+    group key, so a repeated release gives no new draw. The seed must be secret, or the noise can be taken off
+    again, and a new one for each release of changed data, or two releases differ by the exact change."""
     counts = df.groupBy(*by).agg(F.count("*").alias("n"))
     text = F.concat_ws(":", *[F.col(c).cast("string") for c in by], F.lit(seed))
     whole = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")

@@ -10,7 +10,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_CLUSTERS = 2000
+from rillstone.functions.runtime import cut_lineage
+
+#: Clusters that one array of a comparison holds.
+BLOCK = 512
 
 
 def with_vector(df: DataFrame, array: str, into: str = "features") -> DataFrame:
@@ -75,22 +78,22 @@ def silhouette(df: DataFrame, array: str, cluster: str) -> float:
 
 
 def davies_bouldin(df: DataFrame, array: str, cluster: str) -> DataFrame:
-    """One row: the index and the number of clusters. Spread and centre per cluster are
-    aggregates; the clusters (at most MAX_CLUSTERS) are then compared inside one array."""
+    """One row: the index and the number of clusters. Spread and centre per cluster are aggregates; each cluster is
+    then compared with the others a block at a time, and its largest ratio counts."""
     middle = centroids(df, array, cluster).drop("n")
     far = df.select(cluster, array).join(middle, cluster)
-    spread = far.groupBy(cluster).agg(
+    spread = cut_lineage(far.groupBy(cluster).agg(
         F.avg(distance(array, "centroid")).alias("s"), F.first("centroid").alias("c")
+    ))
+    parts = max(1, -(-spread.count() // BLOCK))
+    blocks = spread.groupBy(F.pmod(F.xxhash64(cluster), F.lit(parts)).alias("_b")).agg(
+        F.collect_list(F.struct(F.col(cluster).alias("k"), "s", "c")).alias("_all")
     )
-    n = spread.count()
-    if n > MAX_CLUSTERS:
-        raise ValueError(f"{n} clusters; at most {MAX_CLUSTERS} are compared")
-    every = spread.agg(F.collect_list(F.struct(F.col(cluster).alias("k"), "s", "c"))).scalar()
+    each = spread.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))).join(blocks, "_b")
     others = F.filter("_all", lambda o: o["k"] != F.col(cluster))
     ratios = F.transform(others, lambda o: F.try_divide(F.col("s") + o["s"], distance(F.col("c"), o["c"])))
-    return spread.withColumn("_all", every).agg(
-        F.avg(F.array_max(ratios)).alias("davies_bouldin"), F.count("*").alias("n_clusters")
-    )
+    worst = each.select(cluster, F.array_max(ratios).alias("_r")).groupBy(cluster).agg(F.max("_r").alias("_r"))
+    return worst.agg(F.avg("_r").alias("davies_bouldin"), F.count("*").alias("n_clusters"))
 
 
 def fit_pca(df: DataFrame, array: str, k: int):

@@ -321,7 +321,7 @@ _U = "((('0x' || substr(md5(c_mktsegment || ':0'), 1, 13))::bigint + 0.5::double
         from customer group by 1""",
 )
 def dp_count(t: Tables) -> DataFrame:
-    return rounded(privacy.dp_count(t.customer, ["c_mktsegment"], epsilon=0.5), 6)
+    return rounded(privacy.dp_count(t.customer, ["c_mktsegment"], epsilon=0.5, seed="0"), 6)
 
 
 # --- patterns --------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rillstone.functions.columns import null_nans
+from rillstone.functions.columns import epoch_micros, null_nans, utc_wall
 from rillstone.sources.files import is_folder
 
 
@@ -35,7 +35,9 @@ def daily_stream(
     Readings that come again within the delay count once when ``reading_key`` names them. State is
     one row per open series and day, and the keys seen within the delay."""
     # A watermark needs an instant; zone-less times are UTC.
-    timed = null_nans(readings).withColumn(time_col, F.col(time_col).cast("timestamp"))
+    timed = null_nans(readings)
+    if dict(timed.dtypes)[time_col] != "timestamp":
+        timed = timed.withColumn(time_col, F.timestamp_micros(epoch_micros(time_col)))
     marked = timed.withWatermark(time_col, delay)
     if reading_key:
         marked = marked.dropDuplicatesWithinWatermark(list(reading_key))
@@ -45,7 +47,7 @@ def daily_stream(
     )
     return days.select(
         *series_keys,
-        F.col("window.start").cast("timestamp_ntz").alias("date"),
+        utc_wall(F.col("window.start")).alias("date"),
         *[f"{v}_{s}" for v in variables for s in stats],
     )
 

@@ -92,8 +92,8 @@ def test_privacy(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("b", 2, "x")], "q string, r int, s string")
     assert tuple(privacy.k_anonymity(df, ["q", "r"], 2).first()) == (1, 2, 1, 1)
     assert rows(privacy.l_diversity(df, ["q"], "s")) == [("a", 2, 2), ("b", 1, 1)]
-    noisy = dict(rows(privacy.dp_count(df, ["q"], 1.0)))
-    assert noisy != {"a": 2.0, "b": 1.0} and noisy == dict(rows(privacy.dp_count(df.repartition(3), ["q"], 1.0)))
+    noisy = dict(rows(privacy.dp_count(df, ["q"], 1.0, seed="s")))
+    assert noisy != {"a": 2.0, "b": 1.0} and noisy == dict(rows(privacy.dp_count(df.repartition(3), ["q"], 1.0, seed="s")))
 
 
 def test_rules_of_three_items(spark):
@@ -181,3 +181,13 @@ def test_models_learn(spark):
     assert models.balance_weights(df, "y").groupBy("y").agg(F.sum("weight")).count() == 2
     assert models.resample(df, "y", "id", {1.0: 2.0}).filter("y = 1").count() == 2 * df.filter("y = 1").count()
     assert models.resample(df, "y", "id", {1.0: 0.0}).filter("y = 1").count() == 0
+
+
+def test_davies_bouldin_in_blocks(spark, monkeypatch):
+    df = spark.createDataFrame(
+        [(i % 7, [float(i % 7) * 3 + (i % 5) * 0.1, float((i % 7) ** 2) + (i % 3) * 0.2]) for i in range(70)], "g int, v array<double>"
+    )
+    whole = vectors.davies_bouldin(df, "v", "g").first()
+    monkeypatch.setattr(vectors, "BLOCK", 2)
+    cut = vectors.davies_bouldin(df, "v", "g").first()
+    assert cut["n_clusters"] == 7 and abs(cut["davies_bouldin"] - whole["davies_bouldin"]) < 1e-12

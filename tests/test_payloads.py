@@ -128,3 +128,21 @@ def test_text_without_offset_is_utc(spark):
     df = spark.createDataFrame([("2025-06-01T12:00:00",)], "t string")
     assert df.select(utc_instant("t")).first()[0] == datetime(2025, 6, 1, 12)
     assert df.select(utc_instant(F.concat("t", F.lit("+02:00")))).first()[0] == datetime(2025, 6, 1, 10)
+
+
+def test_instants_do_not_depend_on_the_session(spark):
+    from rillstone.functions.columns import utc_instant
+
+    texts = {
+        "2025-01-01T00:00:00Z": datetime(2025, 1, 1), "2025-01-01": datetime(2025, 1, 1), "2025-01-01 07:30": datetime(2025, 1, 1, 7, 30),
+        "2025-11-02T01:30:00.250-06:00": datetime(2025, 11, 2, 7, 30, 0, 250000), "2025-11-02T01:30:00-07:00": datetime(2025, 11, 2, 8, 30),
+        "1950-03-09T02:30:00": datetime(1950, 3, 9, 2, 30), "2025-03-09T02:30:00": datetime(2025, 3, 9, 2, 30),
+    }
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    try:
+        for zone in ("America/Denver", "Asia/Kolkata", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = {r[0]: r[1] for r in df.select("t", utc_instant("t")).collect()}
+            assert got == {**texts, None: None}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
