@@ -5,7 +5,8 @@ falls below a bound. Whether a place is a cut depends only on the bytes around i
 Chunks are counted by digest over all documents. Neighbouring chunks that occur elsewhere make a span, and spans of
 enough bytes are reported; of each chunk the first occurrence, by ``doc_id`` and place, is kept.
 
-Defined cases: a null or empty text has no chunks. Text without blanks is cut every ``MOST`` bytes, at a character.
+Defined cases: a null or empty text has no chunks. Text without cuts, as one word over and over, is cut every ``MOST``
+bytes from the cut before it, at a character. Capitals count: passages that differ in case are different passages.
 Rows with the same ``doc_id`` are taken for the same document; rows without ``doc_id`` are neither searched nor changed.
 """
 
@@ -21,7 +22,7 @@ from rillstone.llm.textbytes import SLICE, SPACE, _DOWN, _UP, as_bytes, mix
 _GEAR = mix(np.arange(256, dtype=np.uint64), 3).astype(np.uint32)
 _ONE, _TWO = mix(np.arange(256, dtype=np.uint64), 21), mix(np.arange(256, dtype=np.uint64), 22)
 #: Bytes the hash looks at; one place in 2^RARE before a word is a cut; least and most bytes of a chunk.
-WINDOW, RARE, LEAST, MOST = 16, 2, 12, 512
+WINDOW, RARE, LEAST, MOST = 16, 2, 12, 128
 
 
 def gear(b: np.ndarray) -> np.ndarray:

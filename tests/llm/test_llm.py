@@ -190,6 +190,12 @@ def test_repeated_passages(spark, texts, docs):
     assert substring_dedup.repeated_spans(docs.limit(0)).count() == 0
 
 
+def test_a_passage_of_one_word_is_found(spark):
+    texts = ["Of " * 98 + "end", "Of " * 60 + words(7, 30), words(8, 200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in substring_dedup.repeated_spans(docs).collect()} == {0, 1}
+
+
 def test_cuts_do_not_move_with_insertions():
     a = words(5, 4000).encode()
     b = b"an insertion here " + a
