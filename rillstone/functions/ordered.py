@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rillstone.functions.columns import join_null_safe
 
 ROWS_PER_CHUNK = 2_000_000
-MAX_CHUNKS = 20_000
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -28,7 +27,7 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 def cut_points(df: DataFrame, number: Column, parts: int) -> list[float]:
     """At most ``parts - 1`` inner boundaries that split ``number`` into similar row counts.
     A plain percentile sketch, so memory does not grow with the rows."""
-    parts = max(2, min(parts, MAX_CHUNKS))
+    parts = max(2, parts)
     found = df.select(
         F.percentile_approx(
             number.cast("double"), [i / parts for i in range(1, parts)], max(10_000, 10 * parts)
@@ -79,7 +78,7 @@ def previous_in_series(
     last = cut.groupBy(*keys, "_chunk").agg(
         F.max_by(F.struct(*values), F.struct(*order)).alias("_last")
     )
-    # One row per series and chunk: bounded by MAX_CHUNKS for each series.
+    # One row per series and chunk: bounded by the number of chunks for each series.
     chunks = Window.partitionBy(*keys).orderBy("_chunk")
     carry = last.select(*keys, "_chunk", F.lag("_last").over(chunks).alias("_carry"))
     joined = join_null_safe(inside, carry, [*keys, "_chunk"], "left")
@@ -122,7 +121,7 @@ def running_totals(
     )
     inside = cut.withColumns({f"_in_{a}": F.sum(a).over(along) for a in amounts})
     totals = cut.groupBy(*keys, "_range").agg(*[F.sum(a).alias(f"_tot_{a}") for a in amounts])
-    # Range totals: at most MAX_CHUNKS rows for each group. Without keys this is the only window
+    # Range totals: one row for each range and group. Without keys this is the only window
     # in one task, over that bounded table.
     earlier = (
         Window.partitionBy(*(keys or [F.lit(0)]))

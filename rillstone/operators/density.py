@@ -19,7 +19,6 @@ from rillstone.operators.neighbors import distinct_points
 # Cells whose nearest corners can be within eps.
 REACH = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if (a, b) != (0, 0) and abs(a) + abs(b) < 4]
 REFINE = 8
-LEVELS = 12
 
 
 def _apart(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -38,7 +37,7 @@ def _near_cells(df: DataFrame, own: bool) -> DataFrame:
 
 def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_points: int = 5) -> DataFrame:
     """``(key, cluster, is_core)``; the cluster is the smallest key of its core points, null for
-    noise. A border point within reach of several clusters takes the smallest."""
+    noise and for points without a place. A border point within reach of several clusters takes the smallest."""
     side = eps / sqrt(2)
     cell = {"cx": F.floor(F.col(x) / side), "cy": F.floor(F.col(y) / side)}
     points = cut_lineage(
@@ -95,7 +94,10 @@ def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_points: int
         rest.join(border, "id", "left").select("x", "y", "cluster", F.lit(False).alias("is_core"))
     )
     every = df.select(F.col(key), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    return every.join(placed, ["x", "y"]).select(key, "cluster", "is_core")
+    # a point without a place is noise
+    return every.join(placed, ["x", "y"], "left").select(
+        key, "cluster", F.coalesce("is_core", F.lit(False)).alias("is_core")
+    )
 
 
 def _boxes(core: DataFrame, side: float, level: int) -> DataFrame:
@@ -114,7 +116,8 @@ def _gap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def _touching_cells(core: DataFrame, side: float, eps: float) -> DataFrame:
-    """Pairs ``(ax, ay, bx, by)`` of cells with core points within eps of each other."""
+    """Pairs ``(ax, ay, bx, by)`` of cells with core points within eps of each other. It ends: each level cuts boxes
+    eight times finer, until a box holds one position, and two such boxes are decided by their distance."""
     limit = eps * eps
     occupied = core.select("cx", "cy").distinct()
     # Each pair once: the other cell is later in reading order.
@@ -129,7 +132,9 @@ def _touching_cells(core: DataFrame, side: float, eps: float) -> DataFrame:
     boxes = _boxes(core, side, 0)
     work = _pair_boxes(open_pairs, boxes, boxes, [])
     touching = None
-    for level in range(1, LEVELS):
+    level = 0
+    while True:
+        level += 1
         # Rounding must not lose a pair, so a box pair is dropped only when clearly apart.
         possible = work.filter(
             F.pow(_gap(F.col("ax0"), F.col("ax1"), F.col("bx0"), F.col("bx1")), 2)
@@ -155,7 +160,6 @@ def _touching_cells(core: DataFrame, side: float, eps: float) -> DataFrame:
             {"ux": F.floor(F.col("sx") / REFINE), "uy": F.floor(F.col("sy") / REFINE)}
         )
         work = _pair_boxes(undecided, finer, finer, ["asx", "asy", "bsx", "bsy"])
-    raise RuntimeError("core points closer together than doubles can tell")
 
 
 def _pair_boxes(pairs: DataFrame, left: DataFrame, right: DataFrame, parents: list[str]) -> DataFrame:

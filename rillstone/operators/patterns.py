@@ -73,17 +73,30 @@ def association_rules(
 def sequential_patterns(
     df: DataFrame, group: Sequence[str], item: str, time_col: str, support: float = 0.2, length: int = 4
 ) -> DataFrame:
-    """Ordered patterns over the order in which items first occur in a group. First times are
-    aggregated before anything is collected, so a sequence has one entry per distinct item."""
-    firsts = df.groupBy(*group, item).agg(F.min(time_col).alias("_t"))
-    entries = F.array_sort(F.collect_list(F.struct("_t", F.col(item).cast("string").alias("_i"))))
-    rows = firsts.groupBy(*group).agg(
-        F.transform(entries, lambda e: F.array(e["_i"])).alias("sequence")
+    """Ordered patterns of at most ``length`` items: items of one instant are one step (``a+b``), later steps follow
+    ``>``, and items may repeat. ``n`` counts the groups that hold the pattern. Infrequent items go first; of equal
+    steps in a row ``length`` stay, since no pattern uses more of them. A group's steps make one sequence, so ``group``
+    has to cut time where it would never end."""
+    seen = df.select(*group, F.col(time_col).alias("_t"), F.col(item).cast("string").alias("_i")).dropna().distinct()
+    total = df.select(*group).dropna().distinct().count()
+    least = max(1, ceil(support * total))
+    often = seen.groupBy("_i").agg(F.count_distinct(*group).alias("_n")).filter(F.col("_n") >= least)
+    steps = seen.join(often.select("_i"), "_i", "left_semi").groupBy(*group, "_t").agg(
+        F.array_sort(F.collect_list("_i")).alias("_s")
     )
-    span = PrefixSpan(minSupport=support, maxPatternLength=length, sequenceCol="sequence")
-    found = span.findFrequentSequentialPatterns(rows)
+    along = Window.partitionBy(*group).orderBy("_t")
+    needed = steps.withColumn("_back", F.lag("_s", length).over(along))
+    for back in range(1, length):
+        needed = needed.withColumn("_back", F.when(F.lag("_s", back).over(along) == F.col("_s"), F.col("_back")))
+    needed = needed.filter(~F.coalesce(F.col("_back") == F.col("_s"), F.lit(False)))
+    entries = F.array_sort(F.collect_list(F.struct("_t", "_s")))
+    rows = cut_lineage(needed.groupBy(*group).agg(F.transform(entries, lambda e: e["_s"]).alias("sequence")))
+    # groups without a frequent item are gone; the threshold must stay the same count
+    share = min(1.0, (least - 0.5) / max(1, rows.count()))
+    span = PrefixSpan(minSupport=share, maxPatternLength=length, sequenceCol="sequence")
+    found = span.findFrequentSequentialPatterns(rows).filter(F.col("freq") >= least)
     return found.select(
-        F.array_join(F.transform("sequence", lambda s: F.array_join(s, "+")), ">").alias("pattern"),
+        F.array_join(F.transform("sequence", lambda s: F.array_join(F.array_sort(s), "+")), ">").alias("pattern"),
         F.size("sequence").cast("long").alias("length"),
         F.col("freq").alias("n"),
     )

@@ -13,17 +13,20 @@ from rillstone.sources.payloads import VARIABLE_NAMES
 
 def align_variables(
     readings: DataFrame,
-    variables: Sequence[str],
+    variables: Sequence[str] | None = None,
     series_keys: Sequence[str] = ("site_no",),
     time_col: str = "time",
     code_col: str = "code",
     value_col: str = "value",
     duplicates: str = "error",
 ) -> DataFrame:
-    """Variables side by side on time (a full outer alignment), in one shuffle. The variables are
-    named by the caller, which saves the job that would look them up."""
+    """Variables side by side on time (a full outer alignment), in one shuffle. Without ``variables``
+    every code found becomes a column, in order; one job looks them up. Naming them saves that job and selects them."""
     if duplicates not in ("error", "max"):
         raise ValueError("duplicates is 'error' or 'max'")
+    if variables is None:
+        codes = readings.select(code_col).dropna().distinct().orderBy(code_col)
+        variables = [row[0] for row in codes.collect()]  # one per column of the result
     known = readings.filter(F.col(code_col).isin(list(variables)))
     grouped = known.groupBy(*series_keys, time_col)
     return grouped.agg(

@@ -96,44 +96,44 @@ def fit_text_classifier(
     return Pipeline(stages=stages).fit(train)
 
 
+def _bucket(word: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("string")
+
+
 def word_vectors(
-    df: DataFrame,
-    words: str,
-    size: int = 32,
-    min_count: int = 5,
-    vocabulary: int = 200_000,
-    seed: int = 0,
-    partitions: int | None = None,
+    df: DataFrame, words: str, size: int = 32, min_count: int = 5, buckets: int = 1 << 18, seed: int = 0,
+    partitions: int = 8,
 ) -> DataFrame:
-    """``(word, vector)``. The vocabulary is sent to every task, so when more than ``vocabulary``
-    words reach ``min_count`` the least count is raised until they fit. Text is trained in
-    ``partitions`` parts, by default one for each core of the cluster."""
-    counts = df.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    often = counts.filter(F.col("n") >= min_count)
-    if often.count() > vocabulary:
-        # The word after the last that fits, so equal counts stay out together.
-        edge = often.orderBy(F.desc("n")).limit(vocabulary + 1).agg(F.min("n")).first()[0]
-        min_count = edge + 1
+    """``(word, vector)`` for every word with ``min_count`` uses. Vectors are learnt for ``buckets`` hashes of words,
+    which bounds the model however many words there are; words of one bucket share a vector. Text is trained in
+    ``partitions`` parts, a parameter, so that the cluster's size does not change the vectors."""
+    counts = df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    often = counts.filter(F.col("n") >= min_count).select("word", _bucket(F.col("word"), buckets).alias("_bucket"))
+    hashed = df.select(F.transform(words, lambda w: _bucket(w, buckets)).alias("_hashed"))
+    # a bucket is used at least as often as each of its words
     model = Word2Vec(
-        vectorSize=size, minCount=min_count, inputCol=words, outputCol="_v", seed=seed, maxIter=1,
-        numPartitions=partitions or df.sparkSession.sparkContext.defaultParallelism,
-    ).fit(df)
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+        vectorSize=size, minCount=min_count, inputCol="_hashed", outputCol="_v", seed=seed, maxIter=1,
+        numPartitions=partitions,
+    ).fit(hashed)
+    vectors = model.getVectors().select(F.col("word").alias("_bucket"), vector_to_array("vector").alias("vector"))
+    return often.join(vectors, "_bucket").select("word", "vector")
 
 
 def topics(
-    df: DataFrame, words: str, k: int = 5, terms: int = 8, vocabulary: int = 5000, seed: int = 0, iterations: int = 10
+    df: DataFrame, words: str, k: int = 5, terms: int = 8, buckets: int = 1 << 16, seed: int = 0, iterations: int = 10
 ) -> DataFrame:
-    """``(topic, rank, term, weight)`` of a latent Dirichlet model over the most used terms."""
-    counts = CountVectorizer(inputCol=words, outputCol="features", vocabSize=vocabulary).fit(df)
-    model = LDA(k=k, maxIter=iterations, seed=seed).fit(counts.transform(df).select("features"))
-    names = F.array(*[F.lit(w) for w in counts.vocabulary])
+    """``(topic, rank, term, weight)`` of a latent Dirichlet model over ``buckets`` hashes of words: all words count,
+    and the model stays bounded. A bucket is named by its most used word, the first of equals."""
+    hashed = df.select(F.transform(words, lambda w: _bucket(w, buckets)).alias("_hashed"))
+    counts = CountVectorizer(inputCol="_hashed", outputCol="features", vocabSize=buckets).fit(hashed)
+    model = LDA(k=k, maxIter=iterations, seed=seed).fit(counts.transform(hashed).select("features"))
     pairs = F.arrays_zip("termIndices", "termWeights")
-    return model.describeTopics(terms).select(
-        "topic", F.posexplode(pairs).alias("rank", "p")
-    ).select(
-        "topic",
-        (F.col("rank") + 1).alias("rank"),
-        F.get(names, F.col("p.termIndices")).alias("term"),
-        F.col("p.termWeights").alias("weight"),
+    told = model.describeTopics(terms).select("topic", F.posexplode(pairs).alias("rank", "p")).select(
+        "topic", (F.col("rank") + 1).alias("rank"), F.col("p.termIndices").alias("_index"), F.col("p.termWeights").alias("weight")
     )
+    shown = {row["_index"] for row in told.select("_index").distinct().collect()}  # at most k * terms
+    names = df.sparkSession.createDataFrame([(i, counts.vocabulary[i]) for i in sorted(shown)], "_index int, _bucket string")
+    used = df.select(F.explode(words).alias("w")).withColumn("_bucket", _bucket(F.col("w"), buckets))
+    used = used.join(names, "_bucket", "left_semi").groupBy("_bucket", "w").agg((-F.count("*")).alias("_n"))
+    named = used.groupBy("_bucket").agg(F.min_by("w", F.struct("_n", "w")).alias("term")).join(names, "_bucket")
+    return told.join(named, "_index").select("topic", "rank", "term", "weight")

@@ -81,13 +81,13 @@ def text_classify(t: Tables) -> DataFrame:
 
 @query("word2vec")
 def word2vec(t: Tables) -> DataFrame:
-    return text.word_vectors(words(t), "words", size=16, min_count=20)
+    return text.word_vectors(words(t), "words", size=16)
 
 
 @query("lda_topics")
 def lda_topics(t: Tables) -> DataFrame:
     clean = words(t).select(text.without_stopwords("words").alias("words"))
-    return text.topics(clean, "words", k=4, iterations=5, vocabulary=2000)
+    return text.topics(clean, "words", k=4, iterations=5)
 
 
 # --- scores ----------------------------------------------------------------------------------
@@ -365,13 +365,14 @@ def association_rules(t: Tables) -> DataFrame:
 
 @query(
     "sequential_patterns",
-    """with f as (select user_id, cast(ts as date) as day, event_type as e, min(ts) as t from events group by 1, 2, 3),
-        g as (select count(*) as n from (select distinct user_id, day from f)),
-        p as (select e as pattern, 1::bigint as length, count(*) as n from f group by 1
-          union all select a.e || '>' || b.e, 2, count(*) from f a join f b on a.user_id = b.user_id and a.day = b.day and a.t < b.t group by 1
-          union all select a.e || '>' || b.e || '>' || c.e, 3, count(*) from f a join f b on a.user_id = b.user_id and a.day = b.day and a.t < b.t
-            join f c on c.user_id = b.user_id and c.day = b.day and b.t < c.t group by 1)
-        select pattern, length, p.n from p, g where p.n >= ceil(0.02 * g.n)""",
+    """with f as (select distinct user_id as u, cast(ts as date) as d, event_type as e, ts as t from events),
+        g as (select count(*) as n from (select distinct u, d from f)),
+        two as (select a.u, a.d, a.e || case when a.t = b.t then '+' else '>' end || b.e as p, b.t, b.e, case when a.t = b.t then 1 else 2 end as l
+          from f a join f b on a.u = b.u and a.d = b.d and (a.t < b.t or (a.t = b.t and a.e < b.e))),
+        three as (select x.u, x.d, x.p || case when x.t = c.t then '+' else '>' end || c.e as p, case when x.t = c.t then x.l else x.l + 1 end as l
+          from two x join f c on x.u = c.u and x.d = c.d and (x.t < c.t or (x.t = c.t and x.e < c.e))),
+        p as (select u, d, e as p, 1 as l from f union select u, d, p, l from two union select u, d, p, l from three)
+        select p as pattern, l::bigint as length, count(*) as n from p group by 1, 2 having count(*) >= (select ceil(0.02 * n) from g)""",
 )
 def sequential_patterns(t: Tables) -> DataFrame:
     df = t.events.withColumn("day", F.to_date("ts"))

@@ -151,28 +151,26 @@ def payload_probe(t: Tables) -> DataFrame:
     return payloads.probe(payloads.parse_payloads(landed(t)), ["site_no", "batch"])
 
 
+def _wide(names: bool) -> str:
+    known = {"00060": "discharge_cfs", "00065": "stage_ft"} if names else {}
+    return ", ".join(
+        f"""max(case when event_type = '{e}' then value end) as "{known.get(c, c)}\"""" for e, c in CODES.items()
+    )
+
+
 @query(
     "align_variables",
-    """select cast(user_id as varchar) as site_no, cast(ts as date)::timestamp as time,
-        max(case when event_type = 'click' then value end) as "00060",
-        max(case when event_type = 'view' then value end) as "00065"
-        from events where event_type in ('click', 'view') group by 1, 2""",
+    f"select cast(user_id as varchar) as site_no, cast(ts as date)::timestamp as time, {_wide(False)} from events group by 1, 2",
 )
 def align_variables(t: Tables) -> DataFrame:
     base = readings(t).withColumn("time", day_of("time"))
-    return shape.align_variables(base, ["00060", "00065"], duplicates="max")
+    return shape.align_variables(base, duplicates="max")
 
 
-@query(
-    "rename_codes",
-    """select cast(user_id as varchar) as site_no, ts as time,
-        case when event_type = 'click' then value end as discharge_cfs,
-        case when event_type = 'view' then value end as stage_ft
-        from events where event_type in ('click', 'view')""",
-)
+@query("rename_codes", f"select cast(user_id as varchar) as site_no, ts as time, {_wide(True)} from events group by 1, 2")
 def rename_codes(t: Tables) -> DataFrame:
-    """Every reading has its own time here, so the strict policy on repeats holds."""
-    return shape.rename_codes(shape.align_variables(readings(t), ["00060", "00065"]))
+    """Every reading has its own time here, so the strict policy on repeats holds. Codes without a name stay."""
+    return shape.rename_codes(shape.align_variables(readings(t)))
 
 
 @query(
@@ -214,17 +212,13 @@ def coerce_time_column(t: Tables) -> DataFrame:
 
 @query(
     "chart_frame",
-    f"""select site_no, t, field, min(v) as low, max(v) as high, {r('avg(v)', 6)} as mean, count(v) as n from (
-         select cast(user_id as varchar) as site_no, cast(ts as date)::timestamp as t, 'discharge_cfs' as field,
-           case when event_type = 'click' then value end as v from events where event_type in ('click', 'view')
-         union all
-         select cast(user_id as varchar), cast(ts as date)::timestamp, 'stage_ft',
-           case when event_type = 'view' then value end from events where event_type in ('click', 'view'))
-       group by all""",
+    f"""with w as (select cast(user_id as varchar) as site_no, ts as time, {_wide(True)} from events group by 1, 2)
+       select site_no, cast(time as date)::timestamp as t, field, min(v) as low, max(v) as high, {r('avg(v)', 6)} as mean, count(v) as n
+       from w unpivot include nulls (v for field in (discharge_cfs, stage_ft, "00010", "00095", "00400")) group by 1, 2, 3""",
 )
 def chart_frame(t: Tables) -> DataFrame:
-    wide = shape.rename_codes(shape.align_variables(readings(t), ["00060", "00065"]))
-    return rounded(shape.chart_frame(wide), 6)
+    wide = shape.rename_codes(shape.align_variables(readings(t)))
+    return rounded(shape.chart_frame(wide, [c for c in wide.columns if c not in ("site_no", "time")]), 6)
 
 
 # --- inventory -------------------------------------------------------------------------------

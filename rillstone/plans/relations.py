@@ -8,18 +8,15 @@ from rillstone.functions.columns import rounded
 from rillstone.operators import features, relational, timeseries
 from rillstone.plans.registry import Tables, query, r
 
-# Rich customers against urgent orders: both sides have keys the other lacks.
+# All customers against all orders. The orders' key is moved on, so both sides have keys the other lacks.
 _JOIN_SQL = """select k as custkey, c_name, o_orderkey, o_totalprice from
-    (select c_custkey as k, c_name from customer where c_acctbal > 4000) {how} join
-    (select o_custkey as k, o_orderkey, o_totalprice from orders where o_orderpriority = '1-URGENT'
-     and o_totalprice > 300000) using (k)"""
+    (select c_custkey as k, c_name from customer) {how} join
+    (select o_custkey + 40 as k, o_orderkey, o_totalprice from orders) using (k)"""
 
 
 def _join(t: Tables, how: str) -> DataFrame:
-    left = t.customer.filter("c_acctbal > 4000").select(F.col("c_custkey").alias("custkey"), "c_name")
-    right = t.orders.filter("o_orderpriority = '1-URGENT' AND o_totalprice > 300000").select(
-        F.col("o_custkey").alias("custkey"), "o_orderkey", "o_totalprice"
-    )
+    left = t.customer.select(F.col("c_custkey").alias("custkey"), "c_name")
+    right = t.orders.select((F.col("o_custkey") + 40).alias("custkey"), "o_orderkey", "o_totalprice")
     return relational.merge(left, right, "custkey", how)
 
 

@@ -26,11 +26,14 @@ def test_tfidf_of_a_word_in_every_text_is_zero(spark):
     assert got[(1, "a")] == 0 and got[(2, "a")] == 0 and got[(1, "b")] == pytest.approx(np.log(3 / 2))
 
 
-def test_word_vectors_fit_the_vocabulary(spark):
+def test_every_word_has_a_vector_and_every_word_counts(spark):
     words = [["a"] * 9 + ["b"] * 6 + ["c"] * 6 + ["d"]]
     df = spark.createDataFrame([(w,) for w in words], "w array<string>")
-    assert {r["word"] for r in text.word_vectors(df, "w", 2, 1, vocabulary=2).collect()} == {"a"}
-    assert {r["word"] for r in text.word_vectors(df, "w", 2, 1, vocabulary=3).collect()} == {"a", "b", "c"}
+    # more words than buckets: none is lost
+    assert {r["word"] for r in text.word_vectors(df, "w", 2, 2, buckets=2, partitions=1).collect()} == {"a", "b", "c"}
+    told = text.topics(df, "w", k=2, terms=4, buckets=1, iterations=1).collect()
+    assert [(r["topic"], r["rank"], r["term"]) for r in sorted(told)] == [(0, 1, "a"), (1, 1, "a")]
+    assert told[0]["weight"] == pytest.approx(1)
 
 
 @pytest.fixture(scope="module")
@@ -112,6 +115,14 @@ def test_sequences(spark):
     df = spark.createDataFrame(data, "g int, e string, t int")
     got = {r["pattern"]: r["n"] for r in patterns.sequential_patterns(df, ["g"], "e", "t", 0.6).collect()}
     assert got == {"a": 2, "b": 3, "a>b": 2}
+    # ties are one step, repeats count, runs of equal steps are cut without losing a pattern
+    data = [(1, "A", 1), (1, "B", 1), (2, "A", 1), (2, "B", 1), (3, "A", 1), (3, "B", 2), (3, "A", 3)]
+    data += [(4, "C", t) for t in range(9)]
+    df = spark.createDataFrame(data, "g int, e string, t int")
+    got = {r["pattern"]: r["n"] for r in patterns.sequential_patterns(df, ["g"], "e", "t", 0.01, 3).collect()}
+    assert got == {
+        "A": 3, "B": 3, "C": 1, "A+B": 2, "A>B": 1, "B>A": 1, "A>A": 1, "A>B>A": 1, "C>C": 1, "C>C>C": 1,
+    }
 
 
 def test_similar_items_against_numpy(spark):
