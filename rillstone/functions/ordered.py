@@ -97,16 +97,17 @@ def running_totals(
     descending: bool = False,
     prefix: str = "cum_",
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact inclusive running sums of ``amounts`` along a numeric, per-group unique ``order``
-    column. Two levels: totals per value range, then a window inside each range."""
+    """Exact inclusive running sums of ``amounts`` along a numeric ``order`` column that is unique
+    in its group, or is with ``ties``. Two levels: totals per value range, then a window inside each range."""
     sign = -1 if descending else 1
     direction = F.desc(order) if descending else F.asc(order)
     hot = largest_group(df, keys)
     if hot <= rows_per_chunk and keys:
         along = (
             Window.partitionBy(*keys)
-            .orderBy(direction)
+            .orderBy(direction, *ties)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         return df.withColumns({prefix + a: F.sum(a).over(along) for a in amounts})
@@ -116,7 +117,7 @@ def running_totals(
     cut = add_bucket(df, number, cut_points(df, number, parts), "_range")
     along = (
         Window.partitionBy(*keys, "_range")
-        .orderBy(direction)
+        .orderBy(direction, *ties)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     inside = cut.withColumns({f"_in_{a}": F.sum(a).over(along) for a in amounts})

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rillstone.functions.columns import join_null_safe
 from rillstone.functions.ordered import largest_group, running_totals
 from rillstone.functions.runtime import cut_lineage
+from rillstone.functions.statistics import join_statistics
 
 SMALL_GROUP = 2_000_000
 
@@ -68,7 +69,7 @@ def _by_brackets(
     def high(i: int) -> Column:
         return F.when(few, F.col("_max")).otherwise(F.get("_e", F.lit(2 * i + 1)))
 
-    marked = join_null_safe(data, sketch, group).filter(F.col("_v").isNotNull())
+    marked = join_statistics(data, sketch, group).filter(F.col("_v").isNotNull())
     below = marked.groupBy(*group).agg(
         F.first("_n").alias("_n"),
         *[F.count_if(F.col("_v") < low(i)).alias(f"_below{i}") for i in range(len(probs))],
@@ -79,12 +80,12 @@ def _by_brackets(
         anywhere = anywhere | F.col("_v").between(low(i), high(i))
     values = marked.filter(anywhere).groupBy(*group, "_v").agg(F.count("*").alias("_c"))
     hits = [F.when(F.col("_v").between(low(i), high(i)), F.lit(i)) for i in range(len(probs))]
-    inside = join_null_safe(values, sketch, group).select(
+    inside = join_statistics(values, sketch, group).select(
         *group, "_v", "_c", F.explode(F.array_compact(F.array(*hits))).alias("_i")
     )
     # A small share of the rows; ranked in two levels should it still be large.
     ranks = running_totals(cut_lineage(inside), [*group, "_i"], "_v", ["_c"])
-    ranked = join_null_safe(ranks, below, group)
+    ranked = join_statistics(ranks, below, group)
 
     picks = []
     for i, p in enumerate(probs):

@@ -19,14 +19,15 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: the cluster's own setting, or a temporary one
-    when Spark runs in a single local process and nothing is set."""
+    when Spark runs in a single local process, with its own threads, and nothing is set."""
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
     made = tempfile.mkdtemp(prefix="rillstone-")
     spark.sparkContext.setCheckpointDir(made)
@@ -47,13 +48,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write once to the shared folder and read back, for results that several jobs use."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows to all cores when a scan gives fewer tasks than there are cores, for work that is
     heavy per row. A table of many files is left as it is, so nothing large is moved. For scans

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rillstone.functions.ordered import running_totals
 from rillstone.functions.quantiles import exact_quantiles
+from rillstone.functions.statistics import join_statistics
 
 HASH_RANGE = float(1 << 60)
 
@@ -30,12 +31,12 @@ def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 0) -> DataFrame:
 def stratified_split(
     df: DataFrame, key: str, stratum: str, share: float = 0.8, seed: int = 0, **options
 ) -> DataFrame:
-    """The first ``floor(share * n)`` rows of every class in hash order train. Ranks are two-level
+    """The first ``floor(share * n)`` rows of every class in hash order train, equal hashes
+    in order of the key. Ranks are two-level
     running counts when a class is large, so no class has to fit one task."""
     drawn = df.withColumns({"_ticket": ticket(key, seed), "_one": F.lit(1)})
-    ranked = running_totals(drawn, [stratum], "_ticket", ["_one"], **options)
-    sizes = df.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"))
-    joined = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("_s")))
+    ranked = running_totals(drawn, [stratum], "_ticket", ["_one"], ties=[key], **options)
+    joined = join_statistics(ranked, df.groupBy(stratum).agg(F.count("*").alias("_n")), [stratum])
     part = F.when(F.col("cum__one") <= F.floor(F.col("_n") * share), "train").otherwise("test")
     return joined.select(*[F.col(c) for c in df.columns], part.alias("split"))
 
@@ -259,8 +260,8 @@ def fairness_gaps(df: DataFrame, label: str, prediction: str, group: str) -> Dat
 def drift_psi(
     before: DataFrame, after: DataFrame, value: str, bins: int = 10, floor: float = 1e-6, **options
 ) -> DataFrame:
-    """Population stability index with bins at quantiles of the first period. One row per bin and
-    the total; the inner bin edges are a single row."""
+    """Population stability index with bins at quantiles of the first period. One row per bin, and
+    the total under a null bin; the inner bin edges are a single row."""
     probs = [i / bins for i in range(1, bins)]
     edges = exact_quantiles(before, [], value, probs, **options)
     cuts = edges.select(F.array(*edges.columns)).scalar()
@@ -277,6 +278,9 @@ def drift_psi(
     every = Window.partitionBy(F.lit(0))
     p = F.greatest(F.col("n_before") / F.sum("n_before").over(every), F.lit(floor))
     q = F.greatest(F.col("n_after") / F.sum("n_after").over(every), F.lit(floor))
-    return both.withColumns({"_p": p, "_q": q}).select(
+    each = both.withColumns({"_p": p, "_q": q}).select(
         "bin", "n_before", "n_after", ((F.col("_q") - F.col("_p")) * F.log(F.col("_q") / F.col("_p"))).alias("psi")
     )
+    return each.unionByName(
+        each.agg(F.lit(None).cast("int").alias("bin"), *[F.sum(c).alias(c) for c in ("n_before", "n_after", "psi")])
+    )

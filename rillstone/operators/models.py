@@ -18,6 +18,8 @@ from pyspark.ml.feature import Interaction, PolynomialExpansion, StandardScaler,
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window, functions as F
 
+from rillstone.functions.statistics import join_statistics
+
 
 def assemble(df: DataFrame, columns: Sequence[str], into: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol=into).transform(df)
@@ -56,11 +58,11 @@ def interaction(df: DataFrame, columns: Sequence[str], into: str = "crossed") ->
 
 def balance_weights(df: DataFrame, label: str, into: str = "weight") -> DataFrame:
     """Weight of a row so that all classes weigh the same."""
-    sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
+    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
     total = df.select(F.count("*")).scalar()
     classes = sizes.select(F.count("*")).scalar()
-    joined = df.join(sizes, F.col(label) == F.col("_l"))
-    return joined.withColumn(into, total / (classes * F.col("_n"))).drop("_l", "_n")
+    joined = join_statistics(df.filter(F.col(label).isNotNull()), sizes, [label])
+    return joined.withColumn(into, total / (classes * F.col("_n"))).drop("_n")
 
 
 def resample(df: DataFrame, label: str, key: str, share: dict, seed: int = 0) -> DataFrame:

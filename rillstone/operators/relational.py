@@ -7,8 +7,8 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rillstone.functions.columns import join_null_safe
 from rillstone.functions.quantiles import exact_quantiles
+from rillstone.functions.statistics import join_statistics
 
 JOINS = ("inner", "left", "right", "full")
 
@@ -65,7 +65,7 @@ def five_numbers(df: DataFrame, value: str, by: Sequence[str] = (), **options) -
 def iqr_outliers(df: DataFrame, value: str, by: Sequence[str], **options) -> DataFrame:
     """Rows outside the fences of their group."""
     fences = five_numbers(df, value, by, **options).select(*by, "lower_fence", "upper_fence")
-    return join_null_safe(df, fences, by).filter(
+    return join_statistics(df, fences, by).filter(
         (F.col(value) < F.col("lower_fence")) | (F.col(value) > F.col("upper_fence"))
     )
 

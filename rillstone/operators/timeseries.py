@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from rillstone.functions.columns import join_null_safe
 from rillstone.functions.quantiles import exact_quantiles
+from rillstone.functions.statistics import join_statistics
 
 # Fixed value: scales the median deviation to a normal deviation.
 MAD_SCALE = 0.6745
@@ -21,10 +22,10 @@ MAD_SCALE = 0.6745
 def robust_z(df: DataFrame, value: str, by: Sequence[str], **options) -> DataFrame:
     """``0.6745 (x - median) / MAD`` per group; null where the MAD is zero."""
     middle = exact_quantiles(df, by, value, [0.5], **options).withColumnRenamed("q0", "_median")
-    near = join_null_safe(df, middle, by)
+    near = join_statistics(df, middle, by)
     apart = near.withColumn("_apart", F.abs(F.col(value) - F.col("_median")))
     mad = exact_quantiles(apart, by, "_apart", [0.5], **options).withColumnRenamed("q0", "_mad")
-    scored = join_null_safe(near, mad, by)
+    scored = join_statistics(near, mad, by)
     z = F.try_divide(MAD_SCALE * (F.col(value) - F.col("_median")), F.col("_mad"))
     return scored.withColumn("robust_z", z).drop("_median", "_mad")
 

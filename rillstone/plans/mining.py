@@ -282,7 +282,8 @@ _MID = "timestamp '2024-01-16 00:00:00'"
       b as (select len(list_filter(cuts, lambda e: e < value))::int as bin, ts < {_MID} as early from events, q),
       c as (select bin, count(*) filter (where early) as n_before, count(*) filter (where not early) as n_after from b group by 1),
       s as (select *, greatest(n_before / sum(n_before) over (), 1e-6) as p, greatest(n_after / sum(n_after) over (), 1e-6) as q from c)
-      select bin, n_before, n_after, {r('(q - p) * ln(q / p)', 8)} as psi from s""",
+      select bin, n_before, n_after, {r('(q - p) * ln(q / p)', 8)} as psi from s
+      union all select null, sum(n_before)::bigint, sum(n_after)::bigint, {r('sum((q - p) * ln(q / p))', 8)} from s""",
 )
 def drift_psi(t: Tables) -> DataFrame:
     early = t.events.filter("ts < timestamp_ntz'2024-01-16 00:00:00'")
