@@ -1,12 +1,14 @@
 """Repeated passages by content-defined chunks.
 
 A gear hash rolls over the bytes of a text; a chunk ends before a word where the hash of the sixteen bytes before it
-falls below a bound. Whether a place is a cut depends only on the bytes around it, so an insertion moves no other cut.
+falls below a bound. Stretches of more than ``MOST`` bytes without such a cut, as in scripts without spaces, are cut at
+characters instead, by the same hash and a lower bound. Whether a place is a cut depends only on the bytes around it and
+on the cuts next to it, so an insertion moves no cut further on.
 Chunks are counted by digest over all documents. Neighbouring chunks that occur elsewhere make a span, and spans of
 enough bytes are reported; of each chunk the first occurrence, by ``doc_id`` and place, is kept.
 
-Defined cases: a null or empty text has no chunks. Text without cuts, as one word over and over, is cut every ``MOST``
-bytes from the cut before it, at a character. Capitals count: passages that differ in case are different passages.
+Defined cases: a null or empty text has no chunks. Text that has neither kind of cut, as one word over and over, is cut
+every ``MOST`` bytes from the cut before it, at a character. Capitals count: passages that differ in case are different passages.
 Rows with the same ``doc_id`` are taken for the same document; rows without ``doc_id`` are neither searched nor changed.
 """
 
@@ -23,6 +25,9 @@ _GEAR = mix(np.arange(256, dtype=np.uint64), 3).astype(np.uint32)
 _ONE, _TWO = mix(np.arange(256, dtype=np.uint64), 21), mix(np.arange(256, dtype=np.uint64), 22)
 #: Bytes the hash looks at; one place in 2^RARE before a word is a cut; least and most bytes of a chunk.
 WINDOW, RARE, LEAST, MOST = 16, 2, 12, 128
+#: One byte in 2^FINE is a cut at a character: by the first byte of a character, the bound of the hash before it.
+FINE = 5
+_BOUND = np.repeat(np.array([1, 0, 2, 3, 4], np.uint32) << np.uint32(32 - FINE), [128, 64, 32, 16, 16])
 
 
 def gear(b: np.ndarray) -> np.ndarray:
@@ -35,19 +40,32 @@ def gear(b: np.ndarray) -> np.ndarray:
     return h
 
 
+def _fine(c: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """``c`` with those ``places`` that lie in stretches of more than ``MOST`` bytes."""
+    before = np.searchsorted(c, places, side="right") - 1
+    wide = np.append(np.diff(c) > MOST, False)[before]
+    places, before = places[wide], before[wide]
+    apart = (np.diff(places, prepend=-LEAST) >= LEAST) & (places - c[before] >= LEAST)
+    return np.union1d(c, places[apart])
+
+
 def cuts(b: np.ndarray) -> np.ndarray:
     """Places where chunks begin, the first at 0, and the end of the text."""
-    found = []
+    found, fine = [], []
     for at in range(0, len(b), SLICE):
         start = max(0, at - WINDOW)
         part = b[start : at + SLICE]
+        h, first = gear(part), max(at, WINDOW) - start
         begins = np.flatnonzero(SPACE[part[:-1]] & ~SPACE[part[1:]]) + 1
-        begins = begins[begins + start >= max(at, WINDOW)]
-        found.append(begins[gear(part)[begins - 1] >> np.uint32(32 - RARE) == 0] + start)
+        begins = begins[begins >= first]
+        found.append(begins[h[begins - 1] >> np.uint32(32 - RARE) == 0] + start)
+        fine.append(np.flatnonzero(h[first - 1 : -1] < _BOUND[part[first:]]) + first + start)
     c = np.concatenate(found) if found else np.empty(0, np.int64)
     # a cut that follows another too closely goes, whatever became of the other
     c = c[np.diff(c, prepend=-LEAST) >= LEAST] if len(c) else c
     c = np.unique(np.concatenate(([0], c, [len(b)])))
+    if (np.diff(c) > MOST).any():
+        c = _fine(c, np.concatenate(fine))
     wide = np.flatnonzero(np.diff(c) > MOST)
     if len(wide):
         more = np.concatenate([np.arange(c[k] + MOST, c[k + 1], MOST) for k in wide])

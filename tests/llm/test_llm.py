@@ -203,6 +203,26 @@ def test_cuts_do_not_move_with_insertions():
     assert len(x - y) <= 3
 
 
+@pytest.mark.parametrize("letters", [[chr(0x4E00 + i) for i in range(900)], "ABCDEFGHabcdefgh0123456789+/", ["ab\u3000", "c\u00a0", "d", "\U00020000"]])
+def test_text_without_spaces_is_cut_by_content(spark, letters):
+    def some(seed, n):
+        r = random.Random(seed)
+        return "".join(r.choice(letters) for _ in range(n))
+
+    passage = some(1, 400)
+    a, b = some(2, 301) + passage + some(3, 200), some(4, 338) + passage + some(5, 200)
+    df = spark.createDataFrame([(0, a), (1, b), (2, some(6, 900))], "doc_id long, text string")
+    size = dict.fromkeys(range(3), 0)
+    for r in substring_dedup.repeated_spans(df).collect():
+        size[r.doc_id] += r.end_byte - r.first_byte
+    whole = len(passage.encode())
+    assert whole - 400 <= size[0] == size[1] <= whole and size[2] == 0 and size[0] >= 64
+    for t in (a, "x" + a):  # cuts are at characters
+        b8 = t.encode()
+        c = substring_dedup.cuts(np.frombuffer(b8, np.uint8))
+        assert np.diff(c).max() <= 131 and "".join(b8[i:j].decode() for i, j in zip(c[:-1], c[1:], strict=True)) == t
+
+
 def test_toxicity_and_quality(spark):
     r = random.Random(1)
     rows, labels = [], []
