@@ -1,6 +1,6 @@
 """Fingerprints of documents as homomorphic multiset hashes, in DataFrame operations only.
 
-A paragraph, or a sentence of one, is hashed to a wide vector of signs; a text's fingerprint is the sum over its
+A paragraph, or a sentence of one, or of a long one without sentence ends a run of words, is hashed to a wide vector of signs; a text's fingerprint is the sum over its
 pieces, in each place modulo 2^16. It does not depend on order, and pieces are added or taken away by adding or
 subtracting their vectors. The squared length of a sum of random signs estimates the number of its terms, so that of the
 difference of two fingerprints estimates how many pieces differ, and from it the likeness of two texts.
@@ -23,7 +23,11 @@ from rillstone.llm.blocks import written
 #: Hashes of a piece; each gives 64 places of the vector.
 HASHES = 2
 #: Where a text is cut: at line ends, and after the end of a sentence.
-PIECES = r"\n|(?<=[.!?])\s"
+PIECES = r"\n|(?<=[.!?])\s|(?<=[。！？｡])"
+#: A piece of more characters than LONG is also cut after about one in RARE of its words, by the word's hash, and
+#: where it still has more than MOST, every MOST. Scripts without spaces have words of one character.
+LONG, RARE, MOST = 256, 16, 512
+_WORDS = r"(?s)[^\s\x{0E00}-\x{0EFF}\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]{1,64}\s?|."
 #: Documents in a run of neighbouring ids, and the most runs.
 RUN, MOST_RUNS = 4000, 4096
 
@@ -60,9 +64,21 @@ def _likeness(a: str, b: str) -> Column:
     return F.greatest(F.lit(0.0), 1 - apart / (_squares(F.col(a)) + _squares(F.col(b))))
 
 
+def _cut(piece: Column) -> Column:
+    """The parts of a piece, which has no line end; only long ones have several."""
+    marked = F.transform(
+        F.regexp_extract_all(piece, F.lit(_WORDS), F.lit(0)),
+        lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(RARE)) == 0, F.concat(w, F.lit("\n"))).otherwise(w),
+    )
+    runs = F.filter(F.split(F.array_join(marked, ""), "\n"), lambda x: x != "")
+    even = F.flatten(F.transform(runs, lambda x: F.regexp_extract_all(x, F.lit(f"(?s).{{1,{MOST}}}"), F.lit(0))))
+    return F.when(F.char_length(piece) > LONG, even).otherwise(F.array(piece))
+
+
 def fingerprints(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     """``keys, lanes, n_pieces`` for each key of ``rows``; several rows of a key are summed like pieces of one text."""
     pieces = rows.select(*keys, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), PIECES)).alias("_piece"))
+    pieces = pieces.select(*keys, F.explode(_cut(F.col("_piece"))).alias("_piece"))
     sums = _places(F.col("_piece"))
     names = [f"_s{i}" for i in range(len(sums))]
     packed = pieces.groupBy(*keys).agg(F.count("*").alias("n_pieces"), *(s.alias(n) for s, n in zip(sums, names, strict=True)))

@@ -143,6 +143,17 @@ def test_fingerprints(spark, texts):
     assert multiset_hash.edited_likeness(df.limit(0)).count() == 0
 
 
+def test_long_texts_without_sentence_ends_share_pieces(spark):
+    han = "".join(random.Random(3).choice([chr(0x4E00 + i) for i in range(900)]) for _ in range(3000))
+    full = [words(1, 900), han, words(2, 900), "word " * 2000, words(3, 900)]
+    got = {r.doc_id: r for r in multiset_hash.edited_likeness(table(spark, full)).collect()}
+    assert all(0.25 < got[i].near_edited < 0.75 for i in range(4)), [r.near_edited for r in got.values()]
+    moved = spark.createDataFrame([(1, full[0]), (2, f"new words {full[0]}"), (3, han), (4, han[1:])], "k int, t string")
+    lanes = [np.array(r.lanes) for r in multiset_hash.fingerprints(moved, "t", "k").orderBy("k").collect()]
+    for x, y in ((0, 1), (2, 3)):
+        assert ((lanes[x] - lanes[y]) ** 2).sum() < 0.2 * (lanes[x] ** 2).sum()
+
+
 def test_urls(spark):
     urls = [
         None, "no scheme", "http://", "HTTP://Sub.Example.ORG/es/1?x", "http://example.org/en/12", "http://notexample.org/en/1",
