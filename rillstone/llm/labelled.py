@@ -15,10 +15,13 @@ def held_out(doc_id: Column) -> Column:
 
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> DataFrame:
     """``text, label, part`` of at most ``sample`` labelled documents that are not held out; ``part`` is 0 to 9 by the
-    text, so that copies are in the same part. The ids of the sample are broadcast: their number is bounded."""
+    text, so that copies are in the same part. The ids of the sample are broadcast: their number is bounded. Of several
+    rows with one id the text with the smallest hash is taken, so the bound holds for rows too."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     one = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("label"))
     chosen = one.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    return docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select(
-        F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), "label", F.pmod(F.xxhash64(docs["text"]), F.lit(10)).alias("part")
+    found = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select("_id", "label", docs["text"].alias("text"))
+    single = found.groupBy("_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return single.select(
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "label", F.pmod(F.xxhash64("text"), F.lit(10)).alias("part")
     )

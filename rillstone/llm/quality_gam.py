@@ -177,7 +177,7 @@ def measured(rows: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Tables:
-    rows = measured(training_texts(docs, labels, label, sample)).collect()
+    rows = sorted(measured(training_texts(docs, labels, label, sample)).collect(), key=lambda r: (r["label"], r["x"]))
     return fit(np.array([r["x"] for r in rows]).reshape(len(rows), len(MEASURES)), np.array([r["label"] for r in rows], float))
 
 

@@ -134,7 +134,7 @@ def learn(
     common = _counted(build, "phrase", phrases).filter("n0 >= 5").withColumn("w", _odds(words, (ones, zeros))).filter("w <= 0.5")
     for r in common.select("phrase").collect():
         lexicon.exceptions[r["phrase"]] = max(0.0, sum(w for _, w in found.iter(r["phrase"])))
-    scored = features(rows.filter("part >= 7"), lexicon).collect()
+    scored = sorted(features(rows.filter("part >= 7"), lexicon).collect(), key=lambda r: (r["label"], r["x"]))
     if len({r["label"] for r in scored}) == 2:
         lexicon.coefficients = _logistic(np.array([r["x"] for r in scored]), np.array([r["label"] for r in scored]))
     return lexicon

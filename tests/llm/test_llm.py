@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from rillstone.llm import (
-    bpe, fair_mix, minhash_dedup, multiset_hash, quality_gam, rotation_codes, substring_dedup, token_files, toxicity,
+    bpe, fair_mix, labelled, minhash_dedup, multiset_hash, quality_gam, rotation_codes, substring_dedup, token_files, toxicity,
     url_rules,
 )
 
@@ -262,6 +262,15 @@ def test_toxicity_and_quality(spark):
     assert quality_gam.score(df, quality_gam.learn(df.limit(0), marks)).count() == 603
 
 
+def test_a_repeated_labelled_id_is_one_training_row(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    rows = [*((i, f"text {i}") for i in ids), *((ids[0], f"other {k % 7}") for k in range(500)), (ids[1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, toxic int")
+    every = [labelled.training_texts(d, marks, "toxic").collect() for d in (docs, docs.repartition(7, "text"))]
+    assert len(every[0]) == len(ids) and sorted(every[0]) == sorted(every[1])
+
+
 def test_exceptions_take_the_weight_back():
     lexicon = toxicity.Lexicon({" clown ": 4.0}, {" clown fish ": 4.0})
     found = lexicon.automaton()
