@@ -619,3 +619,20 @@ def rolling_anomaly_z(t: Tables) -> DataFrame:
 def rolling_anomaly_z_holes(t: Tables) -> DataFrame:
     """Only high readings, so empty days take a place in the rolling window."""
     return _scores(features.rolling_anomaly_z(daily(t, 150.0)))
+
+
+@query(
+    "rolling_anomaly_z_empty_days",
+    f"""with days as (select user_id, cast(ts as date)::timestamp as date, avg(value) as m, max(value) as h, min(value) as l
+        from events group by 1, 2),
+      spine as (select user_id, unnest(generate_series(min(date), max(date), interval 1 day)) as date from days group by 1),
+      daily as (select cast(s.user_id as varchar) as site_no, s.date, m, h, l
+        from spine s left join days d on d.user_id = s.user_id and d.date = s.date)
+      select site_no, date, {r('m', 6)} as stage_ft_mean, {r('h', 6)} as stage_ft_max, {r('l', 6)} as stage_ft_min,
+        {r(_z('m'))} as stage_ft_mean_z, {r(_z('h'))} as stage_ft_max_z, {r(_z('l'))} as stage_ft_min_z
+      from daily window w as (partition by site_no order by date rows between 29 preceding and current row)""",
+)
+def rolling_anomaly_z_empty_days(t: Tables) -> DataFrame:
+    """All readings, of sites with empty days."""
+    df = readings(t).select("site_no", "time", F.col("value").alias("stage_ft"))
+    return _scores(features.rolling_anomaly_z(features.daily_features(df)))

@@ -49,3 +49,11 @@ def test_flagship_needs_two_exchanges(spark):
 
 def test_sql_covers_most_queries():
     assert len(ORACLES) > 0.7 * len(QUERIES)
+
+
+def test_scores_over_whole_rows_with_empty_days(spark):
+    df = QUERIES["rolling_anomaly_z_empty_days"](spark, SMALL.replace("sf0.001", "sf0.01"))
+    whole = QUERIES["daily_features_holes"](spark, SMALL.replace("sf0.001", "sf0.01"))
+    assert df.count() == whole.count() and df.select(whole.columns).exceptAll(whole).count() == 0
+    assert df.filter("stage_ft_mean IS NULL").count() > 0 and df.filter("stage_ft_mean_z IS NOT NULL").count() > 0
+    assert "rolling_anomaly_z_empty_days" in ORACLES
