@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rillstone.functions.runtime import scratch_path, use_utc
 from rillstone.llm import (
-    bpe, fair_mix, minhash_dedup, multiset_hash, quality_gam, rotation_codes, substring_dedup, token_files, toxicity,
+    bpe, collocations, fair_mix, minhash_dedup, multiset_hash, quality_gam, rotation_codes, substring_dedup, token_files, toxicity,
     url_rules,
 )
 
@@ -80,3 +80,10 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES.update({f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_quality)})
+
+
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"), words=3, least=10, within=50, top=2000)
+
+
+QUERIES.update({f.__name__: f for f in (op11_collocations,)})
