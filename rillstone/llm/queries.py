@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rillstone.functions.runtime import scratch_path, use_utc
 from rillstone.llm import (
-    bpe, collocations, fair_mix, minhash_dedup, multiset_hash, quality_gam, rotation_codes, substring_dedup, token_files, toxicity,
+    bpe, collocations, contamination, fair_mix, minhash_dedup, multiset_hash, quality_gam, rotation_codes, spelling, substring_dedup, token_files, toxicity,
     url_rules,
 )
 
@@ -86,4 +86,79 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(_table(spark, folder, "documents"), words=3, least=10, within=50, top=2000)
 
 
-QUERIES.update({f.__name__: f for f in (op11_collocations,)})
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), size=10)
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, folder, "documents"), shortest=5, least=3, every=97, times=2)
+
+
+QUERIES.update({f.__name__: f for f in (op11_collocations, op12_decontamination, op13_spelling_variants)})
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORDS = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLES["op11_collocations"] = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+        unnest(regexp_split_to_array({_LOWER.format('text')}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents WHERE text IS NOT NULL
+), words AS (
+    SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), sizes AS (
+    SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+), spots AS (
+    SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), grams AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+    FROM spots, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+), kept AS (
+    SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= 10
+), cuts AS (
+    SELECT lang, k, phrase, a, w, c, array_to_string(w[1:c], ' ') AS x, array_to_string(w[c + 1:k], ' ') AS y
+    FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)
+), scored AS (
+    SELECT c.lang, c.k, c.phrase, c.a, x.f AS l, y.f AS r, c.c,
+        (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+    FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = c.x JOIN grams y ON y.lang = c.lang AND y.phrase = c.y
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), around AS (
+    SELECT lang, part, max(a) AS longer FROM (
+        SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS part FROM kept WHERE k = 3
+    ) GROUP BY lang, part
+), ranked AS (
+    SELECT l.lang, row_number() OVER (PARTITION BY l.lang ORDER BY score DESC, a DESC, l.phrase) AS rank, l.phrase, a, l.l, l.r, score
+    FROM lowest l LEFT JOIN around o ON o.lang = l.lang AND o.part = l.phrase
+    WHERE longer IS NULL OR 100 * longer < 50 * a
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, s.n, CAST(r.score AS BIGINT) AS score
+FROM ranked r JOIN sizes s USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES["op12_decontamination"] = f"""
+WITH items AS (
+    SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark WHERE text IS NOT NULL
+), item_windows AS (
+    SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+    FROM (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)
+), docs AS (
+    SELECT row_number() OVER () AS row, doc_id, coalesce({_ITEM_WORDS}, []) AS w FROM documents
+), spots AS (
+    SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM docs
+), found AS (
+    SELECT d.row, d.i, d.k, m.item_id FROM (
+        SELECT row, i, k, array_to_string(w[i:i + k - 1], ' ') AS s
+        FROM spots, (SELECT DISTINCT k FROM item_windows) WHERE i + k - 1 <= len(w)
+    ) d JOIN item_windows m ON m.k = d.k AND m.s = d.s
+), hits AS (
+    SELECT row, count(DISTINCT j) AS n_hit FROM (SELECT row, unnest(range(i, i + k)) AS j FROM found) GROUP BY row
+), named AS (
+    SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY row
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hits USING (row) LEFT JOIN named USING (row)
+"""
