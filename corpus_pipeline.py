@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillstone.functions.runtime import use_utc
+from rillstone.functions.runtime import small_batches, use_utc
 from rillstone.llm import bpe, fair_mix, minhash_dedup, substring_dedup, toxicity
 from rillstone.llm.blocks import written
 
@@ -51,7 +51,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = use_utc(spark).read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = small_batches(use_utc(spark)).read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that a Python task is given at once.
+BATCH_BYTES = 4 << 20
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -17,6 +20,15 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Hand rows to Python a few megabytes at a time. The usual bound is on rows, and rows may be long texts. A smaller
+    bound that is set already stays."""
+    now = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_CONF)))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: the cluster's own setting, or a temporary one
     when Spark runs in a single local process, with its own threads, and nothing is set."""
