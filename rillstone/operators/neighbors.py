@@ -1,9 +1,9 @@
 """Exact nearest neighbours in few dimensions, and what is built on them.
 
-Points are projected on one fixed direction and cut into slabs of bounded size at quantiles of the
-projection. A projected distance is never longer than the true one, so once a point knows its k-th
-distance inside its own slab it only has to visit the slabs that this distance reaches. Copies of
-a point are merged first, so no slab can fill up with equal points.
+Points are kept in cells of bounded size, cut at quantiles in all dimensions (``cells``). A query first meets the points of
+its own cell; once it knows its k-th distance there it only has to visit the cells whose box this distance reaches. A query
+whose cell has too few points goes by the smallest box around it that has enough. Copies of a point are merged first, so
+no cell can fill up with equal points.
 """
 
 from __future__ import annotations
@@ -13,12 +13,15 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from rillstone.functions.ordered import add_bucket, cut_points
 from rillstone.functions.runtime import cut_lineage
+from rillstone.functions.statistics import join_statistics
+from rillstone.operators.cells import grow, locate, reached
 
-SLAB_ROWS = 2000
+CELL_ROWS = 2000
+#: Queries of one cell in one task.
+QUERIES = 50_000
 BLOCK_CELLS = 4_000_000
 
 
@@ -28,20 +31,8 @@ def distinct_points(df: DataFrame, key: str, coords: Sequence[str]) -> DataFrame
     return doubles.groupBy(*coords).agg(F.min(key).alias(key), F.count("*").alias("copies"))
 
 
-def _direction(d: int) -> list[float]:
-    raw = np.sqrt(np.arange(2, d + 2, dtype=float))
-    return (raw / np.linalg.norm(raw)).tolist()
-
-
-def _projection(coords: Sequence[str]) -> Column:
-    out: Column = F.lit(0.0)
-    for w, c in zip(_direction(len(coords)), coords):
-        out = out + F.col(c) * w
-    return out
-
-
 def _search(k: int, d: int, same: bool):
-    """Task-side search of one slab: the k nearest points of each query, in blocks."""
+    """Task-side search of one cell: the k nearest points of each query, in blocks."""
 
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         parts: list[pd.DataFrame] = []
@@ -85,54 +76,52 @@ def nearest(
     coords: Sequence[str],
     k: int,
     same: bool = False,
-    slab_rows: int = SLAB_ROWS,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """``(id, other, distance, rank)``: the k nearest points of each query, ties to the smaller
     key. ``same`` leaves out the query itself. Exact in any dimension, but in many dimensions
-    distances reach far and most slabs are visited: reduce the dimensions first."""
+    distances reach far and most cells are visited: reduce the dimensions first."""
     d = len(coords)
+    names = [f"x{i}" for i in range(d)]
 
     def flat(df: DataFrame) -> DataFrame:
-        slim = df.select(F.col(key).alias("id"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(coords)])
-        return slim.withColumn("t", _projection([f"x{i}" for i in range(d)]))
+        return df.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(x) for c, x in zip(coords, names)])
 
-    p, q = flat(points), flat(queries)
-    inner = cut_points(p, F.col("t"), ceil(p.count() / slab_rows))
-    p = add_bucket(p, F.col("t"), inner, "slab")
-    q = add_bucket(q, F.col("t"), inner, "slab")
+    cells = grow(flat(points), names, max(cell_rows, 2 * k))
     kind = points.schema[key].dataType.simpleString()
     schema = f"id {kind}, other {kind}, distance double"
     search = _search(k, d, same)
 
-    def visit(left: DataFrame) -> DataFrame:
-        return left.groupBy("slab").cogroup(p.groupBy("slab")).applyInPandas(search, schema)
+    def visit(asked: DataFrame) -> DataFrame:
+        """A cell that very many queries visit is given to several tasks, with its points."""
+        crowds = asked.groupBy("node").agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("_parts")).filter("_parts > 1")
+        crowds = cut_lineage(crowds)
+        parts = F.coalesce("_parts", F.lit(1))
+        left = join_statistics(asked, crowds, ["node"], "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("_parts")
+        right = join_statistics(cells.points, crowds, ["node"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+        both = left.groupBy("node", "part").cogroup(right.groupBy("node", "part"))
+        return both.applyInPandas(search, schema)
 
     # Results of the first visit are read three times: radius, visits and the merge.
-    own = cut_lineage(visit(q))
+    placed = cut_lineage(locate(cells, flat(queries), k))
+    own = cut_lineage(visit(placed))
     reach = own.groupBy("id").agg(F.count("*").alias("n"), F.max("distance").alias("r"))
-    wide = q.join(reach, "id", "left")
     known = F.coalesce(F.col("n"), F.lit(0)) >= k
-    r = F.when(known, F.col("r") * (1 + 1e-9) + 1e-12).otherwise(F.lit(float("inf")))
-    ends = add_bucket(wide.withColumn("_r", r), F.col("t") - F.col("_r"), inner, "_from")
-    ends = add_bucket(ends, F.col("t") + F.col("_r"), inner, "_to")
-    more = (
-        ends.withColumn("_own", F.col("slab"))
-        .withColumn("slab", F.explode(F.sequence("_from", "_to")))
-        .filter(F.col("slab") != F.col("_own"))
-        .select("id", *[f"x{i}" for i in range(d)], "t", "slab")
-    )
+    r = F.when(known, F.least("r", F.coalesce("within", "r"))).otherwise(F.col("within")) * (1 + 1e-9) + 1e-12
+    balls = placed.withColumnRenamed("node", "_own").join(reach, "id", "left").withColumn("radius", r)
+    more = reached(cells, balls.drop("n", "r", "within"), "radius").filter("node != _own")
     both = own.unionByName(visit(more))
     best = Window.partitionBy("id").orderBy("distance", "other")
     return both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def local_outlier_factor(
-    df: DataFrame, key: str, coords: Sequence[str], k: int = 10, slab_rows: int = SLAB_ROWS
+    df: DataFrame, key: str, coords: Sequence[str], k: int = 10, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """``(key, lof)`` for each distinct position, with k distinct neighbours; about 1 inside a
     cluster, larger for outliers."""
     points = distinct_points(df, key, coords)
-    near = cut_lineage(nearest(points, points, key, coords, k, True, slab_rows))
+    near = cut_lineage(nearest(points, points, key, coords, k, True, cell_rows))
     reach = near.groupBy("id").agg(F.max("distance").alias("k_distance"))
     other = reach.select(F.col("id").alias("other"), F.col("k_distance").alias("_kd"))
     density = near.join(other, "other").groupBy("id").agg(
@@ -152,11 +141,11 @@ def knn_classify(
     coords: Sequence[str],
     label: str,
     k: int = 5,
-    slab_rows: int = SLAB_ROWS,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Vote of the k nearest training rows; equal votes go to the smaller label. Test rows at one
     position are asked once, and of training rows at one position only the k smallest keys can
-    ever be among the k nearest, so copies never fill a slab."""
+    ever be among the k nearest, so copies never fill a cell."""
     place = [F.col(c).cast("double").alias(c) for c in coords]
     copies = Window.partitionBy(*coords).orderBy(key)
     known = (
@@ -167,7 +156,7 @@ def knn_classify(
         .drop("_rn")
     )
     asked = distinct_points(test, key, coords)
-    near = nearest(asked, known, key, coords, k, False, slab_rows)
+    near = nearest(asked, known, key, coords, k, False, cell_rows)
     votes = (
         near.join(known.select(F.col(key).alias("other"), F.col(label).alias("vote")), "other")
         .groupBy("id", "vote")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillstone.operators import density, graphs, neighbors
+from rillstone.operators import cells, density, graphs, neighbors
 
 
 def cloud(spark, xy):
@@ -31,10 +31,10 @@ def brute(points, queries, k, same):
     return order, np.take_along_axis(far, order, 1)
 
 
-def test_nearest_in_small_slabs(spark, skewed):
+def test_nearest_in_small_cells(spark, skewed):
     xy = np.unique(skewed, axis=0)
     df = cloud(spark, xy)
-    got = neighbors.nearest(df, df, "id", ["x", "y"], 7, True, slab_rows=20).collect()
+    got = neighbors.nearest(df, df, "id", ["x", "y"], 7, True, cell_rows=20).collect()
     _, far = brute(xy, xy, 7, True)
     by = {}
     for r in got:
@@ -44,7 +44,43 @@ def test_nearest_in_small_slabs(spark, skewed):
         assert [d for _, d in sorted(found)] == pytest.approx(list(far[i]))
 
 
-def test_outlier_factor_does_not_depend_on_slabs(spark, skewed):
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_nearest_with_ties_and_far_queries(spark, d):
+    rng = np.random.default_rng(d)
+    p = np.unique(np.vstack([np.zeros((1, d)), np.round(rng.normal(size=(300, d)), 1), np.column_stack([np.full(120, 3.0), *[rng.uniform(-9, 9, 120)] * (d - 1)])]), axis=0)
+    q = np.vstack([p[::7], rng.uniform(-40, 40, size=(25, d))])
+    names = [f"c{i}" for i in range(d)]
+    schema = ", ".join(["id long", *(f"{c} double" for c in names)])
+    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], schema)
+    queries = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(q)], schema)
+    order, far = brute(p, q, 5, False)
+    got = {}
+    for r in neighbors.nearest(queries, points, "id", names, 5, False, cell_rows=12).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = (r["other"], r["distance"])
+    for i in range(len(q)):
+        assert [got[i][k + 1][0] for k in range(5)] == order[i].tolist()
+        assert [got[i][k + 1][1] for k in range(5)] == pytest.approx(far[i].tolist())
+
+
+def test_cells_met_by_a_query_do_not_grow_with_the_points(spark):
+    rng = np.random.default_rng(5)
+    met = []
+    for n in (2_000, 32_000):
+        xy = np.vstack([rng.normal(0, 0.3, size=(n // 2, 2)), rng.uniform(-5, 5, size=(n // 2, 2))])
+        df = cloud(spark, xy).repartition(8)
+        tree = cells.grow(df, ["x", "y"], 50)
+        sizes = [r["count"] for r in tree.points.groupBy("node").count().collect()]
+        assert sum(sizes) == n and max(sizes) <= 50
+        near = neighbors.nearest(df, df, "id", ["x", "y"], 5, True, cell_rows=50).groupBy("id").agg(F.max("distance").alias("r"))
+        balls = df.join(near, "id")
+        met.append(cells.reached(tree, balls, "r").count() / n)
+    assert met[1] < 1.3 * met[0] and met[1] < 12, met
+    # cuts are joined, so they do not stand in the plan
+    plan = neighbors.nearest(df, df, "id", ["x", "y"], 5, True, cell_rows=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 50_000
+
+
+def test_outlier_factor_does_not_depend_on_cells(spark, skewed):
     df = cloud(spark, skewed)
     small = {r["id"]: r["lof"] for r in neighbors.local_outlier_factor(df, "id", ["x", "y"], 5, 25).collect()}
     whole = {r["id"]: r["lof"] for r in neighbors.local_outlier_factor(df, "id", ["x", "y"], 5, 10_000).collect()}
@@ -61,7 +97,7 @@ def test_fewer_points_than_neighbours(spark):
 def test_votes_with_copies(spark):
     train = cloud(spark, [(0, 0)] * 50 + [(3, 3)] * 4).withColumn("label", (F.col("x") > 1).cast("int"))
     test = cloud(spark, [(0.1, 0)] * 20 + [(2.9, 3)])
-    got = neighbors.knn_classify(train, test, "id", ["x", "y"], "label", 3, slab_rows=10).collect()
+    got = neighbors.knn_classify(train, test, "id", ["x", "y"], "label", 3, cell_rows=10).collect()
     assert len(got) == 21 and {r["id"]: r["prediction"] for r in got}[20] == 1
     assert sum(r["prediction"] for r in got) == 1
 
