@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from rillstone.functions.columns import epoch_micros, missing_label
-from rillstone.functions.ordered import largest_group
-from rillstone.functions.quantiles import SMALL_GROUP, exact_quantiles
+from rillstone.functions.radix import column_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 DISTINCT_SHOWN = 10
@@ -47,40 +46,28 @@ def _moments(df: DataFrame, columns: Sequence[str], q=None) -> DataFrame:
     return df.agg(F.array(*cells).alias("_c")).select(F.inline("_c"))
 
 
-def column_statistics(
-    df: DataFrame,
-    columns: Sequence[str] | None = None,
-    method: str = "exact",
-    small_group: int = SMALL_GROUP,
-) -> DataFrame:
-    """``column, n, nulls, mean, std, min, max, q25, q50, q75`` for numeric columns. Exact
-    quartiles use one pass on small tables and bracketed ranks on large ones."""
+def column_statistics(df: DataFrame, columns: Sequence[str] | None = None, method: str = "exact") -> DataFrame:
+    """``column, n, nulls, mean, std, min, max, q25, q50, q75`` for numeric columns. Exact quartiles come from counts of
+    digits (``radix``), so no task holds the values of a column."""
     columns = list(columns or numeric_columns(df))
     probs = F.array(*[F.lit(p) for p in QUARTILES])
-    names = [F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))]
     base = ["column", "n", "nulls", "mean", "std", "min", "max"]
     if method == "approx":
+        names = [F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))]
         return _moments(df, columns, lambda x: F.percentile_approx(x, probs)).select(*base, *names)
     if method != "exact":
         raise ValueError("method is 'exact' or 'approx'")
-    hot = largest_group(df, [])
-    if hot <= small_group:
-        return _moments(df, columns, lambda x: F.percentile(x, probs)).select(*base, *names)
-    long = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "column", "value"
-    )
-    q = exact_quantiles(long, ["column"], "value", QUARTILES, small_group, hot=hot)
-    return _moments(df, columns).join(q.toDF("column", "q25", "q50", "q75"), "column", "left")
+    q = column_quantiles(df, columns, QUARTILES).toDF("column", "q25", "q50", "q75")
+    return _moments(df, columns).join(F.broadcast(q), "column", "left")  # one row for each column
 
 
 def numeric_summary(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     method: str = "exact",
-    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Long form ``(column, stat, value)``: count, mean, std, min, quartiles, max."""
-    s = column_statistics(df, columns, method, small_group)
+    s = column_statistics(df, columns, method)
     wide = s.select(
         "column",
         F.col("n").cast("double").alias("count"),
@@ -96,11 +83,9 @@ def numeric_summary(
     return wide.unpivot(["column"], [F.col(f"`{x}`") for x in stats], "stat", "value")
 
 
-def six_number_summary(
-    df: DataFrame, columns: Sequence[str] = ("latitude", "longitude"), small_group: int = SMALL_GROUP
-) -> DataFrame:
+def six_number_summary(df: DataFrame, columns: Sequence[str] = ("latitude", "longitude")) -> DataFrame:
     """Minimum, quartiles, mean, maximum and the number of nulls, one row per column."""
-    s = column_statistics(df, columns, "exact", small_group)
+    s = column_statistics(df, columns)
     return s.select(
         "column",
         "min",
@@ -113,17 +98,18 @@ def six_number_summary(
     )
 
 
-def describe_all(df: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
+def describe_all(df: DataFrame) -> DataFrame:
     """Mixed summary, one row per column: numbers have moments and quartiles, times have mean and
-    quartiles as times, text has distinct count, most frequent value (smallest on a tie) and its
-    frequency."""
+    quartiles as times, text and truth values have distinct count, most frequent value (smallest on a tie) and its
+    frequency. Columns of other kinds are left out."""
     numbers = numeric_columns(df)
     times = [
         f.name
         for f in df.schema
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
     ]
-    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    kinds = {f.name: "text" if isinstance(f.dataType, T.StringType) else "boolean" for f in df.schema if isinstance(f.dataType, (T.StringType, T.BooleanType))}
+    texts = list(kinds)
     base = {
         "column": "string", "kind": "string", "count": "bigint", "unique": "bigint", "top": "string",
         "freq": "bigint", "mean": "double", "std": "double", "min": "double", "q25": "double",
@@ -139,12 +125,12 @@ def describe_all(df: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
 
     parts = []
     if numbers:
-        s = column_statistics(df, numbers, "exact", small_group)
+        s = column_statistics(df, numbers)
         given = {n: F.col(n) for n in ("column", "mean", "std", "min", "max", "q25", "q50", "q75")}
         parts.append(shaped(s, kind=F.lit("number"), count=F.col("n"), **given))
     if times:
         micros = df.select(*[epoch_micros(F.col(c).cast("timestamp_ntz")).alias(c) for c in times])
-        s = column_statistics(micros, times, "exact", small_group)
+        s = column_statistics(micros, times)
 
         def as_time(c: str):
             whole = F.round(c).cast("long")
@@ -157,8 +143,8 @@ def describe_all(df: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
         parts.append(shaped(s, column=F.col("column"), kind=F.lit("time"), count=F.col("n"), **given))
     if texts:
         per_value = (
-            df.select(*texts)
-            .unpivot([], texts, "column", "value")
+            df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in texts])
+            .unpivot([], [F.col(f"`{c}`") for c in texts], "column", "value")
             .filter(F.col("value").isNotNull())
             .groupBy("column", "value")
             .agg(F.count("*").alias("n"))
@@ -171,14 +157,14 @@ def describe_all(df: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
             shaped(
                 s,
                 column=F.col("column"),
-                kind=F.lit("text"),
+                kind=F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("column")),
                 count=F.col("count"),
                 unique=F.col("unique"),
                 top=F.col("best.value"),
                 freq=-F.col("best.less"),
             )
         )
-    out = parts[0]
+    out = shaped(df.limit(0).select(F.lit(None).alias("_"))) if not parts else parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out

@@ -39,8 +39,6 @@ def test_numeric_summary(minerals):
     assert got[("latitude", "std")] == pytest.approx(np.std([1, 2, 3, 10], ddof=1))
     assert got[("longitude", "count")] == 0 and got[("longitude", "mean")] is None
     assert len(got) == 16
-    big = {(r[0], r[1]): r[2] for r in rows(profile.numeric_summary(minerals, small_group=1))}
-    assert big == got
     with pytest.raises(ValueError):
         profile.numeric_summary(minerals, method="guess")
     assert profile.numeric_summary(minerals, method="approx").count() == 16
@@ -58,6 +56,10 @@ def test_describe(spark, minerals):
     assert got["state"]["unique"] == 3 and got["state"]["top"] == "UT" and got["state"]["freq"] == 2
     assert got["at"]["kind"] == "time" and got["at"]["q50_time"].day == 2 and got["at"]["mean"] is None
     assert got["n"]["mean"] == 1.0 and got["latitude"]["count"] == 4
+    flags = spark.createDataFrame([(True, None, b"x"), (False, None, b"x"), (True, None, b"x"), (None, None, b"x")], "a boolean, b boolean, c binary")
+    told = {r["column"]: r for r in profile.describe_all(flags).collect()}
+    assert (told["a"]["kind"], told["a"]["count"], told["a"]["unique"], told["a"]["top"], told["a"]["freq"]) == ("boolean", 3, 2, "true", 2)
+    assert profile.describe_all(flags.select("c")).collect() == [] and "c" not in told
     tie = profile.describe_all(spark.createDataFrame([("b",), ("a",)], "s string")).first()
     assert tie["top"] == "a"
 
