@@ -9,30 +9,68 @@ from pyspark.ml.fpm import FPGrowth, PrefixSpan
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rillstone.functions.numbering import dense_ids
 from rillstone.functions.runtime import cut_lineage
 
 
-def _frequent_baskets(df: DataFrame, basket: str, item: str, least: int) -> DataFrame:
-    """Baskets cut to frequent items. An item below the support is in no frequent set, so nothing
-    is lost, and a basket then holds at most (mean basket size / support) items however many rows
-    its key has."""
-    pairs = df.select(basket, item).dropna().distinct()
-    frequent = pairs.groupBy(item).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
-    kept = pairs.join(frequent.select(item), item, "left_semi")
-    return kept.groupBy(basket).agg(F.collect_set(item).alias("items"))
-
-
-def _itemsets(df: DataFrame, basket: str, item: str, support: float) -> tuple[DataFrame, int]:
-    """Sorted item arrays with their counts, and the number of baskets."""
-    n_baskets = df.select(basket, item).dropna().select(basket).distinct().count()
+def _mined(df: DataFrame, basket: str, item: str, support: float) -> tuple[DataFrame, int]:
+    """``members, n`` of the frequent sets of classes, and the number of baskets. Items of exactly the same baskets are a
+    class, an array of ``members``; one of them is mined, so items that always come together make one set and not one for
+    each of their combinations. An item below the support is in no frequent set, so a basket then holds at most
+    (mean basket size / support) items however many rows its key has."""
+    # the source is read once
+    pairs = cut_lineage(df.select(F.col(basket).alias("_b"), F.col(item).alias("_i")).dropna().distinct())
+    n_baskets = pairs.select("_b").distinct().count()
     least = max(1, ceil(support * n_baskets))
-    # Counted once and read twice more by the growth of the trees.
-    baskets = cut_lineage(_frequent_baskets(df, basket, item, least))
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "_b")).alias(f"_m{seed}") for seed in (1, 2)]
+    frequent = pairs.groupBy("_i").agg(F.count("*").alias("_n"), *marks).filter(F.col("_n") >= least)
+    classes = cut_lineage(
+        frequent.groupBy("_n", "_m1", "_m2").agg(F.array_sort(F.collect_list("_i")).alias("members"))
+        .select(F.get("members", F.lit(0)).alias("_i"), "members")
+    )
+    baskets = cut_lineage(pairs.join(classes.select("_i"), "_i", "left_semi").groupBy("_b").agg(F.collect_set("_i").alias("items")))
     # Baskets without a frequent item are gone; the threshold must stay the same count.
     share = min(1.0, (least - 0.5) / max(1, baskets.count()))
     model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=0.0).fit(baskets)
-    found = model.freqItemsets.filter(F.col("freq") >= least)
-    return found.select(F.array_sort("items").alias("items"), F.col("freq").alias("n")), n_baskets
+    found = cut_lineage(model.freqItemsets.filter(F.col("freq") >= least).withColumn("_s", F.monotonically_increasing_id()))
+    sets = found.select("_s", F.col("freq").alias("n"), F.explode("items").alias("_i")).join(classes, "_i")
+    return sets.groupBy("_s", "n").agg(F.array_sort(F.collect_list("members")).alias("members")), n_baskets
+
+
+#: Combinations that a row of a set gives out at once.
+GIVEN = 1 << 16
+
+
+def _itemsets(df: DataFrame, basket: str, item: str, support: float) -> tuple[DataFrame, int]:
+    """Sorted item arrays with their counts, and the number of baskets. A set of classes stands for every choice of some
+    members of each; choices are numbered and given out in parts."""
+    sets, n_baskets = _mined(df, basket, item, support)
+    choices = F.transform("members", lambda m: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.size(m)) - 1)
+    total = F.aggregate(choices, F.lit(1).cast("bigint"), lambda x, y: x * y)
+    numbered = sets.select("members", "n", choices.alias("_c"), total.alias("_total"))
+    parts = numbered.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_total") - 1, F.lit(GIVEN).cast("bigint"))))
+    # rows are dealt before they become many
+    dealt = parts.repartition("members", "_from")
+    each = dealt.withColumn("_k", F.explode(F.sequence("_from", F.least(F.col("_from") + GIVEN, F.col("_total")) - 1)))
+    before = F.transform("_c", lambda c, i: F.aggregate(F.slice("_c", 1, i), F.lit(1).cast("bigint"), lambda x, y: x * y))
+    chosen = F.zip_with(
+        "members", F.zip_with("_c", before, lambda c, b: F.floor(F.col("_k") / b) % c + 1),
+        lambda m, mask: F.filter(m, lambda _, i: F.call_function("getbit", mask, i) == 1),
+    )
+    return each.select(F.array_sort(F.flatten(chosen)).alias("items"), "n"), n_baskets
+
+
+def closed_itemsets(df: DataFrame, basket: str, item: str, support: float = 0.01) -> DataFrame:
+    """``(itemset, size, n)`` of the frequent sets that no larger set has as many baskets as; every other frequent set is a
+    part of one of them with the same count."""
+    sets, _ = _mined(df, basket, item, support)
+    keyed = cut_lineage(sets.select("members", "n"))
+    one_less = keyed.filter(F.size("members") > 1).select(
+        "n", F.explode(F.transform("members", lambda m: F.array_remove("members", m))).alias("members")
+    ).groupBy("members").agg(F.max("n").alias("_larger"))
+    kept = keyed.join(one_less, "members", "left").filter("_larger IS NULL OR _larger < n")
+    items = F.array_sort(F.flatten("members"))
+    return kept.select(items.alias("items"), "n").select(_joined("items").alias("itemset"), F.size("items").cast("long").alias("size"), "n")
 
 
 def _joined(items: str) -> Column:
@@ -139,6 +177,43 @@ def factorize(
     ).fit(ratings)
 
 
+MOST_IDS = 2**31 - 1
+
+
+class Factors:
+    """A factor model of users and items under keys of any type."""
+
+    def __init__(self, model, users: DataFrame, items: DataFrame, user: str, item: str):
+        self.model, self.users, self.items, self.user, self.item = model, users, items, user, item
+
+    def predict(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` with ``prediction``; null for a user or an item that the model has not seen."""
+        numbered = pairs.join(self.users, self.user, "left").join(self.items, self.item, "left")
+        factors = [
+            f.select(F.col("id").alias(n), F.col("features").alias(v))
+            for f, n, v in ((self.model.userFactors, "_user", "_p"), (self.model.itemFactors, "_item", "_q"))
+        ]
+        met = numbered.join(factors[0], "_user", "left").join(factors[1], "_item", "left")
+        product = F.aggregate(F.zip_with("_p", "_q", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+        return met.select(*pairs.columns, F.when(F.col("_p").isNotNull() & F.col("_q").isNotNull(), product).alias("prediction"))
+
+
+def factorize_keys(
+    ratings: DataFrame, user: str, item: str, rating: str, rank: int = 8, iterations: int = 5, seed: int = 0, **options
+) -> Factors:
+    """Alternating least squares for users and items with keys of any type: keys are numbered without holes, which
+    the solver asks for. Ratings without a key or a value are left out; equal pairs count each."""
+    known = ratings.select(user, item, rating).dropna()
+    users = cut_lineage(dense_ids(known.select(user).distinct(), user, name="_user"))
+    items = cut_lineage(dense_ids(known.select(item).distinct(), item, name="_item"))
+    if max(users.count(), items.count()) > MOST_IDS:
+        raise ValueError("the solver numbers at most 2^31 - 1 users and items")
+    numbered = known.join(users, user).join(items, item).select(
+        F.col("_user").cast("int").alias("_user"), F.col("_item").cast("int").alias("_item"), F.col(rating).cast("float").alias("_rating")
+    )
+    return Factors(factorize(numbered, "_user", "_item", "_rating", rank, iterations, seed, **options), users, items, user, item)
+
+
 def commodity_filter(
     df: DataFrame, commodity_col: str, commodities: Sequence[str], state_col: str | None = None, states: Sequence[str] = ()
 ) -> DataFrame:

@@ -101,39 +101,48 @@ def _bucket(word: Column, buckets: int) -> Column:
 
 
 def word_vectors(
-    df: DataFrame, words: str, size: int = 32, min_count: int = 5, buckets: int = 1 << 18, seed: int = 0,
+    df: DataFrame, words: str, size: int = 32, min_count: int = 5, buckets: int | None = None, seed: int = 0,
     partitions: int = 8,
 ) -> DataFrame:
-    """``(word, vector)`` for every word with ``min_count`` uses. Vectors are learnt for ``buckets`` hashes of words,
-    which bounds the model however many words there are; words of one bucket share a vector. Text is trained in
-    ``partitions`` parts, a parameter, so that the cluster's size does not change the vectors."""
-    counts = df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    often = counts.filter(F.col("n") >= min_count).select("word", _bucket(F.col("word"), buckets).alias("_bucket"))
-    hashed = df.select(F.transform(words, lambda w: _bucket(w, buckets)).alias("_hashed"))
+    """``(word, vector)`` for every word with ``min_count`` uses, each with a vector of its own. The model holds two
+    vectors for each of these words; ``buckets``, off unless it is given, bounds it by learning vectors of so many hashes
+    of words, which words of one hash then share. Text is trained in ``partitions`` parts, a parameter, so that the
+    cluster's size does not change the vectors."""
+    trained, name = df.select(F.col(words).alias("_words")), F.col("word")
+    if buckets:
+        trained, name = df.select(F.transform(words, lambda w: _bucket(w, buckets)).alias("_words")), _bucket(F.col("word"), buckets)
     # a bucket is used at least as often as each of its words
     model = Word2Vec(
-        vectorSize=size, minCount=min_count, inputCol="_hashed", outputCol="_v", seed=seed, maxIter=1,
+        vectorSize=size, minCount=min_count, inputCol="_words", outputCol="_v", seed=seed, maxIter=1,
         numPartitions=partitions,
-    ).fit(hashed)
-    vectors = model.getVectors().select(F.col("word").alias("_bucket"), vector_to_array("vector").alias("vector"))
-    return often.join(vectors, "_bucket").select("word", "vector")
+    ).fit(trained)
+    vectors = model.getVectors().select(F.col("word").alias("_name"), vector_to_array("vector").alias("vector"))
+    if not buckets:
+        return vectors.withColumnRenamed("_name", "word")
+    counts = df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    often = counts.filter(F.col("n") >= min_count).select("word", name.alias("_name"))
+    return often.join(vectors, "_name").select("word", "vector")
 
 
 def topics(
-    df: DataFrame, words: str, k: int = 5, terms: int = 8, buckets: int = 1 << 16, seed: int = 0, iterations: int = 10
+    df: DataFrame, words: str, k: int = 5, terms: int = 8, buckets: int | None = None, seed: int = 0, iterations: int = 10
 ) -> DataFrame:
-    """``(topic, rank, term, weight)`` of a latent Dirichlet model over ``buckets`` hashes of words: all words count,
-    and the model stays bounded. A bucket is named by its most used word, the first of equals."""
-    hashed = df.select(F.transform(words, lambda w: _bucket(w, buckets)).alias("_hashed"))
-    counts = CountVectorizer(inputCol="_hashed", outputCol="features", vocabSize=buckets).fit(hashed)
-    model = LDA(k=k, maxIter=iterations, seed=seed).fit(counts.transform(hashed).select("features"))
+    """``(topic, rank, term, weight)`` of a latent Dirichlet model over all words, which are numbered by frequency. The model
+    holds ``k`` weights for each word; ``buckets``, off unless it is given, bounds it by counting so many hashes of words
+    instead, each named by its most used word, the first of equals."""
+    listed = df.select((F.transform(words, lambda w: _bucket(w, buckets)) if buckets else F.col(words)).alias("_words"))
+    size = buckets or max(1, listed.select(F.explode("_words").alias("w")).agg(F.count_distinct("w")).first()[0])
+    counts = CountVectorizer(inputCol="_words", outputCol="features", vocabSize=size).fit(listed)
+    model = LDA(k=k, maxIter=iterations, seed=seed).fit(counts.transform(listed).select("features"))
     pairs = F.arrays_zip("termIndices", "termWeights")
     told = model.describeTopics(terms).select("topic", F.posexplode(pairs).alias("rank", "p")).select(
         "topic", (F.col("rank") + 1).alias("rank"), F.col("p.termIndices").alias("_index"), F.col("p.termWeights").alias("weight")
     )
     shown = {row["_index"] for row in told.select("_index").distinct().collect()}  # at most k * terms
-    names = df.sparkSession.createDataFrame([(i, counts.vocabulary[i]) for i in sorted(shown)], "_index int, _bucket string")
-    used = df.select(F.explode(words).alias("w")).withColumn("_bucket", _bucket(F.col("w"), buckets))
-    used = used.join(names, "_bucket", "left_semi").groupBy("_bucket", "w").agg((-F.count("*")).alias("_n"))
-    named = used.groupBy("_bucket").agg(F.min_by("w", F.struct("_n", "w")).alias("term")).join(names, "_bucket")
-    return told.join(named, "_index").select("topic", "rank", "term", "weight")
+    names = df.sparkSession.createDataFrame([(i, counts.vocabulary[i]) for i in sorted(shown)], "_index int, term string")
+    if buckets:
+        used = df.select(F.explode(words).alias("w")).withColumn("_bucket", _bucket(F.col("w"), buckets))
+        names = names.withColumnRenamed("term", "_bucket")
+        used = used.join(names, "_bucket", "left_semi").groupBy("_bucket", "w").agg((-F.count("*")).alias("_n"))
+        names = used.groupBy("_bucket").agg(F.min_by("w", F.struct("_n", "w")).alias("term")).join(names, "_bucket")
+    return told.join(names, "_index").select("topic", "rank", "term", "weight")

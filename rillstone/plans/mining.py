@@ -350,6 +350,18 @@ def frequent_itemsets(t: Tables) -> DataFrame:
     return patterns.frequent_itemsets(baskets(t), "basket", "brand", 0.01)
 
 
+@query(
+    "closed_itemsets",
+    f"""with {_SETS}, larger as (select itemset, max(n) as n from (
+        select a as itemset, n from two union all select b, n from two union all select a || ',' || b, n from three
+        union all select a || ',' || c, n from three union all select b || ',' || c, n from three) group by 1)
+      select s.itemset, size, s.n from sets s left join larger l on l.itemset = s.itemset where l.n is null or l.n < s.n""",
+)
+def closed_itemsets(t: Tables) -> DataFrame:
+    """Frequent sets that are not part of a larger one with the same count."""
+    return patterns.closed_itemsets(baskets(t), "basket", "brand", 0.01)
+
+
 @query(
     "association_rules",
     f"""with {_SETS}, dir as (select a as l, b as r, n from two union all select b, a, n from two
@@ -405,20 +417,33 @@ def item_similarity(t: Tables) -> DataFrame:
 
 @query("als")
 def als(t: Tables) -> DataFrame:
-    """Fit on one hash split of the ratings; error on both."""
+    """Fit on one hash split of the ratings; error on both, and how many pairs the model knows nothing of."""
     df = ratings(t).withColumn("pair", F.concat_ws("-", "user", "item"))
-    df = evaluate.hash_split(
-        df.withColumns({"user": F.col("user").cast("int"), "item": F.col("item").cast("int")}), "pair"
-    )
-    model = patterns.factorize(df.filter("split = 'train'"), "user", "item", "rating")
+    df = evaluate.hash_split(df, "pair")
+    model = patterns.factorize_keys(df.filter("split = 'train'"), "user", "item", "rating")
+    return _errors(model.predict(df))
+
+
+def _errors(told: DataFrame) -> DataFrame:
     return rounded(
-        model.transform(df).groupBy("split").agg(
-            F.count("*").alias("n"),
+        told.groupBy("split").agg(
+            F.count("*").alias("n"), F.count_if(F.col("prediction").isNull()).alias("n_unknown"),
             F.sqrt(F.avg(F.pow(F.col("rating") - F.col("prediction"), 2))).alias("rmse"),
         )
     )
 
 
+@query("als_text_keys")
+def als_text_keys(t: Tables) -> DataFrame:
+    """The same for users and items that are known by text and by numbers that fit no integer."""
+    df = ratings(t).select(
+        F.concat(F.lit("customer "), "user").alias("user"), (F.col("item") + F.lit(1 << 40)).alias("item"), "rating",
+        F.concat_ws("-", "user", "item").alias("pair"),
+    )
+    df = evaluate.hash_split(df, "pair")
+    return _errors(patterns.factorize_keys(df.filter("split = 'train'"), "user", "item", "rating").predict(df))
+
+
 @query(
     "commodity_filter",
     """select p_partkey, p_name, p_brand, p_type from part where p_type in ('LARGE', 'PROMO')

@@ -110,6 +110,38 @@ def test_rules_of_three_items(spark):
     assert rules[("a,b", "c")][4] == pytest.approx((2 / 3) / (3 / 5))
 
 
+def test_items_that_come_together(spark):
+    joint = [(b, f"j{i:02}") for b in range(6) for i in range(14)]
+    df = spark.createDataFrame([*joint, *[(b, "k") for b in range(4)], (9, "j00"), (9, "z")], "b int, i string")
+    got = {r["itemset"]: r["n"] for r in patterns.frequent_itemsets(df, "b", "i", 0.4).collect()}
+    names = [f"j{i:02}" for i in range(14)]
+    # j00 stands in one basket more than the others
+    assert len(got) == 2 ** 14 - 1 + 2 ** 14 and got["j00"] == 7 and got[",".join(names)] == 6 and got[",".join([*names, "k"])] == 4
+    closed = {r["itemset"]: r["n"] for r in patterns.closed_itemsets(df, "b", "i", 0.4).collect()}
+    assert closed == {"j00": 7, ",".join(names): 6, ",".join([*names, "k"]): 4}
+
+
+def test_closed_sets_of_many_items_that_come_together(spark):
+    df = spark.createDataFrame([(b, i) for b in range(50) for i in range(60) if i != 59 or b % 2], "b int, i int")
+    got = {r["size"]: r["n"] for r in patterns.closed_itemsets(df, "b", "i", 0.2).collect()}
+    assert got == {59: 50, 60: 25}
+
+
+def test_closed_sets_against_all_sets(spark):
+    import itertools
+    import random
+
+    draw = random.Random(3)
+    held = [{x for x in "abcdefg" if draw.random() < 0.6} for _ in range(40)]
+    df = spark.createDataFrame([(b, x) for b, s in enumerate(held) for x in s], "b int, i string")
+    used = [s for s in held if s]
+    n = {frozenset(c): sum(set(c) <= s for s in used) for k in range(1, 8) for c in itertools.combinations("abcdefg", k)}
+    n = {c: v for c, v in n.items() if v >= 0.2 * len(used)}
+    assert {r["itemset"]: r["n"] for r in patterns.frequent_itemsets(df, "b", "i", 0.2).collect()} == {",".join(sorted(c)): v for c, v in n.items()}
+    closed = {c: v for c, v in n.items() if not any(c < d and v == w for d, w in n.items())}
+    assert {r["itemset"]: r["n"] for r in patterns.closed_itemsets(df, "b", "i", 0.2).collect()} == {",".join(sorted(c)): v for c, v in closed.items()}
+
+
 def test_sequences(spark):
     data = [(1, "a", 1), (1, "b", 2), (1, "a", 3), (2, "a", 1), (2, "b", 5), (3, "b", 1)]
     df = spark.createDataFrame(data, "g int, e string, t int")

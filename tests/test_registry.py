@@ -22,7 +22,7 @@ def test_entry_points(spark):
 FITTED = {
     "text_classify", "word2vec", "lda_topics", "als", "kmeans", "bisecting_kmeans", "pca", "pca_reconstruction",
     "linear_models", "logistic_balanced", "linear_svm", "mlp", "decision_tree", "random_forest", "gradient_boosting",
-    "permutation_importance", "partial_dependence", "frequent_itemsets", "association_rules", "sequential_patterns",
+    "permutation_importance", "partial_dependence", "frequent_itemsets", "closed_itemsets", "association_rules", "sequential_patterns",
     "dbscan", "lof", "knn_classify", "isolation_forest", "streaming_daily", "silhouette",
 }
 
