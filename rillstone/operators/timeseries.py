@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rillstone.functions.columns import join_null_safe
 from rillstone.functions.quantiles import exact_quantiles
 from rillstone.functions.statistics import join_statistics
+from rillstone.operators.least_squares import cross_products, grouped_least_squares, solve_stack, square
 
 # Fixed value: scales the median deviation to a normal deviation.
 MAD_SCALE = 0.6745
@@ -30,40 +31,61 @@ def robust_z(df: DataFrame, value: str, by: Sequence[str], **options) -> DataFra
     return scored.withColumn("robust_z", z).drop("_median", "_mad")
 
 
-def seasonal_decompose(
-    df: DataFrame, value: str, series_keys: Sequence[str], order: str, period: int = 7
-) -> DataFrame:
-    """Additive parts of gap-free series with an odd period: centred mean over one period as the
-    trend (null where it is incomplete), mean detrended value per phase (made to average zero) as
-    the season, and the rest."""
-    if period < 3 or period % 2 == 0:
-        raise ValueError("the period must be odd and at least 3")
+def _centred_mean(value: Column, along, period: int) -> Column:
+    """Mean over one period around each row; null where it is incomplete. An even period has no row in its middle, so the
+    two rows at its ends count half each."""
     half = period // 2
-    along = Window.partitionBy(*series_keys).orderBy(order)
     around = along.rowsBetween(-half, half)
-    base = df.withColumns(
-        {
-            "trend": F.when(F.count(value).over(around) == period, F.avg(value).over(around)),
-            "phase": (F.row_number().over(along) - 1) % period,
-        }
-    )
-    phases = base.groupBy(*series_keys, "phase").agg(
-        F.avg(F.col(value) - F.col("trend")).alias("_p")
-    )
-    # One row per phase: at most ``period`` rows in a window partition.
-    centred = phases.select(
-        *series_keys,
-        "phase",
-        (F.col("_p") - F.avg("_p").over(Window.partitionBy(*series_keys))).alias("seasonal"),
-    )
-    out = join_null_safe(base, centred, [*series_keys, "phase"], "left")
-    return out.withColumn("residual", F.col(value) - F.col("trend") - F.col("seasonal"))
+    full = F.count(value).over(around) == 2 * half + 1
+    total = F.sum(value).over(around)
+    if period % 2 == 0:
+        total = total - (F.lag(value, half).over(along) + F.lead(value, half).over(along)) / 2
+    return F.when(full, total / period)
 
 
-def dickey_fuller(df: DataFrame, value: str, series_keys: Sequence[str], order: str) -> DataFrame:
-    """Slope of the change on the level before it, its standard error and t-ratio, per series."""
+def seasonal_decompose(
+    df: DataFrame, value: str, series_keys: Sequence[str], order: str, period: int | Sequence[int] = 7
+) -> DataFrame:
+    """Additive parts of gap-free series. With one period: centred mean over the period as the trend (null where it is
+    incomplete), mean detrended value per phase (made to average zero) as the season, and the rest. With several, shortest
+    first, each season is taken out before the next is looked for: what is left after a season is the input of the next
+    one; the trend is the one of the longest period. Columns are ``trend, phase, seasonal, residual`` for one period,
+    ``trend, seasonal_<period>, ..., residual`` for several."""
+    periods = [period] if isinstance(period, int) else sorted(set(period))
+    if not periods or periods[0] < 2:
+        raise ValueError("a period has at least 2 rows")
+    along = Window.partitionBy(*series_keys).orderBy(order)
+    out, left = df.withColumn("_left", F.col(value).cast("double")), F.col("_left")
+    for p in periods:
+        base = out.withColumns({"trend": _centred_mean(left, along, p), "phase": (F.row_number().over(along) - 1) % p})
+        phases = base.groupBy(*series_keys, "phase").agg(F.avg(left - F.col("trend")).alias("_p"))
+        # One row per phase: at most ``p`` rows in a window partition.
+        centred = phases.select(
+            *series_keys,
+            "phase",
+            (F.col("_p") - F.avg("_p").over(Window.partitionBy(*series_keys))).alias("seasonal"),
+        )
+        out = join_null_safe(base, centred, [*series_keys, "phase"], "left")
+        if len(periods) > 1:
+            out = out.withColumn("_left", left - F.col("seasonal")).withColumnRenamed("seasonal", f"seasonal_{p}").drop("phase")
+    if len(periods) > 1:
+        return out.withColumn("residual", left - F.col("trend")).drop("_left")
+    return out.withColumn("residual", F.col(value) - F.col("trend") - F.col("seasonal")).drop("_left")
+
+
+def dickey_fuller(df: DataFrame, value: str, series_keys: Sequence[str], order: str, lags: int = 0) -> DataFrame:
+    """Slope of the change on the level before it, its standard error and t-ratio, per series. With ``lags`` the
+    changes before are explained too (the augmented test); a series whose columns depend on each other has nulls."""
     along = Window.partitionBy(*series_keys).orderBy(order)
     steps = df.withColumn("_x", F.lag(value).over(along)).withColumn("_y", F.col(value) - F.col("_x"))
+    if lags:
+        names = [f"_d{i}" for i in range(1, lags + 1)]
+        steps = steps.withColumns({c: F.lag("_y", i).over(along) for i, c in enumerate(names, 1)})
+        fit = grouped_least_squares(steps, series_keys, "_y", ["_x", *names])
+        slope, error = F.get("coef", F.lit(1)), F.get("std_error", F.lit(1))
+        return fit.select(
+            *series_keys, "n", slope.alias("slope"), error.alias("std_error"), F.try_divide(slope, error).alias("t_stat")
+        )
     fit = steps.groupBy(*series_keys).agg(
         F.regr_count("_y", "_x").alias("n"),
         F.regr_slope("_y", "_x").alias("slope"),
@@ -85,46 +107,34 @@ def dickey_fuller(df: DataFrame, value: str, series_keys: Sequence[str], order:
 def ar_forecast(
     df: DataFrame, value: str, series_keys: Sequence[str], order: str, lags: int = 3, horizon: int = 7
 ) -> DataFrame:
-    """Least-squares autoregression of each series and its forecast. Normal equations are sums in
-    one grouped aggregate, so a series of any length becomes one row; only the small solve of that
-    row is Python, on batches of series."""
+    """``series_keys, coef, step, forecast``: least-squares autoregression of each series and its forecast. Normal equations
+    are sums in one grouped aggregate, so a series of any length becomes one row; those rows are solved in stacks. The
+    forecast goes on from the newest row that has all its lags. A series of too few rows, or whose lags depend on each
+    other, as a constant one, has no forecast."""
     along = Window.partitionBy(*series_keys).orderBy(order)
-    columns = {f"_l{i}": F.lag(value, i).over(along) for i in range(1, lags + 1)}
-    rows = df.withColumns(columns)
-    names = ["_one", *columns]
-    full = rows.withColumn("_one", F.lit(1.0)).dropna(subset=[value, *columns])
-    cross = [F.sum(F.col(a) * F.col(b)) for a in names for b in names]
-    right = [F.sum(F.col(a) * F.col(value)) for a in names]
-    sums = full.groupBy(*series_keys).agg(
-        F.array(*cross).alias("xx"), F.array(*right).alias("xy"), F.count("*").alias("n")
-    )
-    newest = rows.groupBy(*series_keys).agg(
-        F.max_by(
-            F.array(F.col(value), *[F.col(f"_l{i}") for i in range(1, lags)]), order
-        ).alias("newest")
+    names = [f"_l{i}" for i in range(1, lags + 1)]
+    rows = df.withColumns({c: F.lag(value, i).over(along) for i, c in enumerate(names, 1)})
+    sums = cross_products(rows, series_keys, value, names)
+    state = [value, *names[: lags - 1]]
+    newest = rows.dropna(subset=state).groupBy(*series_keys).agg(
+        F.max_by(F.array(*[F.col(c).cast("double") for c in state]), order).alias("newest")
     )
     joined = join_null_safe(sums, newest, series_keys).filter(F.col("n") > lags + 1)
-    size = lags + 1
+    p = lags + 1
 
     def solve(batches):
         for pdf in batches:
-            coefs, paths = [], []
-            for xx, xy, newest in zip(pdf["xx"], pdf["xy"], pdf["newest"]):
-                beta = np.linalg.lstsq(
-                    np.asarray(xx, float).reshape(size, size), np.asarray(xy, float), rcond=None
-                )[0]
-                state = [float(x) for x in newest]
-                path = []
-                for _ in range(horizon):
-                    nxt = float(beta[0] + np.dot(beta[1:], state))
-                    path.append(nxt)
-                    state = [nxt, *state[:-1]]
-                coefs.append(beta.tolist())
-                paths.append(path)
-            yield pdf[list(series_keys)].assign(coef=coefs, path=paths)
-
-    keys = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in series_keys)
-    solved = joined.mapInPandas(solve, f"{keys}, coef array<double>, path array<double>")
+            coef, _, good = solve_stack(square(pdf["xx"], p), np.array(pdf["xy"].tolist(), float).reshape(-1, p))
+            pdf, coef = pdf[good], coef[good]
+            now = np.array(pdf["newest"].tolist(), float).reshape(-1, lags)
+            path = np.empty((len(pdf), horizon))
+            for k in range(horizon):
+                path[:, k] = coef[:, 0] + np.einsum("gi,gi->g", coef[:, 1:], now)
+                now = np.column_stack([path[:, k], now[:, :-1]])
+            yield pdf[list(series_keys)].assign(coef=list(coef), path=list(path))
+
+    keys = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in series_keys)
+    solved = joined.mapInPandas(solve, f"{keys}coef array<double>, path array<double>")
     return solved.select(
         *series_keys, "coef", F.posexplode("path").alias("step", "forecast")
     ).withColumn("step", F.col("step") + 1)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from rillstone.functions.columns import rounded
 from rillstone.functions.runtime import scratch_path, spread
-from rillstone.operators import density, evaluate, models, neighbors, vectors
+from rillstone.operators import density, evaluate, least_squares, models, neighbors, vectors
+from rillstone.plans.elimination import eliminate, normal_sums
 from rillstone.plans.registry import Tables, query, r
 from rillstone.streaming import daily as stream
 
@@ -214,6 +215,34 @@ def ols(t: Tables) -> DataFrame:
     return fit.withColumns({"slope": F.round("slope", 4), "intercept": F.round("intercept", 4), "r2": F.round("r2", 6)})
 
 
+_LINE_SQL = "(select *, l_quantity::double as q, l_discount::double as d, l_tax::double as t, l_extendedprice::double as y from lineitem)"
+
+
+def _by_flag(penalty: float) -> str:
+    parts = ", ".join(f"{r(f'b_{i}', 3)} as {c}" for i, c in enumerate(("intercept", "quantity", "discount", "tax")))
+    return f"""with n as (select l_returnflag, {normal_sums('y', ['q', 'd', 't'], penalty)}, count(*) as n from {_LINE_SQL} group by 1),
+      {eliminate('n', ['l_returnflag'], 4, kept=['n'])} select l_returnflag, n, {parts} from g"""
+
+
+def _flag_fit(t: Tables, penalty: float) -> DataFrame:
+    xs = ["l_quantity", "l_discount", "l_tax"]
+    df = t.lineitem.select("l_returnflag", *[F.col(c).cast("double").alias(c) for c in [*xs, "l_extendedprice"]])
+    fit = least_squares.grouped_least_squares(df, ["l_returnflag"], "l_extendedprice", xs, penalty)
+    names = ("intercept", "quantity", "discount", "tax")
+    return rounded(fit.select("l_returnflag", "n", *(F.get("coef", F.lit(i)).alias(c) for i, c in enumerate(names))), 3)
+
+
+@query("ols_by_group", _by_flag(0.0))
+def ols_by_group(t: Tables) -> DataFrame:
+    """Several columns, one regression for each group, in one aggregate."""
+    return _flag_fit(t, 0.0)
+
+
+@query("ridge_by_group", _by_flag(50.0))
+def ridge_by_group(t: Tables) -> DataFrame:
+    return _flag_fit(t, 50.0)
+
+
 @query("linear_models")
 def linear_models(t: Tables) -> DataFrame:
     """OLS, ridge and lasso weights on the training rows, and OLS on squares and products."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rillstone.functions.columns import rounded
 from rillstone.operators import features, relational, timeseries
+from rillstone.plans.elimination import eliminate, normal_sums
 from rillstone.plans.registry import Tables, query, r
 
 # All customers against all orders. The orders' key is moved on, so both sides have keys the other lacks.
@@ -237,6 +238,46 @@ def seasonal_decompose(t: Tables) -> DataFrame:
     return rounded(timeseries.seasonal_decompose(spend(t), "x", ["site_no"], "date"))
 
 
+_DAY = """sum(x) over (partition by site_no order by date rows between 12 preceding and 12 following)
+      - (lag(x, 12) over w + lead(x, 12) over w) / 2"""
+
+
+def _season(source: str, trend: str, width: int, period: int, names: str) -> str:
+    """Trend and season of one period as three tables."""
+    t, p, s = (f"{names}_{k}" for k in "tps")
+    return f"""{t} as (select *, case when count(x) over (partition by site_no order by date rows between {width} preceding and {width} following)
+        = {2 * width + 1} then ({trend}) / {period} end as trend, (row_number() over w - 1) % {period} as phase from {source}
+        window w as (partition by site_no order by date)),
+      {p} as (select site_no, phase, avg(x - trend) as p from {t} group by 1, 2),
+      {s} as (select site_no, phase, p - avg(p) over (partition by site_no) as seasonal from {p})"""
+
+
+@query(
+    "seasonal_decompose_even",
+    f"""with {SPEND_SPINE}, {_season('spend', _DAY, 12, 24, 'a')}
+      select b.site_no, date, {r('x')} as x, {r('trend')} as trend, b.phase::int as phase, {r("seasonal")} as seasonal,
+        {r('x - trend - seasonal')} as residual from a_t b join a_s s on s.site_no = b.site_no and s.phase = b.phase""",
+)
+def seasonal_decompose_even(t: Tables) -> DataFrame:
+    """An even period, as that of readings of a day."""
+    return rounded(timeseries.seasonal_decompose(spend(t), "x", ["site_no"], "date", 24))
+
+
+@query(
+    "seasonal_decompose_two",
+    f"""with {SPEND_SPINE},
+      {_season('spend', 'sum(x) over (partition by site_no order by date rows between 3 preceding and 3 following)', 3, 7, 'a')},
+      rest as (select b.site_no, date, x as whole, seasonal as seasonal_7, x - seasonal as x
+        from a_t b join a_s s on s.site_no = b.site_no and s.phase = b.phase),
+      {_season('rest', _DAY, 12, 24, 'd')}
+      select b.site_no, date, {r('whole')} as x, {r('trend')} as trend, {r('seasonal_7')} as seasonal_7, {r('seasonal')} as seasonal_24,
+        {r('x - seasonal - trend')} as residual from d_t b join d_s s on s.site_no = b.site_no and s.phase = b.phase""",
+)
+def seasonal_decompose_two(t: Tables) -> DataFrame:
+    """Two seasons, one after the other."""
+    return rounded(timeseries.seasonal_decompose(spend(t), "x", ["site_no"], "date", [7, 24]))
+
+
 @query(
     "dickey_fuller",
     f"""with {SPEND_SPINE}, s as (select site_no, x - lag(x) over w as y, lag(x) over w as l from spend
@@ -250,9 +291,39 @@ def dickey_fuller(t: Tables) -> DataFrame:
     return rounded(timeseries.dickey_fuller(spend(t), "x", ["site_no"], "date"))
 
 
-@query("ar_forecast")
+_LAGS = """s as (select *, lag(x, 1) over w as l1, lag(x, 2) over w as l2, lag(x, 3) over w as l3 from spend
+      window w as (partition by site_no order by date))"""
+
+
+@query(
+    "ar_forecast",
+    f"""with recursive {SPEND_SPINE}, {_LAGS},
+      n as (select site_no, {normal_sums('x', ['l1', 'l2', 'l3'])}, arg_max([x, l1, l2], date) as now from s where l3 is not null group by 1),
+      {eliminate('n', ['site_no'], 4, kept=['now'])},
+      f(site_no, b_0, b_1, b_2, b_3, step, x, y, z) as (
+        select site_no, b_0, b_1, b_2, b_3, 0, now[1], now[2], now[3] from g
+        union all select site_no, b_0, b_1, b_2, b_3, step + 1, b_0 + b_1 * x + b_2 * y + b_3 * z, x, y from f where step < 7)
+      select site_no, {r('b_0')} as intercept, {r('b_1')} as lag1, {r('b_2')} as lag2, {r('b_3')} as lag3, step, {r('x')} as forecast from f where step > 0""",
+)
 def ar_forecast(t: Tables) -> DataFrame:
-    return timeseries.ar_forecast(spend(t), "x", ["site_no"], "date", lags=3, horizon=7)
+    told = timeseries.ar_forecast(spend(t), "x", ["site_no"], "date", lags=3, horizon=7)
+    names = ("intercept", "lag1", "lag2", "lag3")
+    return rounded(told.select("site_no", *(F.get("coef", F.lit(i)).alias(c) for i, c in enumerate(names)), "step", "forecast"))
+
+
+@query(
+    "dickey_fuller_lags",
+    f"""with {SPEND_SPINE}, c as (select *, lag(x) over w as l, x - lag(x) over w as y from spend window w as (partition by site_no order by date)),
+      s as (select *, lag(y, 1) over w as d1, lag(y, 2) over w as d2 from c window w as (partition by site_no order by date)),
+      n as (select site_no, {normal_sums('y', ['l', 'd1', 'd2'])}, 0.0 as e_0, 1.0 as e_1, 0.0 as e_2, 0.0 as e_3, count(*) as n from s
+        where d2 is not null group by 1),
+      {eliminate('n', ['site_no'], 4, right=('b', 'e'), kept=['n'])},
+      m as (select site_no, sum((y - b_0 - b_1 * l - b_2 * d1 - b_3 * d2) ** 2) as sse from s join g using (site_no) where d2 is not null group by 1)
+      select site_no, n, {r('b_1')} as slope, {r('sqrt(sse / (n - 4) * e_1)')} as std_error, {r('b_1 / sqrt(sse / (n - 4) * e_1)')} as t_stat
+      from g join m using (site_no)""",
+)
+def dickey_fuller_lags(t: Tables) -> DataFrame:
+    return rounded(timeseries.dickey_fuller(spend(t), "x", ["site_no"], "date", lags=2))
 
 
 @query(

@@ -114,7 +114,16 @@ def test_decomposition_adds_up(spark):
         assert r["trend"] + r["seasonal"] + r["residual"] == pytest.approx(r["x"])
         assert r["residual"] == pytest.approx(0, abs=1e-9)
     with pytest.raises(ValueError):
-        timeseries.seasonal_decompose(df, "x", ["s"], "date", 4)
+        timeseries.seasonal_decompose(df, "x", ["s"], "date", 1)
+    even = daily(spark, [10 + i + [0, 3, -3, 8][i % 4] for i in range(40)])
+    out = timeseries.seasonal_decompose(even, "x", ["s"], "date", 4).orderBy("date").collect()
+    assert [r["trend"] for r in out[:2]] == [None, None] and out[2]["trend"] == pytest.approx(12 + 2)
+    assert all(r["residual"] == pytest.approx(0, abs=1e-9) for r in out[2:-2]) and out[-1]["residual"] is None
+    two = daily(spark, [5 + [0, 3, -3][i % 3] + [1, 0, 0, -1][i % 4] for i in range(120)])
+    out = timeseries.seasonal_decompose(two, "x", ["s"], "date", [4, 3]).orderBy("date").collect()
+    for r in out[2:-2]:
+        assert r["trend"] + r["seasonal_3"] + r["seasonal_4"] + r["residual"] == pytest.approx(r["x"])
+        assert r["residual"] == pytest.approx(0, abs=0.1) and "phase" not in r
 
 
 def test_forecast_of_an_exact_recurrence(spark):
