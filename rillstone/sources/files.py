@@ -131,26 +131,36 @@ def materialize_if_absent(
 ) -> DataFrame:
     """Read-through Parquet table under ``root/tag``, partitioned by site. A finished table is
     read back with the types it was written with; ``refresh`` rebuilds the partitions that ``build``
-    returns. With ``wanted`` values of the first partition column, those that are not stored yet are
-    built and added. One site may hold much of the data, so rows go to as many writers as they
-    already have tasks."""
+    returns. With ``wanted`` values of the first partition column, those that were not asked for yet and are not
+    stored are built and added; a wanted value without rows is remembered too. A table is finished when its note beside
+    the data is, which comes last: what a crash leaves behind is built again. One site may hold much of the data, so
+    rows go to as many writers as they already have tasks."""
     path = f"{root.rstrip('/')}/{tag.replace('/', '-')}"
-    present = _exists(spark, f"{path}/_SUCCESS")
     first = partition_by[0]
-    missing = [v for v in wanted or () if not _exists(spark, f"{path}/{first}={v}")] if present else []
-    if refresh or not present or missing:
-        made = build()
-        added = made.filter(F.col(first).isin(missing)) if missing and not refresh else made
-        # A dynamic overwrite leaves no success mark, so the first write is a plain one.
-        mode = "dynamic" if present else "static"
-        (
-            added.write.mode("overwrite")
-            .option("partitionOverwriteMode", mode)
-            .partitionBy(*partition_by)
-            .parquet(path)
-        )
-        kept = spark.createDataFrame([(made.schema.json(),)], "value string")
-        kept.coalesce(1).write.mode("overwrite").text(f"{path}/_schema")
-        return spark.read.schema(made.schema).parquet(path).select(*made.columns)
-    stored = T.StructType.fromJson(json.loads(spark.read.text(f"{path}/_schema").first()[0]))
-    return spark.read.schema(stored).parquet(path).select(*stored.names)
+    note = _read_note(spark, f"{path}/_note")
+    asked = {str(v) for v in wanted or ()}
+    missing: set[str] = set()
+    if note and not refresh and asked - set(note["asked"]):
+        stored = T.StructType.fromJson(note["schema"])
+        there = spark.read.schema(stored).parquet(path).select(F.col(first).cast("string").alias("v")).filter(F.col("v").isin(sorted(asked)))
+        missing = asked - set(note["asked"]) - {r["v"] for r in there.distinct().collect()}
+    if note and not refresh and not missing:
+        stored = T.StructType.fromJson(note["schema"])
+        return spark.read.schema(stored).parquet(path).select(*stored.names)
+    made = build()
+    added = made.filter(F.col(first).cast("string").isin(sorted(missing))) if missing else made
+    # A dynamic overwrite leaves the other partitions, so the first write is a plain one.
+    (
+        added.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic" if note else "static")
+        .partitionBy(*partition_by)
+        .parquet(path)
+    )
+    text = json.dumps({"schema": made.schema.jsonValue(), "asked": sorted(asked | set(note["asked"] if note else ()))})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_note")
+    return spark.read.schema(made.schema).parquet(path).select(*made.columns)
+
+
+def _read_note(spark: SparkSession, path: str) -> dict | None:
+    """The schema and the values asked for of a finished table."""
+    return json.loads(spark.read.text(path).first()[0]) if _exists(spark, f"{path}/_SUCCESS") else None

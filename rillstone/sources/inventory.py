@@ -113,6 +113,15 @@ def discover_sites(
     return out
 
 
+# What is looked for when nothing is said: streams of one state, discharge and stage, sites in use.
+DISCOVERY = {"states": ("CO",), "variables": ("00060", "00065"), "status": "active", "site_type": "ST"}
+
+
+def discover_default_sites(sites: DataFrame, **changes) -> DataFrame:
+    """``discover_sites`` with the usual wishes, but for those given."""
+    return discover_sites(sites, **{**DISCOVERY, **changes})
+
+
 def valid_catalog(catalog: DataFrame) -> DataFrame:
     return catalog.filter((F.btrim("label", F.lit(BLANKS)) != "") & (F.btrim("site_no", F.lit(BLANKS)) != ""))
 

@@ -94,3 +94,26 @@ def test_read_through_keeps_types_and_adds_sites(spark, tmp_path):
     assert rows(again) == [("09095500", 1.0)] and again.schema == made().schema
     more = files.materialize_if_absent(spark, str(tmp_path), "iv_7d", made, wanted=["09095500", "09152500"])
     assert rows(more) == [("09095500", 1.0), ("09152500", 2.0)]
+
+
+def test_read_through_remembers_sites_without_rows_and_odd_names(spark, tmp_path):
+    calls = []
+
+    def made():
+        calls.append(1)
+        return spark.createDataFrame([("a/b=c %", 1.0), ("x", 2.0)], "site_no string, v double")
+
+    wanted = ["a/b=c %", "never there"]
+    for _ in range(3):
+        got = files.materialize_if_absent(spark, str(tmp_path), "iv_7d", made, wanted=wanted)
+        assert rows(got) == [("a/b=c %", 1.0), ("x", 2.0)]
+    assert len(calls) == 1
+    assert rows(files.materialize_if_absent(spark, str(tmp_path), "iv_7d", made, wanted=["x"])) == rows(got) and len(calls) == 1
+
+
+def test_read_through_after_a_crash(spark, tmp_path):
+    """Data without a note are not finished, whatever marks they have."""
+    spark.createDataFrame([("A", "old")], "site_no string, other string").write.partitionBy("site_no").parquet(f"{tmp_path}/iv_7d")
+    made = lambda: spark.createDataFrame([("B", 2.0)], "site_no string, v double")
+    for _ in range(2):
+        assert rows(files.materialize_if_absent(spark, str(tmp_path), "iv_7d", made)) == [("B", 2.0)]
