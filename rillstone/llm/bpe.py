@@ -2,8 +2,10 @@
 
 A piece of text becomes a doubly linked list of symbols; a priority queue holds the merges of neighbours by rank, and
 an entry whose symbols have changed since is skipped when it comes up. Pieces repeat, so each worker keeps the results
-of the pieces it has met, up to a fixed number. Text is split as the file's settings say: special tokens first, then
-canonical composition, one space for each run of white space, lower case letter by letter, and the file's pattern.
+of the short pieces it has met, up to a fixed number. Text is split as the file's settings say: special tokens first, then
+canonical composition, one space for each run of white space, lower case letter by letter, and the file's pattern. Texts
+of common letters are split here; others by the library's normaliser and pattern, whose Unicode tables may be newer than
+Python's.
 
 Defined cases: a null text is an empty one; an empty or blank text has no tokens and decodes to the empty string.
 Rows keep their ``doc_id``, null or repeated; other columns are not read.
@@ -20,12 +22,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Tokenizer
 
 WORD_END = "</w>"
-#: Pieces a worker remembers.
-REMEMBERED = 700_000
+#: Pieces a worker remembers, and the most characters of one.
+REMEMBERED, LONGEST = 400_000, 64
 #: Unicode white space.
 _BLANK = "\t-\r \x85\xa0  -     　"
 #: Letters with marks of their own, where neither composition nor lower case needs a look at the neighbours.
@@ -33,7 +35,9 @@ _PLAIN_TO = 0x21F
 
 
 def _class(kind: str) -> str:
-    return "".join(re.escape(chr(c)) for c in range(_PLAIN_TO + 1) if unicodedata.category(chr(c))[0] == kind)
+    """The characters of a kind among common ones and what those become in lower case."""
+    common = "".join(map(chr, range(_PLAIN_TO + 1)))
+    return "".join(re.escape(c) for c in sorted({*common, *common.lower()}) if unicodedata.category(c)[0] == kind)
 
 
 _PLAIN = re.compile(f"[\t\n\r -~\xa1-{chr(_PLAIN_TO)}]*")
@@ -41,7 +45,6 @@ _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 _FAST = re.compile(
     f"{_ENDINGS}|[{_class('L')}]+|[{_class('N')}]|[^{_BLANK}{_class('L')}{_class('N')}]+"
 )
-_FULL = regex.compile(rf"{_ENDINGS}|\p{{L}}+|\p{{N}}|[^{_BLANK}\p{{L}}\p{{N}}]+")
 
 
 def plain(text: str) -> bool:
@@ -53,14 +56,6 @@ def short_pieces(text: str) -> list[str]:
     return _FAST.findall(text.lower())
 
 
-def pieces(text: str) -> list[str]:
-    """The pieces of a text between special tokens, in order."""
-    if plain(text):
-        return short_pieces(text)
-    text = regex.sub(f"[{_BLANK}]+", " ", unicodedata.normalize("NFC", text))
-    return _FULL.findall(text.replace("Σ", "σ").lower())
-
-
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable ones for themselves, the others counted on from 256."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -82,11 +77,20 @@ class Encoder:
         self.ranks = {pair: rank for rank, pair in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in held["added_tokens"]}
         self.letters = byte_letters()
+        self.bytes = {ord(c): b for b, c in enumerate(self.letters)}
+        self.library = Tokenizer.from_file(path)
         marks = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
         self.strings = {i: s for s, i in [*self.ids.items(), *self.special.items()]}
         self.known: dict[str, tuple[str, str, int]] = {}
 
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of a text between special tokens, in order."""
+        if plain(text):
+            return short_pieces(text)
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(self.bytes.__getitem__, map(ord, p))).decode("utf-8", "replace") for p, _ in found]
+
     def symbols(self, piece: str) -> list[str]:
         """The strings of a piece's tokens."""
         s = [self.letters[b] for b in piece.encode("utf-8", "surrogatepass")]
@@ -115,17 +119,18 @@ class Encoder:
         """Decimal ids and strings of a piece's tokens, each joined by a space, and their number."""
         found = self.known.get(piece)
         if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
             ids = [self.ids[x] for x in self.symbols(piece)]
             found = (" ".join(map(str, ids)), self.decode(ids), len(ids))
-            self.known[piece] = found
+            if len(piece) <= LONGEST:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[piece] = found
         return found
 
     def parts(self, text: str) -> list[tuple[str, str, int]]:
         if "<|" not in text or self.cut is None:
             known, out = self.known.get, []
-            for p in pieces(text):
+            for p in self.pieces(text):
                 out.append(known(p) or self.piece(p))
             return out
         out = []
@@ -133,7 +138,7 @@ class Encoder:
             if part in self.special:
                 out.append((str(self.special[part]), part, 1))
             else:
-                out.extend(self.piece(p) for p in pieces(part))
+                out.extend(self.piece(p) for p in self.pieces(part))
         return out
 
     def encode(self, text: str) -> list[int]:

@@ -26,7 +26,7 @@ from rillstone.llm.multiset_hash import id_runs
 
 #: Ids in a block, unless one document has more.
 BLOCK = 1 << 16
-#: Pieces a worker remembers.
+#: Pieces a worker remembers; none of more than ``bpe.LONGEST`` characters.
 REMEMBERED = 1_000_000
 BLOCKS = "file int, first_id long, at long, width int, doc_ids binary, no_id binary, counts binary, packed binary"
 
@@ -85,6 +85,9 @@ class _Library:
                 known[p] = np.array(e.ids, np.uint32).tobytes()
             for k, s in split.items():
                 out[k] = np.frombuffer(b"".join(map(known.__getitem__, s)), np.uint32)
+            for p in new:
+                if len(p) > bpe.LONGEST:
+                    del known[p]
         rest = [k for k, p in enumerate(plain) if not p]
         for k, e in zip(rest, self.library.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, np.uint32)
@@ -170,6 +173,25 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn("start", F.col("at") + F.col("_base")).drop("_base")
 
 
+def read_ids(spark: SparkSession, path: str, start: int, count: int) -> np.ndarray:
+    """``count`` ids from position ``start`` of all files on; positions after the end give fewer. Files and blocks
+    without them are passed over, and of a block only the bits asked for are unpacked."""
+    end = start + count
+    before = F.sum("ids").over(Window.orderBy("file"))
+    files = spark.read.schema("file int, ids long").parquet(f"{path}/files").select("file", before.alias("_end"), (before - F.col("ids")).alias("_base"))
+    near = {r["file"]: r["_base"] for r in files.filter((F.col("_base") < end) & (F.col("_end") > start)).collect()}
+    room = F.octet_length("packed") * 8 / F.col("width")
+    base = F.element_at(F.create_map(*(F.lit(x) for pair in near.items() for x in pair)), F.col("file")) if near else F.lit(0)
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").filter(F.col("file").isin(list(near)))
+    blocks = blocks.withColumn("start", F.col("at") + base).filter((F.col("start") < end) & (F.col("start") + room > start))
+    out = [np.empty(0, np.uint32)]
+    for r in blocks.select("start", "width", "counts", "packed").orderBy("start").toLocalIterator():
+        first, last = max(0, start - r["start"]), min(end - r["start"], int(np.frombuffer(r["counts"], np.int64).sum()))
+        if last > first:
+            out.append(unpack(bytes(r["packed"]), r["width"], first, last - first))
+    return np.concatenate(out)
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files."""
 
