@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rillstone.functions.statistics import join_statistics
 from rillstone.llm.blocks import written
 
 LABELS = ("allow", "block")
@@ -71,16 +72,45 @@ def tokens(url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(every)
 
 
-def mine(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
-    """``rule, parts, label, confidence, support`` from ``labelled(items, verdict)``. Only parts that pass the support
-    are in a combination, so a common part makes no more of them."""
+def token_classes(labelled: DataFrame, support: float) -> DataFrame:
+    """``token, class, sure``: the frequent tokens of ``labelled(items, verdict)``. Tokens that stand in exactly the same
+    baskets are a class, named by the smallest; ``sure`` is the label that all baskets of the class have, if they do."""
+    baskets = labelled.withColumn("_basket", F.monotonically_increasing_id())
+    least = F.lit(support) * labelled.count()
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "_basket")).alias(f"_m{seed}") for seed in (1, 2)]
+    each = baskets.select("_basket", "verdict", F.explode("items").alias("token")).groupBy("token").agg(
+        F.count("*").alias("n"), *marks,
+        F.when(F.min("verdict") == F.max("verdict"), F.min("verdict")).alias("sure"),
+    ).filter(F.col("n") >= least)
+    named = each.groupBy("n", "_m1", "_m2").agg(F.min("token").alias("class"))
+    return each.join(named, ["n", "_m1", "_m2"]).select("token", "class", "sure", "n")
+
+
+def mine(labelled: DataFrame, support: float, confidence: float) -> tuple[DataFrame, DataFrame]:
+    """``rule, parts, label, confidence, support`` from ``labelled(items, verdict)``, and ``token, class`` of the tokens
+    that parts stand for. Nothing is mined that could not become a rule: of tokens with the same baskets one is, since
+    a rule with two of them is no more certain than with one, and tokens that make a label certain are rules by
+    themselves."""
+    total = labelled.count()
+    tokens_of = written(token_classes(labelled, support), "tokens")
     label = F.concat(F.lit("label:"), F.col("verdict"))
-    baskets = labelled.select(F.concat("items", F.array(label)).alias("items"))
+    open_tokens = tokens_of.filter("token = class AND sure IS NULL").select("token")
+    numbered = written(labelled.withColumn("_basket", F.monotonically_increasing_id()), "baskets")
+    kept = numbered.select("_basket", F.explode("items").alias("token")).join(open_tokens, "token", "left_semi")
+    lists = kept.groupBy("_basket").agg(F.collect_set("token").alias("_open"))
+    baskets = numbered.join(lists, "_basket", "left").select(
+        F.concat(F.coalesce("_open", F.array().cast("array<string>")), F.array(label)).alias("items")
+    )
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
     rules = found.filter(F.col("consequent")[0].startswith("label:")).filter(
         ~F.exists("antecedent", lambda x: x.startswith("label:"))
     ).select(
         F.array_sort("antecedent").alias("parts"), F.substring(F.col("consequent")[0], 7, 100).alias("label"), "confidence", "support"
+    ).unionByName(
+        tokens_of.filter("token = class AND sure IS NOT NULL").select(
+            F.array("token").alias("parts"), F.col("sure").alias("label"), F.lit(1.0).alias("confidence"),
+            (F.col("n") / F.lit(float(max(1, total)))).alias("support"),
+        )
     )
     rules = written(rules.withColumn("rule", F.xxhash64("parts", "label")), "rules")
     # a longer rule goes if one with a part less is as certain
@@ -88,34 +118,41 @@ def mine(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
         "_long", "confidence", F.xxhash64(F.array_remove("parts", F.col("_part")), "label").alias("rule")
     )
     worse = shorter.join(rules.select("rule", F.col("confidence").alias("_sure")), "rule").filter("_sure >= confidence")
-    return rules.join(worse.select(F.col("_long").alias("rule")).distinct(), "rule", "left_anti")
+    return rules.join(worse.select(F.col("_long").alias("rule")).distinct(), "rule", "left_anti"), tokens_of.select("token", "class")
 
 
 def judge(
     pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, support: float = 0.01, confidence: float = 0.6
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` of every row of ``pages(page_id, url)``; score is the share of
-    the votes that say block, null where a given rule has judged."""
+    the votes that say block, null where a given rule has judged. A rule votes once for each choice of one token
+    of the URL for each of its parts."""
     url = F.col("url").cast("string")
     read = pages.select("page_id", url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     read = read.withColumn("_m", matched_rule(F.col("host"), F.col("path"), rules)).withColumn("items", tokens(F.col("url")))
+    read = read.withColumn("_list", F.md5(F.to_json("items").cast("binary")))
     known = read.filter("_m IS NOT NULL").select("items", F.col("_m.verdict").alias("verdict"))
     votes = {r["verdict"]: r["n"] for r in known.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
     default = max(LABELS, key=lambda x: votes.get(x, 0))
-    # equal lists of tokens are judged once
-    lists = read.filter("_m IS NULL AND size(items) > 0").select("items").distinct()
     if not votes:
         return _out(read.withColumn("score", F.lit(None).cast("double")), default)
-    kept = written(mine(known, support, confidence), "kept")
-    index = kept.select("rule", "label", "confidence", F.size("parts").alias("_size"), F.explode("parts").alias("token"))
-    hits = (
-        lists.withColumn("token", F.explode("items")).join(index, "token")
-        .groupBy("items", "rule", "label", "confidence", "_size").agg(F.count("*").alias("_met")).filter("_met = _size")
+    kept, classes = mine(known, support, confidence)
+    kept = written(kept, "kept")
+    index = kept.select("rule", "label", "confidence", F.size("parts").alias("_size"), F.explode("parts").alias("class"))
+    # equal lists of tokens are judged once
+    lists = read.filter("_m IS NULL AND size(items) > 0").groupBy("_list").agg(F.first("items").alias("items"))
+    parts = lists.select("_list", F.explode("items").alias("token")).join(classes, "token").groupBy("_list", "class").agg(
+        F.count("*").cast("double").alias("_choices")
     )
-    scored = hits.groupBy("items").agg(
-        (F.sum(F.when(F.col("label") == "block", F.col("confidence")).otherwise(0.0)) / F.sum("confidence")).alias("score")
+    hits = parts.join(index, "class").groupBy("_list", "rule", "label", "confidence", "_size").agg(
+        F.count("*").alias("_met"), F.product("_choices").alias("_votes")
+    ).filter("_met = _size")
+    vote = F.col("confidence") * F.col("_votes")
+    scored = hits.groupBy("_list").agg(
+        (F.sum(F.when(F.col("label") == "block", vote).otherwise(0.0)) / F.sum(vote)).alias("score")
     )
-    return _out(read.join(scored, "items", "left"), default)
+    # pages stay where they are unless there are very many different lists
+    return _out(join_statistics(read, scored, ["_list"], "left"), default)
 
 
 def _out(read: DataFrame, default: str) -> DataFrame:
