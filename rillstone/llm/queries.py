@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillstone.functions.runtime import scratch_path, use_utc
+from rillstone.functions.runtime import scratch_path, small_batches, use_utc
 from rillstone.llm import (
     bpe, collocations, contamination, fair_mix, minhash_dedup, multiset_hash, quality_gam, rotation_codes, spelling, substring_dedup, token_files, toxicity,
     url_rules,
@@ -17,7 +17,7 @@ ORACLES: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return small_batches(use_utc(spark)).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def op6_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
