@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rillstone.functions.ordered import running_totals
 from rillstone.functions.quantiles import exact_quantiles
+from rillstone.functions.runtime import cut_lineage
 from rillstone.functions.statistics import join_statistics
 
 HASH_RANGE = float(1 << 60)
@@ -92,15 +93,14 @@ def _curve(df: DataFrame, score: str, label: str, **options) -> DataFrame:
         .groupBy(F.col(score).cast("double").alias("score"))
         .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
     )
-    return running_totals(per_score, [], "score", ["pos", "neg"], descending=True, **options)
+    # counted once: running totals and their users read it several times
+    return running_totals(cut_lineage(per_score), [], "score", ["pos", "neg"], descending=True, **options)
 
 
 def roc_curve(df: DataFrame, score: str, label: str, **options) -> DataFrame:
     """``score, tpr, fpr`` at every distinct score."""
     curve = _curve(df, score, label, **options)
-    totals = df.filter(F.col(score).isNotNull()).agg(
-        F.struct(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    ).scalar()
+    totals = curve.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
     return curve.select(
         "score",
         F.try_divide("cum_pos", totals.getField("p")).alias("tpr"),
@@ -208,13 +208,18 @@ def bootstrap_mean(
     df: DataFrame, value: str, key: str, by: Sequence[str] = (), replicates: int = 200, level: float = 0.95, seed: int = 0
 ) -> DataFrame:
     """Mean with a bootstrap interval. Each row gets a Poisson weight for each replicate from a
-    hash of its key; rows are expanded inside the task and summed there, so what is shuffled is
-    one row per group, replicate and task."""
-    one = df.filter(F.col(value).isNotNull()).select(
-        *by, F.col(value).alias("_v"), F.col(key).alias("_k"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r")
+    digest of its key, the same in any engine; rows are expanded inside the task and summed there, so what is
+    shuffled is one row per group, replicate and task. Rows of one key have the same weights: with a key that names
+    stretches of time, whole stretches are drawn, as series need whose values depend on each other."""
+    digests = F.transform(
+        F.sequence(F.lit(0), F.lit((replicates - 1) // 4)),
+        lambda d: F.md5(F.concat_ws(":", F.col(key).cast("string"), d.cast("string"), F.lit(str(seed)))),
     )
-    u = F.pmod(F.xxhash64("_k", "_r", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    weighed = one.withColumn("_w", _poisson(u))
+    held = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), digests.alias("_d"))
+    one = held.select(*by, "_v", "_d", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_r"))
+    # a digest has four draws of 32 bits
+    part = F.substring(F.get("_d", F.floor(F.col("_r") / 4).cast("int")), F.col("_r") % 4 * 8 + 1, F.lit(8))
+    weighed = one.select(*by, "_v", "_r", _poisson(F.conv(part, 16, 10).cast("long") / float(1 << 32)).alias("_w"))
     means = weighed.groupBy(*by, "_r").agg(
         F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")).alias("_m")
     )

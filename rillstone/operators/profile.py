@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from rillstone.functions.columns import epoch_micros, missing_label
 from rillstone.functions.radix import column_quantiles
+from rillstone.functions.runtime import cut_lineage
 
 QUARTILES = (0.25, 0.5, 0.75)
 DISTINCT_SHOWN = 10
@@ -191,19 +192,22 @@ def dataset_overview(
     state column, number and the first ``shown`` values of the deposit type. Values stay rows, so
     a column with very many of them is no burden for one task."""
 
+    # the table is read once; what is asked of it is in the counts of pairs
+    pairs = cut_lineage(df.groupBy(F.col(state).alias("_s"), F.col(dep_type).alias("_d")).agg(F.count("*").alias("_n")))
+
     def item(name: str, value) -> list:
         return [F.lit(name).alias("item"), value.cast("string").alias("value")]
 
     def values(c: str) -> DataFrame:
-        return df.select(c).filter(F.col(c).isNotNull()).distinct()
+        return pairs.select(c).filter(F.col(c).isNotNull()).distinct()
 
     parts = [
-        df.agg(F.count("*").alias("n")).select(*item("rows", F.col("n"))),
-        df.agg(F.lit(len(df.columns)).alias("n")).select(*item("columns", F.col("n"))),
-        df.agg(F.count_distinct(state).alias("n")).select(*item("states", F.col("n"))),
-        df.agg(F.count_distinct(dep_type).alias("n")).select(*item("dep_types", F.col("n"))),
-        values(state).select(*item("state", F.col(state))),
-        values(dep_type).orderBy(dep_type).limit(shown).select(*item("dep_type", F.col(dep_type))),
+        pairs.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).select(*item("rows", F.col("n"))),
+        pairs.agg(F.lit(len(df.columns)).alias("n")).select(*item("columns", F.col("n"))),
+        pairs.agg(F.count_distinct("_s").alias("n")).select(*item("states", F.col("n"))),
+        pairs.agg(F.count_distinct("_d").alias("n")).select(*item("dep_types", F.col("n"))),
+        values("_s").select(*item("state", F.col("_s"))),
+        values("_d").orderBy("_d").limit(shown).select(*item("dep_type", F.col("_d"))),
     ]
     out = parts[0]
     for p in parts[1:]:

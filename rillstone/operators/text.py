@@ -11,6 +11,8 @@ from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rillstone.functions.runtime import cut_lineage
+
 # Common English words that carry little meaning.
 STOPWORDS = (
     "a about after all also an and any are as at be been but by can could did do does for from had "
@@ -96,6 +98,48 @@ def fit_text_classifier(
     return Pipeline(stages=stages).fit(train)
 
 
+def fit_bayes(train: DataFrame, words: str, label: str, smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Multinomial Bayes over all words, in joins and aggregates: ``term, gains`` with a gain for each label that has the
+    word, and ``labels``, one row with an array of every label's prior and of the logarithm that a known word has there
+    without having been seen. All words of the training rows count."""
+    known = train.filter(F.col(label).isNotNull())
+    seen = known.select(F.col(label).alias("_label"), F.explode(words).alias("term")).groupBy("_label", "term").agg(F.count("*").alias("_n"))
+    seen = cut_lineage(seen)
+    size = seen.select(F.count_distinct("term")).scalar()
+    docs = known.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_docs"))
+    totals = seen.groupBy("_label").agg(F.sum("_n").alias("_total"))
+    total = F.coalesce("_total", F.lit(0)) + F.lit(smoothing) * size
+    each = cut_lineage(docs.join(totals, "_label", "left").select(
+        "_label", F.log(F.col("_docs") / known.select(F.count("*")).scalar()).alias("prior"), F.log(smoothing / total).alias("rest")
+    ))
+    labels = each.agg(F.array_sort(F.collect_list(F.struct(F.col("_label").alias("label"), "prior", "rest"))).alias("labels"))
+    gain = F.log((F.col("_n") + smoothing) / smoothing)
+    terms = seen.groupBy("term").agg(F.collect_list(F.struct(F.col("_label").alias("label"), gain.alias("gain"))).alias("gains"))
+    return terms, labels
+
+
+def bayes_classify(df: DataFrame, key: str, words: str, model: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``key, prediction, score`` of every row: the label of the largest logarithm, the smaller of equals. Words that were
+    not trained on count for nothing; a row without known words goes by the priors."""
+    terms, labels = model
+    counts = term_counts(df, key, words).join(terms, "term")
+    each = counts.select(key, "n", "gains", F.posexplode("gains").alias("_i", "g"))
+    sums = each.groupBy(key, F.col("g.label").alias("_label")).agg(
+        F.sum(F.col("n") * F.col("g.gain")).alias("_gain"), F.sum(F.when(F.col("_i") == 0, F.col("n")).otherwise(0)).alias("_first")
+    )
+    per = sums.groupBy(key).agg(F.sum("_first").alias("_known"), F.collect_list(F.struct("_label", "_gain")).alias("_gains"))
+    told = df.select(key).join(per, key, "left").withColumn("_labels", labels.scalar())
+
+    def score(x: Column) -> Column:
+        own = F.filter("_gains", lambda g: g["_label"] == x["label"])
+        gain = F.coalesce(F.try_element_at(own, F.lit(1)).getField("_gain"), F.lit(0.0))
+        return x["prior"] + F.coalesce("_known", F.lit(0)) * x["rest"] + gain
+
+    scored = F.transform("_labels", lambda x: F.struct((-score(x)).alias("less"), x["label"].alias("label")))
+    best = told.select(key, F.array_min(scored).alias("_b"))
+    return best.select(key, F.col("_b.label").alias("prediction"), (-F.col("_b.less")).alias("score"))
+
+
 def _bucket(word: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("string")
 

@@ -79,6 +79,26 @@ def text_classify(t: Tables) -> DataFrame:
     return out
 
 
+@query(
+    "text_bayes",
+    f"""with s as (select doc_id, words, quality as label, ('0x' || substr(md5(doc_id || ':0'), 1, 15))::bigint < {int(0.8 * evaluate.HASH_RANGE)} as train
+        from {TOKENS} join labels using (doc_id)),
+      b as (select doc_id, label, train, term, count(*) as n from (select doc_id, label, train, unnest(words) as term from s) group by all),
+      c as (select label, term, sum(n) as n from b where train group by 1, 2),
+      m as (select label, ln(d / (select count(*) from s where train)) as prior, coalesce(total, 0) + (select count(distinct term) from c) as total
+        from (select label, count(*) as d from s where train group by 1) left join (select label, sum(n) as total from c group by 1) using (label)),
+      x as (select b.doc_id, m.label, sum(b.n * ln((coalesce(c.n, 0) + 1.0::double) / total)) as gain from b
+        join (select distinct term from c) using (term) join m on true left join c on c.label = m.label and c.term = b.term where not b.train group by 1, 2),
+      y as (select s.doc_id, m.label, prior + coalesce(gain, 0) as score from s join m on true left join x on x.doc_id = s.doc_id and x.label = m.label where not train)
+      select doc_id, first(label order by score desc, label)::double as prediction, {r('max(score)')} as score from y group by 1""",
+)
+def text_bayes(t: Tables) -> DataFrame:
+    """Bayes over all words, trained on one hash split and asked for the other."""
+    data = evaluate.hash_split(labelled_words(t), "doc_id")
+    model = text.fit_bayes(data.filter("split = 'train'"), "words", "label")
+    return rounded(text.bayes_classify(data.filter("split = 'test'"), "doc_id", "words", model))
+
+
 @query("word2vec")
 def word2vec(t: Tables) -> DataFrame:
     return text.word_vectors(words(t), "words", size=16)
@@ -131,10 +151,29 @@ def stratified_split(t: Tables) -> DataFrame:
     return evaluate.stratified_split(t.events.select("event_id", "event_type"), "event_id", "event_type")
 
 
-@query("bootstrap_ci")
+def _poisson_sql(u: str) -> str:
+    """Poisson(1) draws, as the case of the sums of its probabilities."""
+    term, total, out = 2.718281828459045**-1, 0.0, "case"
+    for n in range(12):
+        total += term
+        out += f" when {u} < {total!r}::double then {n}"
+        term /= n + 1
+    return out + " else 12 end"
+
+
+@query(
+    "bootstrap_ci",
+    f"""with d as (select event_type, value, d, md5(event_id || ':' || d || ':0') as h from events, (select unnest(range(0, 50)) as d) where value is not null),
+      u as (select event_type, value, d * 4 + p as r, ('0x' || substr(h, p * 8 + 1, 8))::bigint / 4294967296.0::double as u
+        from d, (select unnest([0, 1, 2, 3]) as p)),
+      m as (select event_type, r, sum(w * value) / sum(w) as m from (select *, {_poisson_sql('u')} as w from u) group by 1, 2),
+      i as (select event_type, quantile_cont(m, 0.025) as low, quantile_cont(m, 0.975) as high, stddev_samp(m) as std_error from m group by 1)
+      select event_type, count(value) as n, {r('avg(value)', 6)} as mean, {r('min(low)', 6)} as low, {r('min(high)', 6)} as high,
+        {r('min(std_error)', 6)} as std_error from events join i using (event_type) group by 1""",
+)
 def bootstrap_ci(t: Tables) -> DataFrame:
     df = spread(t.events.select("event_id", "event_type", "value"))
-    return evaluate.bootstrap_mean(df, "value", "event_id", ["event_type"])
+    return rounded(evaluate.bootstrap_mean(df, "value", "event_id", ["event_type"]), 6)
 
 
 @query(

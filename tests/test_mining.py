@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rillstone.functions.numbering import dense_ids
 from rillstone.operators import evaluate, models, patterns, privacy, text, vectors
 from tests.conftest import rows
 
@@ -36,6 +37,40 @@ def test_every_word_has_a_vector_and_every_word_counts(spark):
     assert told[0]["weight"] == pytest.approx(1)
 
 
+def test_words_do_not_share_vectors(spark):
+    r = np.random.default_rng(0)
+    words = [f"w{i}" for i in range(300)]
+    df = spark.createDataFrame([([words[k] for k in r.integers(0, 300, 60)],) for _ in range(80)], "w array<string>")
+    got = {x["word"]: tuple(x["vector"]) for x in text.word_vectors(df, "w", 4, 2, partitions=1).collect()}
+    assert len(got) > 290 and len(set(got.values())) == len(got)
+    told = text.topics(df, "w", k=2, terms=300, iterations=1).collect()
+    assert {x["term"] for x in told} == set(got) | set(words) and len(told) == 600
+
+
+def test_factors_of_any_keys(spark):
+    rows = [(f"user {u}", (1 << 40) + i, float(1 + u % 3 + i % 2)) for u in range(12) for i in range(8) if (u + i) % 5]
+    df = spark.createDataFrame([*rows, (None, 1 << 40, 3.0)], "u string, i long, r double")
+    model = patterns.factorize_keys(df, "u", "i", "r", rank=3, iterations=10)
+    asked = spark.createDataFrame([*[(u, i) for u, i, _ in rows], ("nobody", 1 << 40), ("user 1", 7)], "u string, i long")
+    got = {(x["u"], x["i"]): x["prediction"] for x in model.predict(asked).collect()}
+    assert got["nobody", 1 << 40] is None and got["user 1", 7] is None
+    assert np.sqrt(np.mean([(got[u, i] - r) ** 2 for u, i, r in rows])) < 0.35
+
+
+def test_dense_numbers(spark):
+    df = spark.range(0, 5000).selectExpr("cast(id * 7 % 5000 as string) as k").repartition(7)
+    got = {r["k"]: r["n"] for r in dense_ids(df, "k", name="n").collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(got) and sorted(got.values()) == list(range(5000))
+
+
+def test_rows_of_a_block_are_drawn_together(spark):
+    df = spark.range(0, 400).selectExpr("id", "id div 100 as block", "cast(id div 100 as double) as v")
+    alone = evaluate.bootstrap_mean(df, "v", "id").first()
+    blocks = evaluate.bootstrap_mean(df, "v", "block").first()
+    assert alone["mean"] == blocks["mean"] == 1.5 and blocks["std_error"] > 4 * alone["std_error"]
+    assert evaluate.bootstrap_mean(df.repartition(3), "v", "id").first()["low"] == pytest.approx(alone["low"])
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     rng = np.random.default_rng(3)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import re
+import sys
 
 import pytest
 
@@ -18,9 +19,17 @@ def test_entry_points(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) >= set(QUERIES)
 
 
+def test_queries_without_an_optional_package(monkeypatch):
+    entry = importlib.import_module("__spark_entry__")
+    for name in [m for m in sys.modules if m.startswith("rillstone.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLES)
+
+
 # Models fit when a query is built, which takes long; their plans are not looked at here.
 FITTED = {
-    "text_classify", "word2vec", "lda_topics", "als", "kmeans", "bisecting_kmeans", "pca", "pca_reconstruction",
+    "text_bayes", "text_classify", "word2vec", "lda_topics", "als", "als_text_keys", "kmeans", "bisecting_kmeans", "pca", "pca_reconstruction",
     "linear_models", "logistic_balanced", "linear_svm", "mlp", "decision_tree", "random_forest", "gradient_boosting",
     "permutation_importance", "partial_dependence", "frequent_itemsets", "closed_itemsets", "association_rules", "sequential_patterns",
     "dbscan", "lof", "knn_classify", "isolation_forest", "streaming_daily", "silhouette",

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillstone.operators import filters, relational, shape, timeseries
+from rillstone.operators import filters, least_squares, relational, shape, timeseries
 from tests.conftest import rows
 
 
@@ -165,3 +165,42 @@ def test_folds_train_before_test(spark, kind):
     ends = out.groupBy("fold").pivot("role", ["train", "test"]).agg(F.min("date").alias("a"), F.max("date").alias("z")).collect()
     assert len(ends) == 4 and all(r["train_z"] < r["test_a"] for r in ends)
     assert out.filter("role = 'test'").select("date").distinct().count() == 40
+
+
+def test_regressions_of_many_groups(spark):
+    rng = np.random.default_rng(4)
+    data = []
+    for g in range(5):
+        x = rng.normal(size=(40, 2))
+        if g == 3:
+            x[:, 1] = 2 * x[:, 0] - 1
+        if g == 4:
+            x = x[:3]
+        y = 1 + g * x[:, 0] - 2 * x[:, 1] + rng.normal(0, 0.1, len(x))
+        data += [(g, *map(float, r), float(v)) for r, v in zip(x, y, strict=True)]
+    df = spark.createDataFrame([*data, (0, None, 1.0, 1.0)], "g int, a double, b double, y double")
+    got = {r["g"]: r for r in least_squares.grouped_least_squares(df, ["g"], "y", ["a", "b"]).collect()}
+    for g in range(3):
+        part = np.array([r[1:] for r in data if r[0] == g])
+        m = np.column_stack([np.ones(40), part[:, :2]])
+        coef, sse, *_ = np.linalg.lstsq(m, part[:, 2], rcond=None)
+        assert got[g]["coef"] == pytest.approx(coef.tolist()) and got[g]["sse"] == pytest.approx(sse[0]) and got[g]["n"] == 40
+        error = np.sqrt(np.diag(np.linalg.inv(m.T @ m)) * sse[0] / 37)
+        assert got[g]["std_error"] == pytest.approx(error.tolist()) and not got[g]["collinear"]
+    assert got[3]["collinear"] and got[3]["coef"] is None and got[3]["sse"] is None
+    assert got[4]["coef"] is not None and got[4]["std_error"] is None
+    ridge = {r["g"]: r for r in least_squares.grouped_least_squares(df, ["g"], "y", ["a", "b"], 10.0).collect()}
+    assert ridge[3]["coef"] is not None and abs(ridge[1]["coef"][2]) < abs(got[1]["coef"][2])
+
+
+def test_unit_root_with_lags(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=300).cumsum()
+    got = timeseries.dickey_fuller(daily(spark, x), "x", ["s"], "date", lags=2).first()
+    dx = np.diff(x)
+    m = np.column_stack([np.ones(297), x[2:-1], dx[1:-1], dx[:-2]])
+    coef, sse, *_ = np.linalg.lstsq(m, dx[2:], rcond=None)
+    error = np.sqrt(np.linalg.inv(m.T @ m)[1, 1] * sse[0] / (297 - 4))
+    assert (got["n"], got["slope"], got["std_error"]) == (297, pytest.approx(coef[1]), pytest.approx(error))
+    flat = timeseries.dickey_fuller(daily(spark, [1.0] * 30), "x", ["s"], "date", lags=2).first()
+    assert flat["slope"] is None and timeseries.ar_forecast(daily(spark, [1.0] * 30), "x", ["s"], "date").count() == 0
