@@ -15,6 +15,7 @@ with the same source, id and size are interchangeable. An empty table gives no r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -22,8 +23,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rillstone.llm.blocks import written
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Slices of a source's random order, and of the scale of finish times up to twice the budget's end.
-SLICES, BINS = 1024, 4096
+#: Rows for which a slice of a source's random order and of the scale of finish times is made, and bits of the fewest.
+ROWS, FEWEST = 50_000, (10, 12)
 
 
 def targets(sizes: DataFrame, weights: Sequence[int], share: float, repeats: float) -> DataFrame:
@@ -46,6 +47,12 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, repeats: flo
     return s.select("source", "number", "source_size", F.least("most", F.col("_level") * F.col("weight")).alias("target"))
 
 
+def _ticket(seed: int) -> Column:
+    """The place of a row in the random order of its source: 60 bits of a digest of its id and size."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("size").cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def mix(
     docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 17,
     keep_source: bool = False,
@@ -54,13 +61,16 @@ def mix(
     ``docs(doc_id, text, source)``."""
     sizes = written(
         docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
-        .withColumn("ticket", F.xxhash64(F.lit(seed), "doc_id", "size")),
+        .withColumn("ticket", _ticket(seed)),
         "sizes",
     )
+    # as many slices as the rows ask for, so that a task's share stays the same
+    wanted = math.ceil(math.log2(max(1, sizes.count() / ROWS)))
+    slice_bits, bins = max(FEWEST[0], wanted), 1 << max(FEWEST[1], wanted)
     sources = written(targets(sizes, weights, share, repeats), "targets")
     named = sources.withColumnRenamed("source", "_source")
     base = sizes.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    base = base.withColumn("slice", F.shiftrightunsigned("ticket", 54))
+    base = base.withColumn("slice", F.shiftright("ticket", 60 - slice_bits))
     sums = base.groupBy("number", "slice").agg(F.sum("size").alias("_sum"))
     before = sums.select(
         F.col("number").alias("_n"), F.col("slice").alias("_s"),
@@ -90,7 +100,7 @@ def mix(
         )
 
     copies = done.select(F.explode(F.array(*(point(c) for c in range(repeats)))).alias("p"), "size").filter("p.finish IS NOT NULL")
-    copies = copies.withColumn("bin", F.least(F.floor(F.col("p.finish") * BINS), F.lit(2 * BINS)))
+    copies = copies.withColumn("bin", F.least(F.floor(F.col("p.finish") * bins), F.lit(2 * bins)))
     budget = F.lit(sources.agg(F.coalesce(F.round(F.sum("target")), F.lit(0)).cast("long")).first()[0])
     upto = copies.groupBy("bin").agg(F.sum("size").alias("_sum")).withColumn(
         "_upto", F.sum("_sum").over(Window.orderBy("bin"))

@@ -22,6 +22,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rillstone.functions.numbering import dense_ids
 from rillstone.llm.blocks import written
 
 #: Hashes of a piece for the fingerprint; each gives two places of 32 bits.
@@ -34,8 +35,10 @@ PIECES = r"(?<=\n)|(?<=[.!?]\s)(?!\n)|(?<=[。！？｡])(?!\n)"
 #: where it still has more than MOST, every MOST. Scripts without spaces have words of one character.
 LONG, RARE, MOST = 256, 16, 512
 _WORDS = r"(?s)[^\s\x{0E00}-\x{0EFF}\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]{1,64}\s?|."
-#: Documents in a run of neighbouring ids, and the most runs.
-RUN, MOST_RUNS = 4000, 4096
+#: Documents in a run of neighbouring ids.
+RUN = 4000
+#: Runs whose first rows are sent to all tasks.
+MOST_SENT = 1 << 20
 
 
 def _places(text: Column) -> list[Column]:
@@ -106,22 +109,24 @@ def fingerprints(rows: DataFrame, text: str, *keys: str) -> DataFrame:
 
 def _run_number(bounds: list[int], doc_id: Column) -> Column:
     """Which run an id is in: its place among the bounds, looked up in two steps; the last run is for null."""
+    def listed(values: list[int]) -> Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
     step = max(1, math.isqrt(len(bounds)))
-    coarse = F.size(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds[::step])), lambda b: b <= doc_id))
-    every = F.array(*(F.lit(b).cast("long") for b in bounds))
+    coarse = F.size(F.filter(listed(bounds[::step]), lambda b: b <= doc_id))
     start = F.greatest(coarse - 1, F.lit(0)) * step
-    fine = F.size(F.filter(F.slice(every, start + 1, F.lit(step)), lambda b: b <= doc_id))
+    fine = F.size(F.filter(F.slice(listed(bounds), start + 1, F.lit(step)), lambda b: b <= doc_id))
     return F.when(doc_id.isNull(), F.lit(len(bounds) + 1)).otherwise(F.when(coarse == 0, F.lit(0)).otherwise(start + fine))
 
 
 def id_runs(docs: DataFrame) -> Column:
-    """The number of the run of neighbouring ids that ``doc_id`` is in, ascending; null ids have the last. Its bounds
-    come from one pass over the ids, and there are at most ``MOST_RUNS``."""
-    ids = docs.select(F.col("doc_id").cast("long"))
-    runs = min(MOST_RUNS, max(1, -(-ids.count() // RUN)))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], 100_000)).first()[0] if runs > 1 else []
-    bounds = sorted(set(cuts or []))
-    return _run_number(bounds, F.col("doc_id")) if bounds else F.when(F.col("doc_id").isNull(), 1).otherwise(0)
+    """The number of the run of neighbouring ids that ``doc_id`` is in, ascending; null ids have the last. Ids are numbered in
+    order, and every ``RUN``-th is a bound: the driver gets one number for so many documents."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
+    every = dense_ids(ids, "doc_id", name="_n").filter((F.col("_n") % RUN == 0) & (F.col("_n") > 0))
+    bounds = sorted({r[0] for r in every.select("doc_id").toLocalIterator()})
+    doc_id = F.col("doc_id").cast("long")
+    return _run_number(bounds, doc_id) if bounds else F.when(doc_id.isNull(), 1).otherwise(0)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -135,8 +140,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     around = Window.orderBy("run")
     last_run = F.max("run").over(Window.partitionBy(F.lit(1)))
     to = first.select(F.col("_f.doc_id").alias("_id"), F.col("_f.mark").alias("_mark"), F.coalesce(F.lag("run").over(around), last_run).alias("_to"))
-    # one row for each run is sent to all tasks; of repeated rows one goes on
-    found = base.join(F.broadcast(to), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    # one row for each run, sent to all tasks if they are not very many; of repeated rows one goes on
+    found = base.join(F.broadcast(to) if first.count() <= MOST_SENT else to, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     ghosts = found.groupBy(F.col("_to").alias("run")).agg(
         F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("mark").alias("mark"), F.lit(False).alias("own")
     )

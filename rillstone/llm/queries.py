@@ -65,6 +65,19 @@ def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES.update({f.__name__: f for f in (op7_url_filters, op8_fingerprints)})
 
 
+def url_rules_of_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """What the given rules alone say of each page."""
+    return op7_url_filters(spark, folder).select("page_id", "host", "path", "rule")
+
+
+def edited_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """What the fingerprints of edited texts are taken of."""
+    return op8_fingerprints(spark, folder).select("doc_id", "n_chars", "edited_sha256")
+
+
+QUERIES.update({f.__name__: f for f in (url_rules_of_pages, edited_texts)})
+
+
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated_spans(_table(spark, folder, "documents"))
 
@@ -162,3 +175,52 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
     sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM docs LEFT JOIN hits USING (row) LEFT JOIN named USING (row)
 """
+
+ORACLES["op9_fair_mix"] = """
+WITH s AS (
+    SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), t AS (
+    SELECT *, CAST('0x' || substr(md5(concat_ws(':', '17', CAST(doc_id AS VARCHAR), CAST(size AS VARCHAR))), 1, 15) AS BIGINT) AS ticket FROM s
+), b AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS number FROM s GROUP BY source
+), w AS (
+    SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][CAST((number - 1) % 3 + 1 AS INTEGER)] AS weight, source_size * 2.0::DOUBLE AS most FROM b
+), l AS (
+    SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - (sum(most) OVER o - most)) / (sum(weight) OVER () - sum(weight) OVER o + weight) AS level
+    FROM w WINDOW o AS (ORDER BY most / weight, number)
+), targets AS (
+    SELECT source, number, source_size, least(most, max(level) OVER () * weight) AS target FROM l
+), placed AS (
+    SELECT t.*, number, source_size, target,
+        sum(size) OVER (PARTITION BY number ORDER BY ticket, doc_id, size ROWS UNBOUNDED PRECEDING) AS ends
+    FROM t JOIN targets g ON g.source IS NOT DISTINCT FROM t.source
+), copies AS (
+    SELECT *, (ends + copy * source_size) / target AS finish FROM placed, (SELECT unnest([0, 1]) AS copy) WHERE size > 0 AND target > 0
+), ordered AS (
+    SELECT *, sum(size) OVER (ORDER BY finish, number, ticket, doc_id, size, copy ROWS UNBOUNDED PRECEDING) AS upto FROM copies
+), taken AS (
+    SELECT doc_id, ticket, number, sum(size) AS taken FROM ordered WHERE upto <= (SELECT round(sum(target)) FROM targets) GROUP BY ALL
+)
+SELECT p.doc_id, p.size, source_size, target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken
+FROM placed p LEFT JOIN taken k ON k.doc_id = p.doc_id AND k.ticket = p.ticket AND k.number = p.number
+"""
+
+_HOST = _LOWER.format("coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')")
+
+ORACLES["url_rules_of_pages"] = f"""
+WITH p AS (SELECT page_id, {_HOST} AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT unnest(['org/', 'example.org/es/', 'example.org/en/1', 'com/fr/', 'com/de/']) AS rule),
+c AS (SELECT rule, split_part(rule, '/', 1) AS h, substr(rule, strpos(rule, '/')) AS q FROM r)
+SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule
+FROM p LEFT JOIN c ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id, host, path
+"""
+
+ORACLES["edited_texts"] = """
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS after
+    FROM documents WINDOW w AS (ORDER BY doc_id)
+)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars,
+    sha256(substr(text, 1, length(text) - length(text) // 2) || substr(after, 1, length(text) // 2)) AS edited_sha256
+FROM d
+"""

@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick in folded text.
 
-Text is folded first: lower case, look-alike letters of other scripts as Latin ones, digits and signs between letters
-as the letters they stand for. Lexicon entries are whole words, or beginnings of words, that labelled toxic documents
+Text is folded first: letters without their marks and special forms, signs of no width left out, lower case, look-alike
+letters of other scripts as Latin ones, digits and signs between letters, or one or two after the last, as the letters
+they stand for. Lexicon entries are whole words, or beginnings of words, that labelled toxic documents
 have far more often than others; the weight is the logarithm of the ratio. Phrases of an entry and a neighbour that are
 common in clean documents are exceptions and take the weight back. The sum of weights, by itself and over the number of
 words, gives a probability by logistic regression on documents that the lexicon was not learnt from.
@@ -15,6 +16,8 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -29,16 +32,20 @@ _ALIKE = str.maketrans(
     "аеорсухіјѕԁһӏкмтвнαεορχυικντβηωа", "aeopcyxijsdhlkmtbhaeopxyikvtbnwa"
 )
 _SIGNS = str.maketrans("0134578@$!", "oieastbasi")
-_OTHER = re.compile("[Ͱ-ԯ＀-￯]")
-_BETWEEN = re.compile(r"(?<=[^\W\d_])[0-9@$!]+(?=[^\W\d_])|(?<![\w@$!])[0-9@$]+(?=[^\W\d_]{2})")
+_OTHER = re.compile("[Ͱ-ԯ]")
+#: Marks that stand on letters, and signs of no width.
+_MARKS = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u2060-\u2064\ufe00-\ufe0f\ufeff]")
+_BETWEEN = re.compile(r"(?<=[^\W\d_])[0-9@$!]+(?=[^\W\d_])|(?<![\w@$!])[0-9@$]+(?=[^\W\d_]{2})|(?<=[^\W\d_])[013457@$]{1,2}(?![\w@$!])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def fold(text: str) -> list[str]:
     """The folded words of a text."""
+    if not text.isascii():
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
     text = text.lower()
     if _OTHER.search(text):
-        text = text.translate({c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}).lower().translate(_ALIKE)
+        text = text.translate(_ALIKE)
     return _WORD.findall(_BETWEEN.sub(lambda m: m[0].translate(_SIGNS), text))
 
 
@@ -186,9 +193,11 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> Dat
     is joined or moved."""
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        found = lexicon.automaton()
         a, b, c = lexicon.coefficients
-        x = _features([t or "" for t in texts], lexicon.automaton())
-        return pd.Series(1 / (1 + np.exp(-np.clip(a + x @ np.array([b, c]), -30, 30))))
+        for texts in batches:
+            x = _features([t or "" for t in texts], found)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(a + x @ np.array([b, c]), -30, 30))))
 
     return docs.filter(scored(docs["text"].cast("string")) < threshold)

@@ -70,6 +70,57 @@ def test_near_duplicates_against_all_pairs(spark, texts, docs):
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted({i for i in range(len(root)) if root[i] == i})
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    a, b = words(1, 200), words(2, 200)
+    rows = [(1, a), (1, b), (2, f"{a} more"), (3, f"{b} more"), (4, words(3, 50)), (4, words(3, 50)), (5, ""), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r)[0:1] + tuple(r)[2:] for r in minhash_dedup.near_duplicates(df).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (5, 5, True), (5, 5, True)]
+    left = sorted((r.doc_id, r.text or "") for r in minhash_dedup.drop_near_duplicates(df).collect())
+    assert left == sorted([(1, a), (1, b), (4, words(3, 50)), (5, ""), (5, "")])
+
+
+def test_lower_thresholds_have_more_chunks(spark):
+    assert minhash_dedup.chunks_for(85) < minhash_dedup.chunks_for(70) < minhash_dedup.chunks_for(50)
+    assert minhash_dedup.chunks_for(100) == 1
+    with pytest.raises(ValueError, match="symbols"):
+        minhash_dedup.chunks_for(20)
+    r = random.Random(9)
+    base = [[f"w{r.randrange(10**6)}" for _ in range(300)] for _ in range(40)]
+    near = [[*b[: len(b) - k], *(f"n{r.randrange(10**6)}" for _ in range(k))] for b, k in zip(base, range(20, 100, 2), strict=True)]
+    texts = [" ".join(t) for t in [*base, *near]]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in [*base, *near]]
+    for percent in (60, 80):
+        got = {x.doc_id: x.component_id for x in minhash_dedup.near_duplicates(table(spark, texts), percent=percent).collect()}
+        for i in range(40):
+            linked = 100 * len(sets[i] & sets[i + 40]) >= percent * len(sets[i] | sets[i + 40])
+            assert (got[i + 40] == i) == linked
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert minhash_dedup.near_duplicates(none).collect() == [] and minhash_dedup.drop_near_duplicates(none).collect() == []
+
+
+def test_embeddings_of_one_id_and_wide_clusters(spark):
+    r = np.random.default_rng(8)
+    centre = r.standard_normal(32)
+    ring = [centre + s * r.standard_normal(32) for s in (0.05, 0.1, 0.15, 0.2, 0.25) for _ in range(30)]
+    far = list(r.standard_normal((100, 32)))
+    x = np.array([*ring, *far])
+    rows = [(i, [float(v) for v in a]) for i, a in enumerate(x)] + [(3, [float(v) for v in x[160]]), (200, [float(v) for v in x[160]])]
+    x = np.array([a for _, a in rows])
+    ids = [i for i, _ in rows]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    root = list(range(len(rows)))
+    for i, j in zip(*np.nonzero(near), strict=True):
+        old, new = max(root[i], root[j]), min(root[i], root[j])
+        root = [new if v == old else v for v in root]
+    low = {c: min(ids[k] for k in range(len(rows)) if root[k] == c) for c in set(root)}
+    want = sorted((ids[k], int(near[k].sum()) - 1, low[root[k]], ids[k] == low[root[k]]) for k in range(len(rows)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(v) for v in rotation_codes.embedding_duplicates(df, per_block=16).collect()) == want
+    assert rotation_codes.embedding_duplicates(df.limit(0)).collect() == []
+
+
 def test_embeddings_against_all_pairs(spark):
     r = np.random.default_rng(3)
     x = r.standard_normal((60, 16))
@@ -90,6 +141,51 @@ def test_embeddings_against_all_pairs(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903, 904, 905))
 
 
+def test_every_letter_between_two_letters_is_encoded_as_by_the_library():
+    library, coder = Tokenizer.from_file(VOCABULARY), bpe.Encoder(VOCABULARY)
+    cached = token_files._library(VOCABULARY)
+    points = [c for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 20_000):
+        texts = [f"a{chr(c)}b" for c in points[i : i + 20_000]]
+        want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [t for t, w, g in zip(texts, want, map(coder.encode, texts), strict=True) if w != g] == []
+        assert [t for t, w, g in zip(texts, want, cached.encode(texts), strict=True) if w != g.tolist()] == []
+
+
+@pytest.mark.parametrize("text", ["MƏKTƏB HAƊIN", "ǅ Ǆ ß ẞ ſ ŉ", "ΑΣ ΑΣΑ Σ", "e\u0301 É", "😀a 1２３", "İI ıi", "don't WE'LL 'S", "<|endoftext|> a<|startoftext|>b <|x|>"])
+def test_odd_words_are_encoded_as_by_the_library(text):
+    want = Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
+    assert bpe.Encoder(VOCABULARY).encode(text) == want
+    assert token_files._library(VOCABULARY).encode([text])[0].tolist() == want
+
+
+def test_long_pieces_are_not_remembered():
+    coder = bpe.Encoder(VOCABULARY)
+    coder.encode("short " + "q" * 500)
+    assert set(coder.known) == {"short"}
+    cached = token_files._Library(VOCABULARY)
+    cached.encode(["short " + "q" * 500])
+    assert set(cached.known) == {"short"}
+
+
+def test_ids_from_any_position(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK", 64)
+    monkeypatch.setattr(multiset_hash, "RUN", 5)
+    rows = [(i, words(i, 5 + 3 * i)) for i in range(23)] + [(None, "no id"), (7, "twice")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    token_files.write_token_files(df, VOCABULARY, str(tmp_path / "t"), end_id=1)
+    whole = token_files.read_ids(spark, str(tmp_path / "t"), 0, 10**9)
+    library = Tokenizer.from_file(VOCABULARY)
+    told = token_files.read_documents(spark, str(tmp_path / "t")).collect()
+    assert len(whole) == sum(r.n_tokens for r in told)
+    for r in told:
+        if r.doc_id not in (None, 7):
+            want = [*library.encode(dict(rows)[r.doc_id] if r.doc_id != 7 else "", add_special_tokens=False).ids, 1]
+            assert whole[r.start : r.start + r.n_tokens].tolist() == want
+    for start, count in ((0, 1), (63, 2), (100, 500), (len(whole) - 3, 10), (len(whole) + 5, 4), (17, 0)):
+        assert token_files.read_ids(spark, str(tmp_path / "t"), start, count).tolist() == whole[start : start + count].tolist()
+
+
 def test_encoding_is_the_librarys(spark, texts, docs):
     library = Tokenizer.from_file(VOCABULARY)
     ids = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
@@ -137,12 +233,62 @@ def test_fingerprints(spark, texts):
         assert 0 <= got[i].near_next <= 1 and 0 <= got[i].near_edited <= 1
     assert len({r.fingerprint for r in got.values()}) == len(set(full))
     assert got[0].fingerprint == got[12].fingerprint
-    parts = spark.createDataFrame([(1, "b. c\na"), (2, "a\nb. c"), (3, "a"), (3, "b."), (3, "c")], "k int, t string")
-    a, b, c = multiset_hash.fingerprints(parts, "t", "k").orderBy("k").collect()
-    assert a.lanes == b.lanes == c.lanes
+    # the order of paragraphs does not count, and rows of a key are paragraphs; what stands between sentences does
+    parts = [(1, "b. c\na"), (2, "a\nb. c"), (3, "a"), (3, "b. c"), (4, "a\nb.\nc"), (5, "a\nb. c\n"), (6, "a\nb.  c")]
+    parts = spark.createDataFrame(parts, "k int, t string")
+    held = multiset_hash.fingerprints(parts, "t", "k").orderBy("k").collect()
+    assert held[0].lanes == held[1].lanes == held[2].lanes
+    assert held[0].fingerprint == held[1].fingerprint == held[2].fingerprint and len({r.fingerprint for r in held}) == 4
     assert multiset_hash.edited_likeness(df.limit(0)).count() == 0
 
 
+def test_many_copies_of_a_line_do_not_vanish(spark):
+    rows = [(0, "")] + [(k, f"{x}\n" * n) for k, (x, n) in enumerate([("a", 2**15), ("b", 2**15), ("a", 2**16), ("b", 2**16), ("a", 2**16 + 1), ("a", 1)], 1)]
+    held = multiset_hash.fingerprints(spark.createDataFrame(rows, "k int, t string"), "t", "k").collect()
+    assert len({r.fingerprint for r in held}) == len(rows)
+
+
+def _multiset(text):
+    """The pieces of a short text, by hand."""
+    out, now = [], ""
+    for i, c in enumerate(text + "\n"):
+        now += c
+        after = (text + "\n")[i + 1 : i + 2]
+        if c == "\n" or (after != "\n" and (c in "。！？｡" or (len(now) > 1 and now[-2] in ".!?" and c.isspace()))):
+            out.append(now)
+            now = ""
+    return sorted(out)
+
+
+def test_fingerprints_against_multisets(spark):
+    r = random.Random(6)
+    texts = ["".join(r.choice(["a", "b", ". ", "! ", "\n", "。", " "]) for _ in range(r.randint(0, 7))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    by_print, by_pieces = {}, {}
+    for row in multiset_hash.fingerprints(rows, "t", "k").collect():
+        by_print.setdefault(row.fingerprint, set()).add(row.k)
+        by_pieces.setdefault(tuple(_multiset(texts[row.k])), set()).add(row.k)
+    assert sorted(map(sorted, by_print.values())) == sorted(map(sorted, by_pieces.values()))
+
+
+def test_edited_text_and_next_over_runs(spark, monkeypatch):
+    monkeypatch.setattr(multiset_hash, "RUN", 7)
+    texts = [words(i, 30) for i in range(40)] + [words(0, 30)]
+    rows = [(i * 3, t) for i, t in enumerate(texts)] + [(9, "again"), (9, "again"), (None, "none"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = multiset_hash.edited_likeness(df).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got if r.doc_id is not None}
+    for i, t in enumerate(texts):
+        if i in (2, 3):
+            continue
+        after = texts[i + 1] if i + 1 < len(texts) else None
+        if after is not None:
+            half = len(t) // 2
+            assert by[i * 3].edited_sha256 == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+    assert by[0].fingerprint == by[120].fingerprint
+
+
 def test_long_texts_without_sentence_ends_share_pieces(spark):
     han = "".join(random.Random(3).choice([chr(0x4E00 + i) for i in range(900)]) for _ in range(3000))
     full = [words(1, 900), han, words(2, 900), "word " * 2000, words(3, 900)]
@@ -171,6 +317,108 @@ def test_urls(spark):
     assert url_rules.judge(df.limit(0)).count() == 0
 
 
+def _votes(urls, rules, support, confidence):
+    """Verdicts of associations by trying all sets of tokens."""
+    from itertools import combinations
+
+    parsed = [(u, *rules[i]) for i, u in enumerate(urls)]
+    known = [(frozenset(t), v) for _, t, v in parsed if v]
+    found = {}
+    for basket, _ in known:
+        for n in range(1, len(basket) + 1):
+            for parts in combinations(sorted(basket), n):
+                found.setdefault(parts, None)
+    sure = {}
+    for parts in found:
+        with_parts = [v for b, v in known if set(parts) <= b]
+        for label in ("allow", "block"):
+            k = sum(v == label for v in with_parts)
+            if k >= support * len(known) and k and k >= confidence * len(with_parts):
+                sure[parts, label] = k / len(with_parts)
+    kept = {
+        (p, label): c for (p, label), c in sure.items()
+        if not any(sure.get((tuple(x for x in p if x != y), label), -1) >= c for y in p)
+    }
+    out = []
+    for _, tokens, _ in parsed:
+        votes = {"allow": 0.0, "block": 0.0}
+        for (p, label), c in kept.items():
+            if set(p) <= set(tokens):
+                votes[label] += c
+        out.append(votes["block"] / (votes["allow"] + votes["block"]) if votes["allow"] + votes["block"] else None)
+    return out
+
+
+def test_associations_against_all_sets_of_tokens(spark):
+    r = random.Random(4)
+    urls = []
+    for _ in range(120):
+        host = r.choice(["a.example.org", "b.example.com", "c.net"])
+        parts = [x for x in ("es", "fr", "de", "joint/also", "x1", "y") if r.random() < 0.5]
+        urls.append(f"http://{host}/{'/'.join(parts)}" + r.choice(["", "?q=1", "#f"]))
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    told = {x.page_id: x for x in url_rules.judge(df, support=0.05, confidence=0.6).collect()}
+    split = df.select("page_id", url_rules.tokens(df["url"]).alias("t")).collect()
+    tokens = {x.page_id: x.t for x in split}
+    verdict = {i: told[i].verdict if told[i].rule else None for i in told}
+    want = _votes(urls, [(tokens[i], verdict[i]) for i in range(len(urls))], 0.05, 0.6)
+    asked = [i for i in range(len(urls)) if not told[i].rule]
+    assert len(asked) > 20
+    for i in asked:
+        assert (told[i].score is None) == (want[i] is None) and (want[i] is None or told[i].score == pytest.approx(want[i]))
+
+
+def test_urls_with_many_joint_parts_end(spark):
+    path = "/".join(f"p{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(30))
+    urls = [f"http://s{i}.example.org/en/1{path}" for i in range(60)] + [f"http://s{i}.example.org/fr/{path}" for i in range(40)] + [f"http://q.net/{path}"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    told = {x.page_id: x for x in url_rules.judge(df).collect()}
+    assert told[100].rule is None and told[100].verdict in url_rules.LABELS and len(told) == 101
+
+
+def test_mix_against_brute_force(spark):
+    r = random.Random(12)
+    rows = [(i, words(i, r.randint(0, 40)), r.choice(["a", "a", "b", "c", None, "d"])) for i in range(200)]
+    rows += [(3, words(3, 9), "a"), (300, None, "b"), (None, words(1, 7), "c"), (301, "", "zero")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, s in rows]
+    total = {s: sum(n for _, x, n in sized if x == s) for _, s, _ in sized}
+    order = sorted(total, key=lambda s: (s is None, s or ""))
+    weight = {s: (3.0, 1.0, 2.0)[k % 3] for k, s in enumerate(order)}
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2 * total[s], mid * weight[s]) for s in order) < 1.5 * sum(total.values()) else (low, mid)
+    target = {s: min(2 * total[s], low * weight[s]) for s in order}
+
+    def ticket(i, n):
+        return int(hashlib.md5(":".join(["17", *([] if i is None else [str(i)]), str(n)]).encode()).hexdigest()[:15], 16)
+
+    copies = []
+    for s in order:
+        ends = 0
+        for i, n in sorted(((i, n) for i, x, n in sized if x == s), key=lambda x: (ticket(*x), -1 if x[0] is None else x[0], x[1])):
+            ends += n
+            for c in (0, 1):
+                if n and target[s]:
+                    copies.append(((ends + c * total[s]) / target[s], order.index(s), ticket(i, n), i, n, c))
+    run, taken = 0, {}
+    for x in sorted(copies, key=lambda x: (x[0], x[1], x[2], -1 if x[3] is None else x[3], x[4], x[5])):
+        run += x[4]
+        if run <= round(sum(target.values())):
+            taken[x[1], x[2]] = taken.get((x[1], x[2]), 0) + x[4]
+    got = fair_mix.mix(df, keep_source=True).collect()
+    assert len(got) == len(rows)
+    for g in got:
+        assert g.target == pytest.approx(target[g.source]) and g.source_size == total[g.source]
+        assert g.taken == taken.get((order.index(g.source), ticket(g.doc_id, g.size)), 0)
+
+
+def test_folding():
+    folded = toxicity.fold("asshol3 a$$ f\u00fack \U0001d58b\U0001d59a\U0001d588\U0001d590 fu\u200bck sh1t!! wow! \uff46\uff55\uff43\uff4b h3llo 100")
+    assert folded == ["asshole", "ass", "fuck", "fuck", "fuck", "shit", "wow", "fuck", "hello"]
+
+
 def test_mix_keeps_to_targets(spark, docs):
     got = fair_mix.mix(docs, keep_source=True).collect()
     assert len(got) == docs.count()
