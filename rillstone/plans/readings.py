@@ -318,13 +318,13 @@ def site_discovery(t: Tables) -> DataFrame:
 @query(
     "site_discovery_default",
     f"""select file, site_no, station_nm, 'CO' as state_cd, status, ['00060', '00065', '00010'][site_no::bigint % 3 + 1] as parm_cd from {SITES_SQL}
-        where s_acctbal between 0 and 9500 and site_type = 'ST' and status = 'active' and state_cd = 'CA' and site_no::bigint % 3 < 2""",
+        where s_acctbal between 0 and 9500 and site_type = 'ST' and status = 'active' and state_cd = 'NA' and site_no::bigint % 3 < 2""",
 )
 def site_discovery_default(t: Tables) -> DataFrame:
-    """The usual wishes over an inventory with a variable for each site; Canadian sites stand for the usual state."""
+    """The usual wishes over an inventory with a variable for each site; one state stands for the usual one."""
     sites = inventory.parse_inventory(inventory_lines(t), INVENTORY_COLUMNS)
     variable = F.get(F.array(*map(F.lit, ("00060", "00065", "00010"))), (F.col("site_no").cast("bigint") % 3).cast("int"))
-    sites = sites.withColumn("parm_cd", variable).replace("CA", "CO", "state_cd")
+    sites = sites.withColumn("parm_cd", variable).replace("NA", "CO", "state_cd")
     return inventory.discover_default_sites(sites).select("file", "site_no", "station_nm", "state_cd", "status", "parm_cd")
 
 
