@@ -48,23 +48,26 @@ def sides(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(b == i), np.flatnonzero(b == j)
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Which of the pairs ``(a[k], b[k])`` of ``n`` things join what earlier pairs have not joined."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    kept = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append(k)
-    return kept
+def each_group(df: DataFrame, by: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``work`` on all rows of each group of ``by``. Groups follow each other in a task, so that many small ones cost little; a
+    group is whole in memory, and should be bounded as blocks are."""
+    def run(batches):
+        held = None
+        for rows in batches:
+            rows = rows if held is None else pd.concat((held, rows), ignore_index=True)
+            new = np.zeros(len(rows), bool)
+            for c in by:
+                x = rows[c].to_numpy()
+                new[1:] |= x[1:] != x[:-1]
+            bounds = [0, *np.flatnonzero(new).tolist()]
+            done = [work(rows.iloc[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+            held = rows.iloc[bounds[-1] :]
+            if done := [x for x in done if len(x)]:
+                yield pd.concat(done, ignore_index=True)
+        if held is not None and len(held):
+            yield work(held)
+
+    return df.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
 
 
 def spanning(adjacent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,12 +92,13 @@ Near = Callable[[pd.DataFrame, np.ndarray, np.ndarray], np.ndarray]
 
 
 def bucket_edges(
-    keyed: DataFrame, features: DataFrame, near: Near, near_pairs: Callable[[pd.DataFrame], np.ndarray], per_block: int
+    keyed: DataFrame, features: DataFrame, near: Near, near_pairs: Callable[[pd.DataFrame], np.ndarray], per_block: int,
+    few: int = 2,
 ) -> DataFrame:
     """Candidate edges ``(u, v)`` that connect all nodes that share a key and pass ``near``.
 
     ``keyed(node, keys)`` has the keys of each node, ``features(node, ...)`` what ``near`` compares. Buckets with the
-    same members are looked at once. Every member is first compared with the smallest of its bucket, row by row. Those
+    same members are looked at once. In buckets of at most ``few`` all pairs are judged. In others every member is first compared with the smallest of its bucket, row by row. Those
     that pass are connected by it; only what does not pass is then compared with all of the bucket, in blocks, which
     give a spanning forest instead of all pairs. A bucket of n copies so costs n comparisons."""
     keys = keyed.select("node", F.explode("keys").alias("key"))
@@ -112,10 +116,13 @@ def bucket_edges(
     names = [c for c in features.columns if c != "node"]
     first = features.select(F.col("node").alias("u"), *(F.col(c).alias(f"{c}_u") for c in names))
     second = features.select(F.col("node").alias("v"), *(F.col(c).alias(f"{c}_v") for c in names))
-    large = keys.join(buckets.filter("n > 2").select("key", F.col("lo").alias("u")), "key")
-    twos = buckets.filter("n = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+    large = keys.join(buckets.filter(F.col("n") > few).select("key", F.col("lo").alias("u")), "key")
+    small = buckets.filter("n = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+    if few > 2:
+        each = keys.join(buckets.filter(F.col("n").between(3, few)).select("key"), "key").select("key", F.col("node").alias("u"))
+        small = small.unionByName(each.join(each.select("key", F.col("u").alias("v")), "key").filter("u < v").select("u", "v"))
     # a pair is judged once, however many buckets it is in
-    wanted = twos.unionByName(large.filter("node != u").select("u", F.col("node").alias("v"))).distinct()
+    wanted = small.unionByName(large.filter("node != u").select("u", F.col("node").alias("v"))).distinct()
 
     def judge(batches):
         for rows in batches:
@@ -138,5 +145,5 @@ def bucket_edges(
         a, b = spanning(full | full.T)
         return pd.DataFrame({"u": node[a], "v": node[b]})
 
-    many = paired_blocks(members, "key", "node", per_block).groupBy("key", "_i", "_j").applyInPandas(compare, EDGES)
+    many = each_group(paired_blocks(members, "key", "node", per_block), ["key", "_i", "_j"], compare, EDGES)
     return pairs.unionByName(many)
