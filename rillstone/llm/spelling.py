@@ -5,9 +5,9 @@ The gram dictionary starts from all pairs of letters and grows where a gram is f
 similar length. A word is decomposed into the one gram that begins at each letter; the end of a word counts as a
 letter. What one inserted, deleted or replaced letter can change is known for each place of a word: the grams that read
 that place. All others are shared with whatever the change leads to, those before it at the same place and with the same
-beginning, those after it with the same ending. So of the grams that a place leaves alone the rarest is enough: both words
-of a pair pick the same one. Words are listed under these, lists are cut into blocks and merged, and pairs are
-verified letter by letter.
+beginning, those after it with the same ending. So of the grams that a place leaves alone the rarest before it and the
+rarest after it are enough: both words of a pair pick the same two, and are in both their lists. Words are listed under
+such pairs of grams, which merges the two lists; long ones are cut into blocks, and pairs are verified letter by letter.
 
 Defined cases: a null text has no words; a null ``doc_id`` counts as an empty one. Repeated rows count as often as
 they stand. Other columns are not read. Without words there are no rows.
@@ -186,16 +186,17 @@ def gram_dictionary(words: DataFrame) -> Dictionary:
 
 def _edit_keys(letters: np.ndarray, dictionary: Dictionary) -> Iterator[np.ndarray]:
     """Keys of words of the same length, a row of them for each place of a change: of the grams that the change leaves
-    alone, the rarest one with all that is before or after it. A key also says whether a letter is replaced, or which
-    is the length of the shorter word."""
+    alone, the rarest one before it with all that precedes, and the rarest one after it with all that follows. A word
+    has a key for each of its letters, should that be replaced or left out, and for each place between, should a letter
+    be put in there; whichever two words differ there have the same key."""
     rows, length = len(letters), letters.shape[1] - 1
     size, count = dictionary.decompose(letters)
     place = np.arange(length)
     reads = place + size - 1  # the last letter that a gram reads
     weight = np.log2(np.maximum(count, 1))
-    # a gram with more letters before or after it has a shorter list; ties go to beginnings, then to the outermost
+    # a gram with more letters before or after it has a shorter list; ties go to the outermost
     head = weight - 3.0 * place + 1e-7 * place
-    tail = weight - 3.0 * np.maximum(0, length - reads) + 1e-4 + 1e-7 * (length - place)
+    tail = weight - 3.0 * np.maximum(0, length - reads) + 1e-7 * (length - place)
     # the best ending from each letter on
     rest, rest_key = np.full((rows, length + 1), np.inf), np.zeros((rows, length + 1), np.uint64)
     ending = mix(letters[:, length].astype(np.uint64), 6)
@@ -207,10 +208,8 @@ def _edit_keys(letters: np.ndarray, dictionary: Dictionary) -> Iterator[np.ndarr
     best, best_key = np.full(rows, np.inf), np.zeros(rows, np.uint64)
     beginning = np.zeros(rows, np.uint64)
 
-    def key(j: int, shorter: int, replaced: bool) -> np.ndarray:
-        first = best <= rest[:, j]
-        chosen = mix(np.where(first, best_key, rest_key[:, j]) ^ first.astype(np.uint64), 7)
-        return mix(chosen ^ np.uint64(shorter << 1 | replaced), 8)
+    def key(j: int) -> np.ndarray:
+        return mix(best_key ^ mix(rest_key[:, j], 7), 8)
 
     for i in range(length + 1):
         if i:  # beginnings that read up to the letter before
@@ -218,10 +217,9 @@ def _edit_keys(letters: np.ndarray, dictionary: Dictionary) -> Iterator[np.ndarr
             for p in range(max(0, i - LONGEST), i - 1):
                 better = (reads[:, p] == i - 1) & (head[:, p] < best)
                 best, best_key = np.where(better, head[:, p], best), np.where(better, beginning, best_key)
-        yield key(i, length, False)
+        yield key(i)
         if i < length:
-            yield key(i + 1, length, True)
-            yield key(i + 1, length - 1, False)
+            yield key(i + 1)
 
 
 def index(words: DataFrame, dictionary: Dictionary) -> DataFrame:
