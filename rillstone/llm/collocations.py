@@ -31,8 +31,10 @@ APART = BREAK | table(b" \t")
 #: Bits of the bitmap of frequent phrases. A full one lets more windows through, never fewer.
 BITS = 1 << 26
 CHUNK = 1 << 13
+#: Words or windows that a task holds before it sends them.
+HELD = 1 << 19
 #: Phrases in one trie. Each trie takes one pass over the texts.
-PER_TRIE = 1 << 21
+PER_TRIE = 1 << 20
 
 
 def _of_name(name: str, seed: int) -> int:
@@ -61,16 +63,23 @@ def _words(texts: list[str | None], langs: list[str], seed: int) -> Iterator[tup
 def count_words(docs: DataFrame, seed: int) -> DataFrame:
     """``key, lang, word, n`` of all words; key collisions are kept apart."""
 
+    def sums(held: list[tuple]) -> pd.DataFrame:
+        key, lang, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+        frame = pd.DataFrame({"key": key.view(np.int64), "lang": lang, "word": [w for h in held for w in h[3]], "n": n})
+        return frame.groupby(["key", "lang", "word"], as_index=False, sort=False)["n"].sum()
+
     def run(batches):
         for rows in batches:
-            held = []
+            held, total = [], 0
             for b, start, end, key, lang, _ in _words(rows["text"].tolist(), rows["lang"].tolist(), seed):
                 at, n = runs_of(key)
                 held.append((key[at], lang[at], n, [b[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(start[at], end[at], strict=True)]))
+                total += len(at)
+                if total > HELD // 2:
+                    yield sums(held)
+                    held, total = [], 0
             if held:
-                key, lang, n = (np.concatenate([h[i] for h in held]) for i in range(3))
-                frame = pd.DataFrame({"key": key.view(np.int64), "lang": lang, "word": [w for h in held for w in h[3]], "n": n})
-                yield frame.groupby(["key", "lang", "word"], as_index=False, sort=False)["n"].sum()
+                yield sums(held)
 
     return docs.mapInPandas(run, "key long, lang string, word string, n long").groupBy("key").agg(
         F.min("lang").alias("lang"), F.min("word").alias("word"), F.sum("n").alias("n"),
@@ -122,24 +131,30 @@ def candidates(docs: DataFrame, shorter: DataFrame, words: int, least: int, seed
     names = [f"k{i}" for i in range(words)]
     held = docs.sparkSession.sparkContext.broadcast(bitmap(shorter, words - 1))
 
+    def counted(found: list[list[np.ndarray]]) -> pd.DataFrame:
+        keys = [np.concatenate([f[i] for f in found]) for i in range(words)]
+        at, n = runs_of(_mark(keys), *keys)
+        return pd.DataFrame({c: k[at].view(np.int64) for c, k in zip(names, keys, strict=True)} | {"n": np.minimum(n, least)})
+
     def run(batches):
+        found, total = [], 0
         for rows in batches:
-            found: list[list[np.ndarray]] = [[] for _ in names]
             for *_, key, _, joint in _words(rows["text"].tolist(), rows["lang"].tolist(), seed):
                 n = len(key) - words + 1
                 if n < 1:
                     continue
-                part = [key[i : i + n + 1] for i in range(words - 1)]
-                live = _in(held.value, _mark(part)) if len(part[0]) else np.empty(0, bool)
+                live = _in(held.value, _mark([key[i : i + n + 1] for i in range(words - 1)]))
                 ok = live[:n] & live[1 : n + 1]
                 for i in range(words - 1):
                     ok &= joint[i : i + n]
                 at = np.flatnonzero(ok)
-                for i, f in enumerate(found):
-                    f.append(key[at + i])
-            keys = [np.concatenate(f) if f else np.empty(0, np.uint64) for f in found]
-            at, n = runs_of(_mark(keys), *keys)
-            yield pd.DataFrame({c: k[at].view(np.int64) for c, k in zip(names, keys, strict=True)} | {"n": np.minimum(n, least)})
+                found.append([key[at + i] for i in range(words)])
+                total += len(at)
+                if total > HELD:
+                    yield counted(found)
+                    found, total = [], 0
+        if found:
+            yield counted(found)
 
     sums = docs.mapInPandas(run, ", ".join(f"{c} long" for c in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
     out = written(sums.filter(F.col("n") >= least).select(*names), f"phrases{words}")
@@ -161,7 +176,7 @@ class Trie:
         self.out = np.full(v, -1, np.int32)
         self.longest = max(p.shape[1] for p in phrases)
         self.low = v
-        self.phrases, numbered = [], 0
+        numbered = 0
         held = [np.searchsorted(self.keys, p) for p in phrases]
         state = [p[:, 0].astype(np.int64) for p in held]
         for depth in range(1, self.longest):
@@ -178,8 +193,9 @@ class Trie:
                 if p.shape[1] == depth + 1:
                     self.out[state[i]] = np.arange(numbered, numbered + len(p))
                     numbered += len(p)
-                    self.phrases.append(phrases[i])
         self.size = numbered
+        end = int(np.flatnonzero(self.check >= 0).max(initial=v)) + (2 << self.digit)
+        self.base, self.check, self.out = (x[:end].copy() for x in (self.base, self.check, self.out))
         del self.low
 
     def _grow(self, size: int) -> None:
@@ -232,9 +248,9 @@ class Trie:
             state = np.where((state >= 0) & (self.check[to] == state), to, -1)
         return state
 
-    def count(self, number: np.ndarray, joint: np.ndarray) -> np.ndarray:
-        """How often each phrase stands in a run of numbered words, -1 for words of no phrase."""
-        total = np.zeros(self.size, np.int64)
+    def find(self, number: np.ndarray, joint: np.ndarray) -> np.ndarray:
+        """The phrases in a run of numbered words, -1 for words of no phrase, each as often as it stands there."""
+        found = [np.empty(0, np.int32)]
         at = np.flatnonzero(number >= 0)
         state = number[at].astype(np.int64)
         for depth in range(1, self.longest):
@@ -245,54 +261,55 @@ class Trie:
             state = self.step(state, number[at + depth].astype(np.int64))
             at, state = at[state >= 0], state[state >= 0]
             hit = self.out[state]
-            total += np.bincount(hit[hit >= 0], minlength=self.size)
-        return total
+            found.append(hit[hit >= 0])
+        return np.concatenate(found)
 
 
 def count_phrases(docs: DataFrame, levels: list[DataFrame], seed: int, per_trie: int = PER_TRIE) -> DataFrame:
-    """``k0, k1, ..., a`` for every phrase of ``levels``, null after the last word. Phrases that begin with the same two
-    words are in one trie; the number of tries follows from the number of phrases."""
+    """``keys, a`` for every phrase of ``levels``. Phrases that begin with the same two words are in one trie; the number
+    of tries follows from the number of phrases."""
     spark = docs.sparkSession
-    names = [f"k{i}" for i in range(len(levels) + 1)]
-    schema = ", ".join(f"{c} long" for c in names) + ", a long"
-    rounds = max(1, -(-sum(level.count() for level in levels) // per_trie))
-    parts = []
+    each = None
+    for i, level in enumerate(levels):
+        part = level.select(F.lit(i + 2).alias("words"), F.array(*(f"k{j}" for j in range(i + 2))).alias("keys"))
+        each = part if each is None else each.unionByName(part)
+    phrases = written(each.withColumn("id", F.monotonically_increasing_id()), "phrases")
+    rounds = max(1, -(-phrases.count() // per_trie))
+    shard = F.pmod(F.xxhash64(F.slice("keys", 1, 2)), F.lit(rounds))
+    counts = spark.createDataFrame([], "id long, a long")
     for k in range(rounds):
-        arrays = []
-        for i, level in enumerate(levels):
-            own = level.filter(F.pmod(F.xxhash64("k0", "k1"), F.lit(rounds)) == k).toArrow()
-            arrays.append(np.stack([own.column(c).to_numpy().view(np.uint64) for c in names[: i + 2]], axis=1).reshape(-1, i + 2))
-        if not sum(map(len, arrays)):
+        arrays, ids = [], []
+        for i in range(len(levels)):
+            own = phrases.filter(F.col("words") == i + 2).filter(shard == k).select("id", *(F.get("keys", F.lit(j)).alias(f"k{j}") for j in range(i + 2))).toArrow()
+            if own.num_rows:
+                arrays.append(np.stack([own.column(f"k{j}").to_numpy().view(np.uint64) for j in range(i + 2)], axis=1))
+                ids.append(own.column("id").to_numpy())
+        if not arrays:
             continue
-        trie = spark.sparkContext.broadcast(Trie([a for a in arrays if len(a)]))
-        del arrays
+        trie = spark.sparkContext.broadcast((Trie(arrays), np.concatenate(ids)))
+        del arrays, ids
 
         def run(batches, trie=trie):
-            t = trie.value
+            t, ids = trie.value
             lookup = Lookup(t.keys)
-            total = np.zeros(t.size, np.int64)
+            total, held, waiting = np.zeros(t.size, np.int64), [], 0
             for rows in batches:
                 for *_, key, _, joint in _words(rows["text"].tolist(), rows["lang"].tolist(), seed):
-                    total += t.count(lookup.find(key), joint)
-            base = 0
-            for p in t.phrases:
-                n = total[base : base + len(p)]
-                base += len(p)
-                at = np.flatnonzero(n)
-                for i in range(0, len(at), 100_000):
-                    some = at[i : i + 100_000]
-                    yield pd.DataFrame({
-                        c: pd.array(p[some, j].view(np.int64), dtype="Int64") if j < p.shape[1] else pd.array([None] * len(some), dtype="Int64")
-                        for j, c in enumerate(names)
-                    } | {"a": n[some]})
-
-        counted = docs.mapInPandas(run, schema).groupBy(*names).agg(F.sum("a").alias("a"))
-        parts.append(written(counted, "counted"))
+                    held.append(t.find(lookup.find(key), joint))
+                    waiting += len(held[-1])
+                    if waiting > 2 * HELD:
+                        total += np.bincount(np.concatenate(held), minlength=t.size)
+                        held, waiting = [], 0
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=t.size)
+            at = np.flatnonzero(total)
+            for i in range(0, len(at), HELD):
+                yield pd.DataFrame({"id": ids[at[i : i + HELD]], "a": total[at[i : i + HELD]]})
+
+        counted = written(docs.mapInPandas(run, "id long, a long").groupBy("id").agg(F.sum("a").alias("a")), "counted")
+        counts = counts.unionByName(counted)
         trie.unpersist()
-    out = spark.createDataFrame([], schema)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    return phrases.join(counts, "id").select("keys", "a")
 
 
 #: ``floor(1000000 * a * a / (l * r))``, exact.
@@ -317,9 +334,7 @@ def collocations(docs: DataFrame, words: int = 3, least: int = 10, within: int =
     for length in range(2, words + 1):
         shorter = candidates(read, shorter, length, least, seed)
         levels.append(shorter)
-    counted = written(count_phrases(read, levels, seed, per_trie), "counts")
-    names = [f"k{i}" for i in range(words)]
-    phrases = counted.select(F.array_compact(F.array(*names)).alias("keys"), "a")
+    phrases = written(count_phrases(read, levels, seed, per_trie), "counts")
     known = phrases.select("keys", F.col("a").alias("f")).unionByName(frequent.select(F.array("key").alias("keys"), "f"))
     # the lowest cut of each phrase
     cuts = phrases.select("keys", "a", F.explode(F.sequence(F.lit(1), F.size("keys") - 1)).alias("cut")).select(
