@@ -69,7 +69,7 @@ def phrases_of(rows, words, least, within, top):
     }
 
 
-@pytest.mark.parametrize("words, least, within, top, per_trie", [(3, 10, 50, 2000, 1 << 21), (3, 3, 50, 40, 97), (4, 2, 30, 10**6, 500), (2, 5, 50, 7, 10)])
+@pytest.mark.parametrize("words, least, within, top, per_trie", [(3, 10, 50, 2000, 1 << 21), (3, 3, 50, 40, 700), (4, 2, 30, 10**6, 5000), (2, 5, 50, 7, 150)])
 def test_collocations(spark, docs, words, least, within, top, per_trie):
     got = collocations.collocations(docs, words, least, within, top, per_trie)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
