@@ -63,6 +63,8 @@ def grouped_least_squares(
 
     def run(batches):
         for rows in batches:
+            if not len(rows):
+                continue
             coef, spread, good = solve_stack(square(rows["xx"], p), np.array(rows["xy"].tolist(), float).reshape(-1, p), penalty)
             xy, n = np.array(rows["xy"].tolist(), float).reshape(-1, p), rows["n"].to_numpy()
             good &= n >= p

@@ -126,6 +126,8 @@ def ar_forecast(
         for pdf in batches:
             coef, _, good = solve_stack(square(pdf["xx"], p), np.array(pdf["xy"].tolist(), float).reshape(-1, p))
             pdf, coef = pdf[good], coef[good]
+            if not len(pdf):
+                continue
             now = np.array(pdf["newest"].tolist(), float).reshape(-1, lags)
             path = np.empty((len(pdf), horizon))
             for k in range(horizon):
