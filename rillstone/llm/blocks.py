@@ -12,18 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from rillstone.functions.runtime import scratch_path
+from rillstone.functions.runtime import written
 
 EDGES = "u long, v long"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: survives lost executors, and is computed once."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def paired_blocks(members: DataFrame, group: str, node: str, per_block: int) -> DataFrame:
     """Rows of ``members`` once for each pair of blocks ``(_i, _j)`` that their block ``_b`` is in. The block of a
     row is a hash of its node, so a task that runs again deals alike. Of each group, the rows that are not ``_open`` are

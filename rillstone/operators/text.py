@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, Word2Vec
+from pyspark.ml.feature import HashingTF, IDF, Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rillstone.functions.runtime import cut_lineage
+from rillstone.operators import lda
 
 # Common English words that carry little meaning.
 STOPWORDS = (
@@ -171,22 +171,21 @@ def word_vectors(
 def topics(
     df: DataFrame, words: str, k: int = 5, terms: int = 8, buckets: int | None = None, seed: int = 0, iterations: int = 10
 ) -> DataFrame:
-    """``(topic, rank, term, weight)`` of a latent Dirichlet model over all words, which are numbered by frequency. The model
-    holds ``k`` weights for each word; ``buckets``, off unless it is given, bounds it by counting so many hashes of words
+    """``(topic, rank, term, weight)`` of a latent Dirichlet model over all words (``lda``); equal weights come by
+    frequency. The model is a table with ``k`` weights for each word; ``buckets``, off unless it is given, bounds it by counting so many hashes of words
     instead, each named by its most used word, the first of equals."""
     listed = df.select((F.transform(words, lambda w: _bucket(w, buckets)) if buckets else F.col(words)).alias("_words"))
-    size = buckets or max(1, listed.select(F.explode("_words").alias("w")).agg(F.count_distinct("w")).first()[0])
-    counts = CountVectorizer(inputCol="_words", outputCol="features", vocabSize=size).fit(listed)
-    model = LDA(k=k, maxIter=iterations, seed=seed).fit(counts.transform(listed).select("features"))
-    pairs = F.arrays_zip("termIndices", "termWeights")
-    told = model.describeTopics(terms).select("topic", F.posexplode(pairs).alias("rank", "p")).select(
-        "topic", (F.col("rank") + 1).alias("rank"), F.col("p.termIndices").alias("_index"), F.col("p.termWeights").alias("weight")
-    )
-    shown = {row["_index"] for row in told.select("_index").distinct().collect()}  # at most k * terms
-    names = df.sparkSession.createDataFrame([(i, counts.vocabulary[i]) for i in sorted(shown)], "_index int, term string")
-    if buckets:
-        used = df.select(F.explode(words).alias("w")).withColumn("_bucket", _bucket(F.col("w"), buckets))
-        names = names.withColumnRenamed("term", "_bucket")
-        used = used.join(names, "_bucket", "left_semi").groupBy("_bucket", "w").agg((-F.count("*")).alias("_n"))
-        names = used.groupBy("_bucket").agg(F.min_by("w", F.struct("_n", "w")).alias("term")).join(names, "_bucket")
-    return told.join(names, "_index").select("topic", "rank", "term", "weight")
+    used = listed.select(F.explode("_words").alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n"))
+    drawn = lda.batches(listed, "_words", iterations, seed)
+    model = lda.fit(used, drawn, df.count(), lambda batch: term_counts(batch, "doc", "words"), k, iterations, seed)
+    total = F.array(*(F.lit(float(x)) for x in lda.column_sums(model, k)))
+    each = model.select("term", "n", F.posexplode("weights").alias("topic", "_w")).withColumn("weight", F.col("_w") / F.get(total, "topic"))
+    along = Window.partitionBy("topic").orderBy(F.desc("weight"), F.desc("n"), "term")
+    told = each.withColumn("rank", F.row_number().over(along)).filter(F.col("rank") <= terms).select("topic", "rank", "term", "weight")
+    if not buckets:
+        return told
+    told = told.withColumnRenamed("term", "_bucket")
+    spelt = df.select(F.explode(words).alias("w")).withColumn("_bucket", _bucket(F.col("w"), buckets))
+    spelt = spelt.join(told.select("_bucket").distinct(), "_bucket", "left_semi").groupBy("_bucket", "w").agg((-F.count("*")).alias("_n"))
+    names = spelt.groupBy("_bucket").agg(F.min_by("w", F.struct("_n", "w")).alias("term"))
+    return told.join(names, "_bucket").select("topic", "rank", "term", "weight")

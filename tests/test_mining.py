@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+from math import lgamma
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rillstone.functions.numbering import dense_ids
-from rillstone.operators import evaluate, models, patterns, privacy, text, vectors
+from rillstone.operators import evaluate, lda, models, patterns, privacy, text, vectors
 from tests.conftest import rows
 
 
@@ -269,3 +271,33 @@ def test_davies_bouldin_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 2)
     cut = vectors.davies_bouldin(df, "v", "g").first()
     assert cut["n_clusters"] == 7 and abs(cut["davies_bouldin"] - whole["davies_bouldin"]) < 1e-12
+
+
+def test_topics_of_words_are_a_table_and_part_the_subjects(spark):
+    r = np.random.default_rng(1)
+    subjects = [[f"{c}{i}" for i in range(20)] for c in "xy"]
+    df = spark.createDataFrame([([subjects[d % 2][k] for k in r.integers(0, 20, 40)],) for d in range(600)] + [([],), (None,)], "w array<string>")
+    drawn = lda.batches(df, "w", 30, 0)
+    model = lda.fit(df.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("n")), drawn, df.count(),
+                    lambda b: text.term_counts(b, "doc", "words"), 2, 30, 0)
+    assert {x["term"] for x in model.collect()} == {w for s in subjects for w in s}
+    told = text.topics(df, "w", k=2, terms=20, iterations=30).collect()
+    for t in (0, 1):
+        assert len({x["term"][0] for x in told if x["topic"] == t}) == 1
+    assert sum(x["weight"] for x in told if x["topic"] == 0) > 0.8
+
+
+def test_topics_bring_no_list_of_words_to_the_driver(spark, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("the vocabulary is on the driver")
+
+    monkeypatch.setattr("pyspark.ml.feature.CountVectorizer.fit", refuse)
+    df = spark.createDataFrame([([f"w{i}", f"w{i + 1}"],) for i in range(200)], "w array<string>")
+    assert {x["topic"] for x in text.topics(df, "w", k=3, terms=2, iterations=2).collect()} == {0, 1, 2}
+
+
+def test_gamma_functions():
+    x = np.array([0.01, 0.5, 1.0, 7.3])
+    by_hand = [(lgamma(v * 1.0001) - lgamma(v * 0.9999)) / (v * 0.0002) for v in x]
+    assert lda.digamma(x) == pytest.approx(by_hand, rel=1e-4)
+    assert lda.trigamma(x) == pytest.approx((lda.digamma(x * 1.0001) - lda.digamma(x * 0.9999)) / (x * 0.0002), rel=1e-4)
