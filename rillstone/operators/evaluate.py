@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
+from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from rillstone.functions.ordered import running_totals
 from rillstone.functions.quantiles import exact_quantiles
@@ -194,35 +199,61 @@ def mean_ranking_metrics(df: DataFrame, group: str, score: str, relevance: str,
     )
 
 
-def _poisson(u: Column) -> Column:
-    """Poisson(1) by its distribution function; beyond 12 the chance is below 1e-10."""
-    term, total, out = 2.718281828459045**-1, 0.0, None
+def _poisson_bounds() -> list[int]:
+    """A draw of 32 bits gives as many events, Poisson(1), as there are bounds up to it; beyond 12 the chance is below 1e-10."""
+    term, total, out = 2.718281828459045**-1, 0.0, []
     for n in range(12):
         total += term
-        out = F.when(u < total, n) if out is None else out.when(u < total, n)
+        out.append(ceil(total * 2.0**32))
         term /= n + 1
-    return out.otherwise(12)
+    return [x for x in out if x < 1 << 32]
 
 
 def bootstrap_mean(
     df: DataFrame, value: str, key: str, by: Sequence[str] = (), replicates: int = 200, level: float = 0.95, seed: int = 0
 ) -> DataFrame:
     """Mean with a bootstrap interval. Each row gets a Poisson weight for each replicate from a
-    digest of its key, the same in any engine; rows are expanded inside the task and summed there, so what is
+    digest of its key, the same in any engine, drawn for a batch of rows at once; they are summed inside the task, so what is
     shuffled is one row per group, replicate and task. Rows of one key have the same weights: with a key that names
     stretches of time, whole stretches are drawn, as series need whose values depend on each other."""
-    digests = F.transform(
-        F.sequence(F.lit(0), F.lit((replicates - 1) // 4)),
-        lambda d: F.md5(F.concat_ws(":", F.col(key).cast("string"), d.cast("string"), F.lit(str(seed)))),
+    bounds, tails = _poisson_bounds(), [f"{d}:{seed}".encode() for d in range((replicates - 1) // 4 + 1)]
+
+    def sums(batches):
+        """Of each group of a batch the weights and the weighted values, added up for each replicate."""
+        for rows in batches:
+            # a digest has four draws of 32 bits
+            digests = b"".join(md5(k + t).digest() for k in (x.encode() for x in rows["_k"].to_pylist()) for t in tails)
+            draws = np.frombuffer(digests, ">u4").astype(np.uint32).reshape(len(rows), 4 * len(tails))[:, :replicates]
+            drawn = np.zeros(draws.shape, np.int8)
+            for x in bounds:
+                drawn += draws >= x
+            values, place = rows["_v"].to_numpy(zero_copy_only=False), np.arange(len(rows))
+            if by:
+                groups = pa.Table.from_batches([rows]).select(groupings).append_column("_i", pa.array(place)).group_by(groupings).aggregate([("_i", "list")])
+                places = [np.array(x) for x in groups["_i_list"].to_pylist()]
+            else:
+                places = [place] if len(rows) else []
+            n = [drawn[x].sum(axis=0, dtype=np.int64) for x in places]
+            with np.errstate(invalid="ignore"):
+                total = [values[x] @ drawn[x].astype(float) for x in places]
+            found = [groups[c].combine_chunks() for c in groupings] if by else []
+            arrays = [*found, pa.array(n, pa.list_(pa.int64())), pa.array(total, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*groupings, "_n", "_s"])
+
+    # a null key adds nothing to the text that is hashed
+    text = F.concat_ws(":", F.col(key).cast("string"), F.lit(""))
+    groupings = [f"_by{i}" for i in range(len(by))]
+    held = df.filter(F.col(value).isNotNull()).select(
+        *(F.col(c).alias(g) for c, g in zip(by, groupings, strict=True)), F.col(value).cast("double").alias("_v"), text.alias("_k")
     )
-    held = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), digests.alias("_d"))
-    one = held.select(*by, "_v", "_d", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_r"))
-    # a digest has four draws of 32 bits
-    part = F.substring(F.get("_d", F.floor(F.col("_r") / 4).cast("int")), F.col("_r") % 4 * 8 + 1, F.lit(8))
-    weighed = one.select(*by, "_v", "_r", _poisson(F.conv(part, 16, 10).cast("long") / float(1 << 32)).alias("_w"))
-    means = weighed.groupBy(*by, "_r").agg(
-        F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")).alias("_m")
+    added = StructType([*held.schema.fields[: len(by)], StructField("_n", ArrayType(LongType())), StructField("_s", ArrayType(DoubleType()))])
+    # rows are small and their draws are not: dealt to as many tasks as a shuffle has, whatever the files are
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    each = held.repartition(tasks).mapInArrow(sums, added).select(
+        *(F.col(g).alias(c) for c, g in zip(by, groupings, strict=True)), F.posexplode(F.arrays_zip("_n", "_s")).alias("_r", "_x")
     )
+    means = each.groupBy(*by, "_r").agg(F.try_divide(F.sum("_x._s"), F.sum("_x._n")).alias("_m"))
     tail = (1 - level) / 2
     spread = means.groupBy(*by).agg(
         F.percentile("_m", tail).alias("low"), F.percentile("_m", 1 - tail).alias("high"), F.stddev_samp("_m").alias("std_error")
