@@ -8,9 +8,10 @@ from math import ceil
 from pyspark.ml.fpm import FPGrowth, PrefixSpan
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from rillstone.functions.numbering import dense_ids
-from rillstone.functions.runtime import cut_lineage
+from rillstone.functions.runtime import cut_lineage, written
 
 
 def _mined(df: DataFrame, basket: str, item: str, support: float) -> tuple[DataFrame, int]:
@@ -178,40 +179,68 @@ def factorize(
 
 
 MOST_IDS = 2**31 - 1
+#: Ratings that one block of the solver holds, about.
+BLOCK_RATINGS = 1 << 25
 
 
 class Factors:
     """A factor model of users and items under keys of any type."""
 
-    def __init__(self, model, users: DataFrame, items: DataFrame, user: str, item: str):
-        self.model, self.users, self.items, self.user, self.item = model, users, items, user, item
+    def __init__(self, users: DataFrame, items: DataFrame, user: str, item: str):
+        self.users, self.items, self.user, self.item = users, items, user, item
 
     def predict(self, pairs: DataFrame) -> DataFrame:
-        """``pairs`` with ``prediction``; null for a user or an item that the model has not seen."""
-        numbered = pairs.join(self.users, self.user, "left").join(self.items, self.item, "left")
-        factors = [
-            f.select(F.col("id").alias(n), F.col("features").alias(v))
-            for f, n, v in ((self.model.userFactors, "_user", "_p"), (self.model.itemFactors, "_item", "_q"))
-        ]
-        met = numbered.join(factors[0], "_user", "left").join(factors[1], "_item", "left")
+        """``pairs`` with ``prediction``; null for a user or an item that the model has not seen. Factors are put to the
+        keys, of which there are few, so that pairs are moved once by user and once by item."""
+        met = pairs.join(self.users, self.user, "left").join(self.items, self.item, "left")
         product = F.aggregate(F.zip_with("_p", "_q", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
         return met.select(*pairs.columns, F.when(F.col("_p").isNotNull() & F.col("_q").isNotNull(), product).alias("prediction"))
 
 
+def _blocks(n: int) -> dict:
+    """Each step sends a factor to the blocks that rate with it, which is mostly all of them: no more blocks than keep
+    each at ``BLOCK_RATINGS``, and a few for the cores."""
+    blocks = max(4, ceil(n / BLOCK_RATINGS))
+    return {"numUserBlocks": blocks, "numItemBlocks": blocks}
+
+
+def _ids(df: DataFrame, *keys: str) -> tuple[int, bool]:
+    """The number of rows, and whether all values of ``keys`` are integers that the solver takes as they are."""
+    whole = all(isinstance(df.schema[k].dataType, (ByteType, ShortType, IntegerType, LongType)) for k in keys)
+    ends = [f(F.col(k).cast("long")) for k in keys for f in (F.min, F.max)] if whole else []
+    n, *ends = df.agg(F.count("*"), *ends).first()
+    return n, whole and all(x is None or -MOST_IDS <= x <= MOST_IDS for x in ends)
+
+
 def factorize_keys(
     ratings: DataFrame, user: str, item: str, rating: str, rank: int = 8, iterations: int = 5, seed: int = 0, **options
 ) -> Factors:
-    """Alternating least squares for users and items with keys of any type: keys are numbered without holes, which
-    the solver asks for. Ratings without a key or a value are left out; equal pairs count each."""
+    """Alternating least squares for users and items with keys of any type. Integers that fit the solver's are taken as they
+    are, other keys are numbered without holes. Ratings without a key or a value are left out; equal pairs count each."""
     known = ratings.select(user, item, rating).dropna()
+    value = F.col(rating).cast("float").alias("_rating")
+    n, whole = _ids(known, user, item)
+    options = _blocks(n) | options
+    if whole:
+        model = factorize(known.select(F.col(user).cast("int").alias("_user"), F.col(item).cast("int").alias("_item"), value),
+                          "_user", "_item", "_rating", rank, iterations, seed, **options)
+        tables = [
+            f.select(F.col("id").cast(known.schema[k].dataType).alias(k), F.col("features").alias(v))
+            for f, k, v in ((model.userFactors, user, "_p"), (model.itemFactors, item, "_q"))
+        ]
+        return Factors(*tables, user, item)
     users = cut_lineage(dense_ids(known.select(user).distinct(), user, name="_user"))
     items = cut_lineage(dense_ids(known.select(item).distinct(), item, name="_item"))
     if max(users.count(), items.count()) > MOST_IDS:
         raise ValueError("the solver numbers at most 2^31 - 1 users and items")
     numbered = known.join(users, user).join(items, item).select(
-        F.col("_user").cast("int").alias("_user"), F.col("_item").cast("int").alias("_item"), F.col(rating).cast("float").alias("_rating")
+        F.col("_user").cast("int").alias("_user"), F.col("_item").cast("int").alias("_item"), value
     )
-    return Factors(factorize(numbered, "_user", "_item", "_rating", rank, iterations, seed, **options), users, items, user, item)
+    # the solver reads them several times
+    model = factorize(written(numbered, "ratings"), "_user", "_item", "_rating", rank, iterations, seed, **options)
+    mine = users.join(model.userFactors.select(F.col("id").alias("_user"), F.col("features").alias("_p")), "_user").drop("_user")
+    theirs = items.join(model.itemFactors.select(F.col("id").alias("_item"), F.col("features").alias("_q")), "_item").drop("_item")
+    return Factors(mine, theirs, user, item)
 
 
 def commodity_filter(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rillstone.functions.columns import rounded
-from rillstone.functions.runtime import spread
+from rillstone.functions.runtime import spread, written
 from rillstone.operators import evaluate, patterns, privacy, text
 from rillstone.plans.registry import Tables, query, r
 
@@ -172,7 +172,7 @@ def _poisson_sql(u: str) -> str:
         {r('min(std_error)', 6)} as std_error from events join i using (event_type) group by 1""",
 )
 def bootstrap_ci(t: Tables) -> DataFrame:
-    df = spread(t.events.select("event_id", "event_type", "value"))
+    df = t.events.select("event_id", "event_type", "value")
     return rounded(evaluate.bootstrap_mean(df, "value", "event_id", ["event_type"]), 6)
 
 
@@ -458,7 +458,12 @@ def item_similarity(t: Tables) -> DataFrame:
 def als(t: Tables) -> DataFrame:
     """Fit on one hash split of the ratings; error on both, and how many pairs the model knows nothing of."""
     df = ratings(t).withColumn("pair", F.concat_ws("-", "user", "item"))
-    df = evaluate.hash_split(df, "pair")
+    return _fit_and_errors(evaluate.hash_split(df, "pair"))
+
+
+def _fit_and_errors(df: DataFrame) -> DataFrame:
+    """Fit and scores read the rows several times: they are joined and split once."""
+    df = written(df.drop("pair"), "ratings")
     model = patterns.factorize_keys(df.filter("split = 'train'"), "user", "item", "rating")
     return _errors(model.predict(df))
 
@@ -479,8 +484,7 @@ def als_text_keys(t: Tables) -> DataFrame:
         F.concat(F.lit("customer "), "user").alias("user"), (F.col("item") + F.lit(1 << 40)).alias("item"), "rating",
         F.concat_ws("-", "user", "item").alias("pair"),
     )
-    df = evaluate.hash_split(df, "pair")
-    return _errors(patterns.factorize_keys(df.filter("split = 'train'"), "user", "item", "rating").predict(df))
+    return _fit_and_errors(evaluate.hash_split(df, "pair"))
 
 
 @query(

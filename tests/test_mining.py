@@ -1,6 +1,7 @@
 from __future__ import annotations
 
-from math import lgamma
+from hashlib import md5
+from math import factorial, lgamma
 
 import numpy as np
 import pytest
@@ -301,3 +302,51 @@ def test_gamma_functions():
     by_hand = [(lgamma(v * 1.0001) - lgamma(v * 0.9999)) / (v * 0.0002) for v in x]
     assert lda.digamma(x) == pytest.approx(by_hand, rel=1e-4)
     assert lda.trigamma(x) == pytest.approx((lda.digamma(x * 1.0001) - lda.digamma(x * 0.9999)) / (x * 0.0002), rel=1e-4)
+
+
+def test_integer_keys_are_not_numbered(spark, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("keys are numbered")
+
+    monkeypatch.setattr(patterns, "dense_ids", refuse)
+    data = [(-5 + 9 * u, (1 << 30) + i, float(1 + u % 3 + i % 2)) for u in range(12) for i in range(8) if (u + i) % 5]
+    df = spark.createDataFrame([*data, (None, 1, 3.0)], "u long, i long, r double")
+    model = patterns.factorize_keys(df, "u", "i", "r", rank=3, iterations=10)
+    asked = spark.createDataFrame([*[(u, i) for u, i, _ in data], (1 << 40, 1 << 30), (4, 7), (None, None)], "u long, i long")
+    told = model.predict(asked)
+    got = {(x["u"], x["i"]): x["prediction"] for x in told.collect()}
+    assert got[1 << 40, 1 << 30] is None and got[4, 7] is None and got[None, None] is None and told.count() == asked.count()
+    assert np.sqrt(np.mean([(got[u, i] - r) ** 2 for u, i, r in data])) < 0.35
+
+
+def test_pairs_are_moved_once_by_user_and_once_by_item(spark):
+    df = spark.createDataFrame([(f"u{k % 7}", f"i{k % 5}", 1.0) for k in range(35)], "u string, i string, r double")
+    told = patterns.factorize_keys(df, "u", "i", "r", rank=2, iterations=1).predict(df.hint("merge"))
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert len(joins) == 2 and all("#" in x for x in joins)
+
+
+def test_blocks_follow_the_ratings():
+    assert patterns._blocks(10) == {"numUserBlocks": 4, "numItemBlocks": 4}
+    assert patterns._blocks(10 * patterns.BLOCK_RATINGS)["numUserBlocks"] == 10
+
+
+def test_bootstrap_draws_as_by_hand_and_explodes_no_row(spark):
+    data = [(None if i == 3 else i, None if i % 7 == 0 else "ab"[i % 2], None if i == 5 else i * 1.5) for i in range(40)]
+    df = spark.createDataFrame(data, "id long, g string, v double").repartition(3)
+    out = evaluate.bootstrap_mean(df, "v", "id", ["g"], replicates=10, level=0.8, seed=3)
+    assert "Generate posexplode(sequence" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "MapInArrow" in plan
+    # the longest task follows the number of tasks, not the number of files
+    assert "Repartition 8, true" in evaluate.bootstrap_mean(df.coalesce(1), "v", "id")._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["g"]: r for r in out.collect()}
+    bounds = np.cumsum([np.exp(-1) / factorial(n) for n in range(12)])
+    for g in ("a", "b"):
+        rows = [(i, v) for i, x, v in data if x == g and v is not None]
+        w = []
+        for i, _ in rows:
+            text = b"".join(md5(("" if i is None else f"{i}:").encode() + f"{d}:3".encode()).digest() for d in range(3))
+            w.append([np.searchsorted(bounds, int.from_bytes(text[4 * r : 4 * r + 4], "big") / 2**32, side="right") for r in range(10)])
+        w, v = np.array(w), np.array([v for _, v in rows])
+        means = (w * v[:, None]).sum(axis=0) / w.sum(axis=0)
+        assert got[g]["low"] == pytest.approx(np.quantile(means, 0.1)) and got[g]["std_error"] == pytest.approx(np.std(means, ddof=1))
