@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rillstone.functions.columns import rounded
-from rillstone.functions.runtime import scratch_path, spread
+from rillstone.functions.runtime import scratch_path, spread, written
 from rillstone.operators import density, evaluate, least_squares, models, neighbors, vectors
 from rillstone.plans.elimination import eliminate, normal_sums
 from rillstone.plans.registry import Tables, query, r
@@ -265,9 +265,9 @@ def linear_models(t: Tables) -> DataFrame:
 @query("logistic_balanced")
 def logistic_balanced(t: Tables) -> DataFrame:
     """Logistic regression plain, with class weights, and on resampled rows."""
-    data = line(t)
-    train = models.assemble(data.filter("split = 'train'"), LINE)
-    every = models.assemble(data, LINE)
+    # all fits and scores read the rows many times: they are split and labelled once
+    every = written(models.assemble(line(t), LINE).select("key", "label", "split", "features"), "line")
+    train = every.filter("split = 'train'")
     fits = {
         "plain": models.logistic(train, "label"),
         "weighted": models.logistic(models.balance_weights(train, "label"), "label", "weight"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillstone.functions.numbering import dense_ids
 from rillstone.operators import evaluate, lda, models, patterns, privacy, text, vectors
-from tests.conftest import rows
+from tests.conftest import SMALL, rows
 
 
 def test_tokens_ngrams_stopwords(spark):
@@ -350,3 +350,17 @@ def test_bootstrap_draws_as_by_hand_and_explodes_no_row(spark):
         w, v = np.array(w), np.array([v for _, v in rows])
         means = (w * v[:, None]).sum(axis=0) / w.sum(axis=0)
         assert got[g]["low"] == pytest.approx(np.quantile(means, 0.1)) and got[g]["std_error"] == pytest.approx(np.std(means, ddof=1))
+
+
+def test_rows_are_split_once_for_all_fits(spark, monkeypatch):
+    from rillstone.plans.catalog import QUERIES
+
+    fit, plans = models.logistic, []
+
+    def seen(df, *rest):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return fit(df, *rest)
+
+    monkeypatch.setattr(models, "logistic", seen)
+    got = QUERIES["logistic_balanced"](spark, SMALL).collect()
+    assert len(got) == 6 and len(plans) == 3 and not any("md5" in p for p in plans)
