@@ -124,13 +124,19 @@ def repeated_spans(docs: DataFrame, least: int = 64) -> DataFrame:
         F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last"), F.max("c.again").alias("_again")
     )
     often = counted.filter("first_doc_id < _last OR _again").select("one", "two", "first_doc_id")
-    end = F.element_at("ends", F.col("k") + 1)
-    placed = each.select(
-        "doc_id", "k", "c.one", "c.two", "c.again", end.alias("end"),
-        F.when(F.col("k") > 0, end - F.element_at("ends", F.greatest(F.col("k"), F.lit(1)))).otherwise(end).alias("size"),
+    end = F.element_at("ends", F.col("k") + 1).cast("long")
+    size = F.when(F.col("k") > 0, end - F.element_at("ends", F.greatest(F.col("k"), F.lit(1)))).otherwise(end)
+    # every chunk is moved, so its row is narrow: 32 bits of the digest and 32 of the place, 32 of the end, 31 of the size, one of again
+    packed = each.select(
+        "doc_id", F.col("c.one").alias("_one"), F.shiftleft(F.col("c.two").cast("long"), 32).bitwiseOR(F.col("k").cast("long")).alias("_place"),
+        F.shiftleft(end, 32).bitwiseOR(F.shiftleft(size, 1)).bitwiseOR(F.col("c.again").cast("long")).alias("_end"),
     )
-    occurring = placed.join(often, ["one", "two"]).select(
-        "doc_id", "k", "end", "size", (~F.col("again") & (F.col("doc_id") == F.col("first_doc_id"))).alias("kept"), "first_doc_id"
+    low = F.lit((1 << 32) - 1)
+    met = packed.join(often, (F.col("_one") == F.col("one")) & (F.shiftright("_place", 32) == F.col("two").cast("long")))
+    occurring = met.select(
+        "doc_id", F.col("_place").bitwiseAND(low).cast("int").alias("k"), F.shiftright("_end", 32).cast("int").alias("end"),
+        F.shiftright(F.col("_end").bitwiseAND(low), 1).cast("int").alias("size"),
+        ((F.col("_end").bitwiseAND(F.lit(1)) == 0) & (F.col("doc_id") == F.col("first_doc_id"))).alias("kept"), "first_doc_id",
     )
     # chunks that follow each other have the same difference to their rank, and repeated rows have the same rank
     order = Window.partitionBy("doc_id", "kept").orderBy("k")

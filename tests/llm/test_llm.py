@@ -560,3 +560,13 @@ def test_groups_wider_than_their_first_member(spark):
                     root = [new if v == old else v for v in root]
         found = {v.doc_id: v.component_id for v in minhash_dedup.near_duplicates(table(spark, texts), percent=percent, per_block=2).collect()}
         assert [found[i] for i in range(len(texts))] == root
+
+
+def test_chunks_move_to_their_counts_in_narrow_rows(spark):
+    text = "the same passage of words that stands twice in these texts, and is long enough to be found again " * 2
+    docs = spark.createDataFrame([(1, text), (2, "x " + text)], "doc_id long, text string")
+    spans = substring_dedup.repeated_spans(docs)
+    assert spans.filter("NOT kept AND doc_id = 2").agg({"end_byte": "max"}).first()[0] == len(text) + 2
+    plan = spans._jdf.queryExecution().optimizedPlan().toString()
+    moved = next(line for line in plan.splitlines() if "AS _place" in line)
+    assert " AS again" not in plan and " AS size" not in moved and " AS end" not in moved
