@@ -11,6 +11,7 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of rows that a Python task is given at once.
 BATCH_BYTES = 4 << 20
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -67,6 +68,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``written``, and what was shuffled for it leaves the disk at once, not when the driver next collects its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP_CONF, None)
+    conf.set(CLEANUP_CONF, "true")
+    try:
+        return written(df, name)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP_CONF)
+        else:
+            conf.set(CLEANUP_CONF, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows to all cores when a scan gives fewer tasks than there are cores, for work that is
     heavy per row. A table of many files is left as it is, so nothing large is moved. For scans

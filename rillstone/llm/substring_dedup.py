@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from rillstone.functions.runtime import settled
 from rillstone.llm.blocks import written
 from rillstone.llm.textbytes import SLICE, SPACE, _DOWN, _UP, as_bytes, mix
 
@@ -123,7 +124,8 @@ def repeated_spans(docs: DataFrame, least: int = 64) -> DataFrame:
     counted = each.groupBy("c.one", "c.two").agg(
         F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last"), F.max("c.again").alias("_again")
     )
-    often = counted.filter("first_doc_id < _last OR _again").select("one", "two", "first_doc_id")
+    # every chunk is moved twice, once to its count and once to what is repeated: the one is off the disk before the other
+    often = settled(counted.filter("first_doc_id < _last OR _again").select("one", "two", "first_doc_id"), "repeated")
     end = F.element_at("ends", F.col("k") + 1).cast("long")
     size = F.when(F.col("k") > 0, end - F.element_at("ends", F.greatest(F.col("k"), F.lit(1)))).otherwise(end)
     # every chunk is moved, so its row is narrow: 32 bits of the digest and 32 of the place, 32 of the end, 31 of the size, one of again
@@ -154,9 +156,10 @@ def repeated_spans(docs: DataFrame, least: int = 64) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, least: int = 64) -> DataFrame:
     """``docs`` with the repeats cut out of ``text`` and ``n_chars`` counted again, if it is there; all rows stay."""
-    gone = repeated_spans(docs, least).filter("NOT kept").groupBy(F.col("doc_id").alias("_span_id")).agg(
+    spans = repeated_spans(docs, least).filter("NOT kept").groupBy(F.col("doc_id").alias("_span_id")).agg(
         F.array_sort(F.collect_list(F.struct("first_byte", "end_byte"))).alias("_spans")
     )
+    gone = settled(spans, "spans")  # the chunks are off the disk before the texts are moved
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:

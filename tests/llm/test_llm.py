@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -570,3 +572,37 @@ def test_chunks_move_to_their_counts_in_narrow_rows(spark):
     plan = spans._jdf.queryExecution().optimizedPlan().toString()
     moved = next(line for line in plan.splitlines() if "AS _place" in line)
     assert " AS again" not in plan and " AS size" not in moved and " AS end" not in moved
+
+
+def test_chunks_are_off_the_disk_before_texts_are_moved(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+
+    def shuffled():
+        return {f for d in dirs for f in Path(d.getPath()).rglob("shuffle_*")}
+
+    text = "the same passage of words that stands twice in these texts, and is long enough to be found again " * 2
+    docs = spark.createDataFrame([(1, text, "a"), (2, "x " + text, "b")], "doc_id long, text string, source string")
+    before = shuffled()
+    left = substring_dedup.drop_repeats(docs)
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan  # chunks are counted and met in jobs of their own
+    assert {r.doc_id: len(r.text) for r in left.collect()}[2] < 40
+
+
+def test_each_stage_bounds_what_python_is_given_at_once(spark, docs):
+    import corpus_pipeline
+    from rillstone.functions.runtime import BATCH_BYTES, BATCH_CONF
+
+    before = spark.conf.get(BATCH_CONF)
+    try:
+        for name, stage in corpus_pipeline.STAGES[1:]:  # the check runs stages one by one, not by run()
+            spark.conf.set(BATCH_CONF, str(1 << 30))
+            assert stage(spark, docs, "").columns, name
+            assert spark.conf.get(BATCH_CONF) == str(BATCH_BYTES), name
+    finally:
+        spark.conf.set(BATCH_CONF, before)
