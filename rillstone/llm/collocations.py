@@ -1,14 +1,15 @@
 """Phrases whose words stand together more often than apart, counted by double-array tries.
 
-Candidates grow by one word at a time and only where all shorter parts are frequent (Apriori): a bitmap of fixed size
-has every frequent phrase of the level before, tasks send the windows whose two parts are in it, each once a batch with
-its count up to the threshold, and windows whose sums reach the threshold are candidates. They are cut into tries of a
-bounded number of phrases. A trie is a double array over numbered words, each taken in two steps, and is broadcast; a
-task moves the states of all text positions at once, word by word, counts accepting states, and the counts of all tasks
-are summed.
+The texts are read once, into blocks that have the distinct words and the place of each word among them; everything
+after works on these. Candidates grow by one word at a time and only where all shorter parts are frequent (Apriori): a
+bitmap of fixed size has every frequent phrase of the level before, tasks send the windows whose two parts are in it, each
+once a block with its count up to the threshold, and windows whose sums reach the threshold are candidates. They are cut
+into tries of a bounded number of phrases. A trie is a double array over numbered words, each taken in two steps, and is
+broadcast; a task moves the states of all positions of a block at once, word by word, counts accepting states, and the
+counts of all tasks are summed.
 
-Words are known by 64-bit hashes of language and word. Whether two words share one is looked at whenever it could
-matter, and another seed is taken then, so counts are exact.
+Words are known by 64-bit hashes of language and word. A second hash of each shows whether two words share one; where
+that could matter, another seed is taken.
 
 Defined cases: a null text has no words; a null language is ``und``. ``doc_id`` and other columns are not read.
 Repeated rows count as often as they stand. Without phrases there are no rows.
@@ -16,13 +17,14 @@ Repeated rows count as often as they stand. Without phrases there are no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rillstone.llm.blocks import written
+from rillstone.functions.runtime import settled, written
 from rillstone.llm.spans import LOWER, Lookup, runs_of, span_hashes, spans, table
 from rillstone.llm.textbytes import as_bytes, mix, slices
 
@@ -31,8 +33,13 @@ APART = BREAK | table(b" \t")
 #: Bits of the bitmap of frequent phrases. A full one lets more windows through, never fewer.
 BITS = 1 << 26
 CHUNK = 1 << 13
-#: Words or windows that a task holds before it sends them.
+#: Words in one block of the texts; a longer text is a block by itself.
+BLOCK = 1 << 19
+#: Words that a task remembers to have spelt.
+TOLD = 1 << 20
+#: Phrases that a task holds before it counts or sends them, and windows it sends at once.
 HELD = 1 << 19
+SENT = 1 << 17
 #: Phrases in one trie. Each trie takes one pass over the texts.
 PER_TRIE = 1 << 20
 
@@ -43,48 +50,106 @@ def _of_name(name: str, seed: int) -> int:
 
 
 def _words(texts: list[str | None], langs: list[str], seed: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """``bytes, start, end, key, lang, joint`` for runs of texts: a key is a hash of language and word; joint says
-    whether the next word stands in the same piece."""
-    names, code = np.unique(np.array(langs, dtype=str), return_inverse=True)
+    """``bytes, start, end, key, other, lang, joint`` for runs of texts: a key is a hash of language and word, other a second
+    one, joint says whether the next word stands in the same piece."""
+    names, code = np.unique(np.array(langs, dtype=object), return_inverse=True)
     seeds = np.array([_of_name(x, seed) for x in names.tolist()], np.uint64)
+    values = mix(np.arange(256, dtype=np.uint64), 2000 + seed)
     for first, last, joined in slices(texts):
         b = LOWER[np.frombuffer(joined, np.uint8)]
         start, end = spans(~APART[b])
         if not len(start):
             continue
         sizes = np.array([len(as_bytes(t)) + 1 for t in texts[first:last]])
-        text = np.searchsorted(np.cumsum(sizes), start, side="right") + first
-        piece = np.cumsum(BREAK[b], dtype=np.int32)[start]
-        joint = np.append(piece[1:] == piece[:-1], False)
-        lang = code[text]
-        yield b, start, end, mix(span_hashes(b, start, end, seed) ^ seeds[lang]), names[lang], joint
-
-
-def count_words(docs: DataFrame, seed: int) -> DataFrame:
-    """``key, lang, word, n`` of all words; key collisions are kept apart."""
-
-    def sums(held: list[tuple]) -> pd.DataFrame:
-        key, lang, n = (np.concatenate([h[i] for h in held]) for i in range(3))
-        frame = pd.DataFrame({"key": key.view(np.int64), "lang": lang, "word": [w for h in held for w in h[3]], "n": n})
-        return frame.groupby(["key", "lang", "word"], as_index=False, sort=False)["n"].sum()
+        lang = code[np.searchsorted(np.cumsum(sizes), start, side="right") + first]
+        joint = np.ones(len(start), bool)
+        after = np.searchsorted(start, np.flatnonzero(BREAK[b]))
+        joint[after[after > 0] - 1] = False
+        joint[-1] = False
+        total = np.concatenate(([np.uint64(0)], np.cumsum(values[b], dtype=np.uint64)))
+        key = mix(span_hashes(b, start, end, seed) ^ seeds[lang])
+        yield b, start, end, key, total[end] - total[start] + seeds[lang], names[lang], joint
+
+
+def _spelt(held: list[tuple], at: np.ndarray) -> pa.Array:
+    """The words at some positions of joined runs of texts."""
+    cut = np.cumsum([0] + [len(h[0]) for h in held])[:-1]
+    start, end = (np.concatenate([h[i] + c for h, c in zip(held, cut, strict=True)])[at] for i in (1, 2))
+    ends = np.cumsum(end - start)
+    b = np.concatenate([h[0] for h in held])[np.arange(ends[-1] if len(at) else 0) + np.repeat(end - ends, end - start)]
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(b))
+
+
+#: A block of words, or a word of a block.
+KEYED = "keys binary, places binary, joint binary, key long, lang string, word string, n long, other long, shared boolean"
+_FIELDS = pa.schema([("keys", pa.binary()), ("places", pa.binary()), ("joint", pa.binary()), ("key", pa.int64()), ("lang", pa.string()),
+    ("word", pa.string()), ("n", pa.int64()), ("other", pa.int64()), ("shared", pa.bool_())])
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    size = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _FIELDS], schema=_FIELDS)
+
+
+def keyed(docs: DataFrame, seed: int) -> DataFrame:
+    """The texts read once, as rows of two kinds. ``keys, places, joint``: a block of words in order, as its distinct
+    keys, the place of each word among them, and a bit for words whose next stands in the same piece. ``key, lang, word,
+    n, other, shared``: a word of a block, with its count and second hash, and whether the block has two of these under the
+    key. A task spells a word the first time, and again when it has met very many others."""
+
+    def block(held: list[tuple], told: np.ndarray) -> Generator[pa.RecordBatch, None, np.ndarray]:
+        key = np.concatenate([h[3] for h in held])
+        order = np.argsort(key)
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])
+        first = np.flatnonzero(new)
+        place = np.empty(len(key), np.uint32)
+        place[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        key, at, n = key[first], order[first], np.diff(np.append(first, len(key)))
+        joint = np.packbits(np.concatenate([h[6] for h in held]))
+        yield _batch(keys=[key.tobytes()], places=[place.tobytes()], joint=[joint.tobytes()])
+        other = np.concatenate([h[4] for h in held])[order]
+        shared = np.logical_or.reduceat(other != np.repeat(other[first], n), first)
+        lang = np.concatenate([h[5] for h in held])[at]
+        fresh = ~np.isin(key, told, assume_unique=True)
+        for rows, word in ((fresh, {"word": _spelt(held, at[fresh])}), (~fresh, {})):
+            yield _batch(key=key[rows].view(np.int64), lang=lang[rows], n=n[rows], other=other[first[rows]].view(np.int64), shared=shared[rows], **word)
+        return np.union1d(told, key) if len(told) < TOLD else key
 
     def run(batches):
+        told, held, total = np.empty(0, np.uint64), [], 0
         for rows in batches:
-            held, total = [], 0
-            for b, start, end, key, lang, _ in _words(rows["text"].tolist(), rows["lang"].tolist(), seed):
-                at, n = runs_of(key)
-                held.append((key[at], lang[at], n, [b[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(start[at], end[at], strict=True)]))
-                total += len(at)
-                if total > HELD // 2:
-                    yield sums(held)
+            for h in _words(rows.column("text").to_pylist(), rows.column("lang").to_pylist(), seed):
+                held.append(h)
+                total += len(h[1])
+                if total >= BLOCK:
+                    told = yield from block(held, told)
                     held, total = [], 0
-            if held:
-                yield sums(held)
+        if held:
+            yield from block(held, told)
+
+    return written(docs.select("text", "lang").mapInArrow(run, KEYED), "keyed")
 
-    return docs.mapInPandas(run, "key long, lang string, word string, n long").groupBy("key").agg(
-        F.min("lang").alias("lang"), F.min("word").alias("word"), F.sum("n").alias("n"),
-        ((F.min("lang") != F.max("lang")) | (F.min("word") != F.max("word"))).alias("shared"),
-    )
+
+def _blocks(rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``keys, places, joint`` of the blocks in a batch."""
+    for keys, places, joint in zip(*(rows.column(c) for c in ("keys", "places", "joint")), strict=True):
+        place = np.frombuffer(places.as_buffer(), np.uint32)
+        yield np.frombuffer(keys.as_buffer(), np.uint64), place, np.unpackbits(np.frombuffer(joint.as_buffer(), np.uint8), count=len(place)).astype(bool)
+
+
+def blocks(texts: DataFrame) -> DataFrame:
+    return texts.filter(F.col("keys").isNotNull()).select("keys", "places", "joint")
+
+
+def count_words(texts: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``key, code, n, shared`` of all words, and ``lang, code, size`` of all languages. Words are shared that have one key
+    and different second hashes."""
+    words = texts.filter(F.col("key").isNotNull()).withColumn("code", F.xxhash64(F.lit(seed), "lang"))
+    langs = words.groupBy("lang", "code").agg(F.sum("n").alias("size"))
+    return words.groupBy("key").agg(
+        F.max("code").alias("code"), F.sum("n").alias("n"), ((F.min("other") != F.max("other")) | F.max("shared")).alias("shared")
+    ), langs
 
 
 def _mark(keys: list[np.ndarray]) -> np.ndarray:
@@ -125,39 +190,51 @@ def _in(held: np.ndarray, mark: np.ndarray) -> np.ndarray:
     return (held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def candidates(docs: DataFrame, shorter: DataFrame, words: int, least: int, seed: int) -> DataFrame:
-    """``k0, k1, ...``: all phrases of so many words that stand ``least`` times, from texts whose windows have both
+def _windows(places: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct windows of a block, whose words are places below ``size``, and how often each stands there."""
+    bits = max(1, (size - 1).bit_length())
+    if bits * len(places) > 64:
+        at, n = runs_of(_mark([p.astype(np.uint64) for p in places]), *places)
+        return [p[at] for p in places], n
+    packed = np.zeros(len(places[0]), np.uint64)
+    for p in places:
+        packed = (packed << np.uint64(bits)) | p
+    packed.sort()
+    first = np.flatnonzero(np.append(True, packed[1:] != packed[:-1])) if len(packed) else np.empty(0, np.int64)
+    n, packed = np.diff(np.append(first, len(packed))), packed[first]
+    last = np.uint64((1 << bits) - 1)
+    return [(packed >> np.uint64(bits * i)) & last for i in reversed(range(len(places)))], n
+
+
+def candidates(texts: DataFrame, shorter: DataFrame, words: int, least: int) -> DataFrame:
+    """``k0, k1, ...``: all phrases of so many words that stand ``least`` times, from blocks whose windows have both
     their parts in ``shorter``."""
     names = [f"k{i}" for i in range(words)]
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(shorter, words - 1))
-
-    def counted(found: list[list[np.ndarray]]) -> pd.DataFrame:
-        keys = [np.concatenate([f[i] for f in found]) for i in range(words)]
-        at, n = runs_of(_mark(keys), *keys)
-        return pd.DataFrame({c: k[at].view(np.int64) for c, k in zip(names, keys, strict=True)} | {"n": np.minimum(n, least)})
+    held = texts.sparkSession.sparkContext.broadcast(bitmap(shorter, words - 1))
 
     def run(batches):
-        found, total = [], 0
         for rows in batches:
-            for *_, key, _, joint in _words(rows["text"].tolist(), rows["lang"].tolist(), seed):
-                n = len(key) - words + 1
+            for keys, place, joint in _blocks(rows):
+                n = len(place) - words + 1
                 if n < 1:
                     continue
-                live = _in(held.value, _mark([key[i : i + n + 1] for i in range(words - 1)]))
+                if words == 2:
+                    live = _in(held.value, _mark([keys]))[place]
+                else:
+                    key = keys[place]
+                    live = _in(held.value, _mark([key[i : i + n + 1] for i in range(words - 1)]))
                 ok = live[:n] & live[1 : n + 1]
                 for i in range(words - 1):
                     ok &= joint[i : i + n]
                 at = np.flatnonzero(ok)
-                found.append([key[at + i] for i in range(words)])
-                total += len(at)
-                if total > HELD:
-                    yield counted(found)
-                    found, total = [], 0
-        if found:
-            yield counted(found)
-
-    sums = docs.mapInPandas(run, ", ".join(f"{c} long" for c in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
-    out = written(sums.filter(F.col("n") >= least).select(*names), f"phrases{words}")
+                found, n = _windows([place[at + i] for i in range(words)], len(keys))
+                n = np.minimum(n, least)
+                for i in range(0, len(n), SENT):
+                    columns = [keys[f[i : i + SENT]].view(np.int64) for f in found] + [n[i : i + SENT].astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*names, "n"])
+
+    sums = blocks(texts).mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
+    out = settled(sums.filter(F.col("n") >= least).select(*names), f"phrases{words}")
     held.unpersist()
     return out
 
@@ -265,10 +342,10 @@ class Trie:
         return np.concatenate(found)
 
 
-def count_phrases(docs: DataFrame, levels: list[DataFrame], seed: int, per_trie: int = PER_TRIE) -> DataFrame:
+def count_phrases(texts: DataFrame, levels: list[DataFrame], per_trie: int = PER_TRIE) -> DataFrame:
     """``keys, a`` for every phrase of ``levels``. Phrases that begin with the same two words are in one trie; the number
     of tries follows from the number of phrases."""
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     each = None
     for i, level in enumerate(levels):
         part = level.select(F.lit(i + 2).alias("words"), F.array(*(f"k{j}" for j in range(i + 2))).alias("keys"))
@@ -294,8 +371,8 @@ def count_phrases(docs: DataFrame, levels: list[DataFrame], seed: int, per_trie:
             lookup = Lookup(t.keys)
             total, held, waiting = np.zeros(t.size, np.int64), [], 0
             for rows in batches:
-                for *_, key, _, joint in _words(rows["text"].tolist(), rows["lang"].tolist(), seed):
-                    held.append(t.find(lookup.find(key), joint))
+                for keys, place, joint in _blocks(rows):
+                    held.append(t.find(lookup.find(keys)[place], joint))
                     waiting += len(held[-1])
                     if waiting > 2 * HELD:
                         total += np.bincount(np.concatenate(held), minlength=t.size)
@@ -304,9 +381,9 @@ def count_phrases(docs: DataFrame, levels: list[DataFrame], seed: int, per_trie:
                 total += np.bincount(np.concatenate(held), minlength=t.size)
             at = np.flatnonzero(total)
             for i in range(0, len(at), HELD):
-                yield pd.DataFrame({"id": ids[at[i : i + HELD]], "a": total[at[i : i + HELD]]})
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at[i : i + HELD]]), pa.array(total[at[i : i + HELD]])], names=["id", "a"])
 
-        counted = written(docs.mapInPandas(run, "id long, a long").groupBy("id").agg(F.sum("a").alias("a")), "counted")
+        counted = settled(blocks(texts).mapInArrow(run, "id long, a long").groupBy("id").agg(F.sum("a").alias("a")), "counted")
         counts = counts.unionByName(counted)
         trie.unpersist()
     return phrases.join(counts, "id").select("keys", "a")
@@ -324,17 +401,19 @@ def collocations(docs: DataFrame, words: int = 3, least: int = 10, within: int =
     read = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     seed = 0
     while True:
-        vocabulary = written(count_words(read, seed), "words")
-        if vocabulary.filter(F.col("shared") & (F.col("n") >= least)).isEmpty():
+        texts = keyed(read, seed)
+        vocabulary, langs = count_words(texts, seed)
+        vocabulary = settled(vocabulary.filter(F.col("n") >= least), "words")
+        langs = written(langs, "langs")
+        if vocabulary.filter("shared").isEmpty() and langs.groupBy("code").count().filter("count > 1").isEmpty():
             break
         seed += 1
-    sizes = vocabulary.groupBy("lang").agg(F.sum("n").alias("size"))
-    frequent = vocabulary.filter(F.col("n") >= least).select("key", "lang", "word", F.col("n").alias("f"))
+    frequent = vocabulary.select("key", "code", F.col("n").alias("f"))
     levels, shorter = [], frequent.select(F.col("key").alias("k0"))
     for length in range(2, words + 1):
-        shorter = candidates(read, shorter, length, least, seed)
+        shorter = candidates(texts, shorter, length, least)
         levels.append(shorter)
-    phrases = written(count_phrases(read, levels, seed, per_trie), "counts")
+    phrases = written(count_phrases(texts, levels, per_trie), "counts")
     known = phrases.select("keys", F.col("a").alias("f")).unionByName(frequent.select(F.array("key").alias("keys"), "f"))
     # the lowest cut of each phrase
     cuts = phrases.select("keys", "a", F.explode(F.sequence(F.lit(1), F.size("keys") - 1)).alias("cut")).select(
@@ -352,18 +431,21 @@ def collocations(docs: DataFrame, words: int = 3, least: int = 10, within: int =
     )))
     around = phrases.filter(F.size("keys") > 2).select(spots.alias("keys"), "a").groupBy("keys").agg(F.max("a").alias("_longer"))
     left = scored.join(around, "keys", "left").filter(F.expr(f"_longer IS NULL OR 100 * _longer < {int(within)} * a"))
-    left = left.join(frequent.select(F.array("key").alias("_first"), "lang"), F.slice("keys", 1, 1) == F.col("_first")).drop("_first")
+    left = left.join(frequent.select(F.col("key").alias("_first"), "code"), F.get("keys", F.lit(0)) == F.col("_first")).drop("_first")
+    left = left.join(langs, "code").drop("code")
     # ties at the end stay until phrases are spelt
     ranked = left.withColumn("_rank", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("c.score"), F.desc("a")))).filter(
         F.col("_rank") <= top
     )
     ranked = written(ranked, "ranked")
-    spelt = ranked.select("keys", F.posexplode("keys").alias("_at", "key")).join(frequent.select("key", "word"), "key")
+    places = ranked.select("keys", F.posexplode("keys").alias("_at", "key"))
+    names = texts.filter(F.col("word").isNotNull()).select("key", "word").join(places.select("key").distinct(), "key")
+    spelt = places.join(names.groupBy("key").agg(F.min("word").alias("word")), "key")
     spelt = spelt.groupBy("keys").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "word"))), lambda x: x["word"]), " ").alias("phrase")
     )
     order = Window.partitionBy("lang").orderBy(F.desc("c.score"), F.desc("a"), "phrase")
     return (
-        ranked.join(spelt, "keys").join(sizes, "lang").withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+        ranked.join(spelt, "keys").withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
         .select("lang", "rank", "phrase", "a", F.col("c.l").alias("l"), F.col("c.r").alias("r"), F.col("size").alias("n"), F.col("c.score").cast("long").alias("score"))
     )

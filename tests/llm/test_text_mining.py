@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rillstone.llm import collocations, contamination, spelling
 from rillstone.llm.spans import Lookup, runs_of, span_hashes, spans
@@ -83,6 +84,35 @@ def test_collocations_without_rows(spark, docs):
     assert collocations.collocations(docs.filter("doc_id = 45")).collect() == []
 
 
+def test_texts_are_read_once(spark, docs):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    few = docs.filter("doc_id < 30").cache()
+    got = collocations.collocations(few.withColumn("text", seen("text")), 3, 3, 50, 40, 700).count()
+    assert got > 0 and read.value == few.count()
+
+
+def test_shared_keys_are_noticed(spark):
+    rows = [(1, "en", "a", 1, 5, False), (1, "en", "a", 2, 5, False), (2, "en", "b", 1, 6, False), (2, "en", "c", 1, 7, False), (3, "fr", "d", 1, 8, True)]
+    words, langs = collocations.count_words(spark.createDataFrame(rows, "key long, lang string, word string, n long, other long, shared boolean"), 0)
+    assert {r["key"]: (r["n"], r["shared"]) for r in words.collect()} == {1: (3, False), 2: (2, True), 3: (1, True)}
+    assert {r["lang"]: r["size"] for r in langs.collect()} == {"en": 5, "fr": 1}
+
+
+@pytest.mark.parametrize("size", [1, 2, 300, 1 << 30])
+def test_windows_of_a_block(size):
+    r = np.random.default_rng(1)
+    places = [np.minimum(r.zipf(1.3, 2000), size).astype(np.uint32) - np.uint32(1) for _ in range(3)]
+    found, n = collocations._windows(places, size)
+    assert dict(zip(zip(*(f.tolist() for f in found), strict=True), n.tolist(), strict=True)) == collections.Counter(zip(*(p.tolist() for p in places), strict=True))
+    assert len(collocations._windows([p[:0] for p in places], size)[1]) == 0
+
+
 def test_collocation_scores_pass_64_bits(spark):
     row = spark.createDataFrame([(3_000_000_000, 3_000_000_001, 3_000_000_007)], "a long, l long, r long")
     assert row.selectExpr(collocations.SCORE).first()[0] == 10**6 * 3_000_000_000**2 // (3_000_000_001 * 3_000_000_007)
