@@ -34,7 +34,7 @@ APART = BREAK | table(b" \t")
 BITS = 1 << 26
 CHUNK = 1 << 13
 #: Words in one block of the texts; a longer text is a block by itself.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Words that a task remembers to have spelt.
 TOLD = 1 << 20
 #: Phrases that a task holds before it counts or sends them, and windows it sends at once.
