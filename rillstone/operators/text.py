@@ -6,12 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
-from pyspark.ml.feature import HashingTF, IDF, Word2Vec
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import HashingTF, IDF
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rillstone.functions.runtime import cut_lineage
-from rillstone.operators import lda
+from rillstone.operators import lda, skipgram
 
 # Common English words that carry little meaning.
 STOPWORDS = (
@@ -148,24 +147,20 @@ def word_vectors(
     df: DataFrame, words: str, size: int = 32, min_count: int = 5, buckets: int | None = None, seed: int = 0,
     partitions: int = 8,
 ) -> DataFrame:
-    """``(word, vector)`` for every word with ``min_count`` uses, each with a vector of its own. The model holds two
+    """``(word, vector)`` for every word with ``min_count`` uses, each with a vector of its own (``skipgram``). The model holds two
     vectors for each of these words; ``buckets``, off unless it is given, bounds it by learning vectors of so many hashes
     of words, which words of one hash then share. Text is trained in ``partitions`` parts, a parameter, so that the
-    cluster's size does not change the vectors."""
+    cluster's size does not change the number of parts."""
     trained, name = df.select(F.col(words).alias("_words")), F.col("word")
     if buckets:
         trained, name = df.select(F.transform(words, lambda w: _bucket(w, buckets)).alias("_words")), _bucket(F.col("word"), buckets)
     # a bucket is used at least as often as each of its words
-    model = Word2Vec(
-        vectorSize=size, minCount=min_count, inputCol="_words", outputCol="_v", seed=seed, maxIter=1,
-        numPartitions=partitions,
-    ).fit(trained)
-    vectors = model.getVectors().select(F.col("word").alias("_name"), vector_to_array("vector").alias("vector"))
+    vectors = skipgram.fit(trained, "_words", size, min_count, seed, partitions)
     if not buckets:
-        return vectors.withColumnRenamed("_name", "word")
+        return vectors
     counts = df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     often = counts.filter(F.col("n") >= min_count).select("word", name.alias("_name"))
-    return often.join(vectors, "_name").select("word", "vector")
+    return often.join(vectors.withColumnRenamed("word", "_name"), "_name").select("word", "vector")
 
 
 def topics(

@@ -1,14 +1,16 @@
 from __future__ import annotations
 
+from collections import Counter
 from hashlib import md5
 from math import factorial, lgamma
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rillstone.functions.numbering import dense_ids
-from rillstone.operators import evaluate, lda, models, patterns, privacy, text, vectors
+from rillstone.operators import evaluate, lda, models, patterns, privacy, skipgram, text, vectors
 from tests.conftest import SMALL, rows
 
 
@@ -50,6 +52,77 @@ def test_words_do_not_share_vectors(spark):
     assert {x["term"] for x in told} == set(got) | set(words) and len(told) == 600
 
 
+def test_huffman_depths_and_codes():
+    counts = np.array([8, 5, 3, 2, 2, 1, 1])
+    tree = skipgram.Tree(*skipgram.huffman(counts))
+    assert (tree.depth * counts).sum() == 2 + 4 + 5 + 9 + 13 + 22  # what the inner nodes count
+    codes = [(tuple(tree.nodes[d][row]), tuple(tree.sides[d][row])) for d, row in zip(tree.depth.tolist(), tree.row)]
+    assert len(set(codes)) == 7 and {nodes[-1] for nodes, _ in codes} == {5}
+    assert skipgram.Tree(*skipgram.huffman(np.array([4]))).words == 1
+
+
+def test_pairs_are_all_neighbours_in_a_sentence():
+    r = np.random.default_rng(1)
+    ids, sentences, half = r.integers(0, 9, 200), np.sort(r.integers(0, 12, 200)), r.integers(1, 6, 200)
+    expected = Counter(
+        (int(ids[p]), int(ids[q])) for p in range(200) for q in range(200)
+        if p != q and abs(p - q) <= half[p] and sentences[p] == sentences[q]
+    )
+    word, other, n = skipgram.pairs(ids, sentences, half, 9)
+    assert dict(zip(zip(word.tolist(), other.tolist()), n)) == expected and (np.diff(word) >= 0).all()
+
+
+def test_a_step_has_the_gradients_of_every_pair():
+    # more neighbours of a word, and words of a neighbour, than one run holds
+    r, words = np.random.default_rng(2), 700
+    tree = skipgram.Tree(*skipgram.huffman(np.sort(r.integers(5, 500, words))[::-1]))
+    keys = np.unique(np.concatenate([3 * words + np.arange(600), np.arange(650) * words + 7, r.integers(0, words**2, 3000)]))
+    word, other = np.divmod(keys, words)
+    n = r.integers(1, 4, len(keys)).astype(np.float32)
+    trainer = skipgram.Trainer(tree, 8, 0)
+    trainer.y[:] = r.normal(size=trainer.y.shape)
+    x, y = trainer.x.astype(float), trainer.y.astype(float)
+    gx, gy = np.zeros_like(x), np.zeros_like(y)
+    for w, c, k in zip(word, other, n):
+        nodes, sides = (table[int(tree.depth[w])][tree.row[w]] for table in (tree.nodes, tree.sides))
+        g = k * (1 - sides - 1 / (1 + np.exp(-y[nodes] @ x[c])))
+        gx[c] += g @ y[nodes]
+        gy[nodes] += g[:, None] * x[c]
+    trainer.step(word, other, n)
+    for new, old, g in ((trainer.x, x, gx), (trainer.y, y, gy)):
+        rate = skipgram.RATE / (np.sqrt((g * g).mean(axis=1, keepdims=True)) + 1e-6)
+        assert np.abs(new - (old + g * rate)).max() < 1e-3
+
+
+def test_blocks_hold_every_word_in_whole_sentences():
+    r = np.random.default_rng(3)
+    texts = [r.integers(0, 50, k).tolist() for k in (0, 1, 2500, 999, 1000, 1001, 3, 4000)]
+    batches = [pa.record_batch([pa.array(texts[a : a + 3] + [None], pa.list_(pa.int32()))], ["ids"]) for a in range(0, 8, 3)]
+    blocks = list(skipgram._blocks(iter(batches), 1000))
+    assert np.concatenate([ids for ids, _ in blocks]).tolist() == sum(texts, [])
+    sizes = np.unique(np.concatenate([s for _, s in blocks]), return_counts=True)[1]
+    assert sizes.tolist() == [1, 1000, 1000, 500, 999, 1000, 1000, 1, 3, 1000, 1000, 1000, 1000]
+    assert all(len(ids) <= 1000 for ids, _ in blocks) and not any(set(a[1]) & set(b[1]) for a, b in zip(blocks, blocks[1:]))
+
+
+def test_words_of_like_use_have_like_vectors(spark):
+    r = np.random.default_rng(0)
+    groups = [[f"{g}{i}" for i in range(6)] for g in "ab"]
+    texts = [([groups[k % 2][i] for i in r.integers(0, 6, 40)],) for k in range(120)]
+    # texts without a list count as empty, and words without neighbours have a vector too
+    df = spark.createDataFrame([*texts, (None,), ([],), (["alone"],), (["alone"],), (["rare", None],)], "w array<string>").coalesce(1)
+    got = {x["word"]: np.array(x["vector"]) for x in text.word_vectors(df, "w", 8, 2, partitions=2).collect()}
+    assert set(got) == {*groups[0], *groups[1], "alone"} and all(len(v) == 8 and np.isfinite(v).all() for v in got.values())
+    unit = {w: v / np.linalg.norm(v) for w, v in got.items()}
+    same = [unit[a] @ unit[b] for g in groups for a in g for b in g if a < b]
+    other = [unit[a] @ unit[b] for a in groups[0] for b in groups[1]]
+    assert min(same) > max(other)
+    again = {x["word"]: np.array(x["vector"]) for x in text.word_vectors(df, "w", 8, 2, partitions=2).collect()}
+    assert all((again[w] == v).all() for w, v in got.items())
+    with pytest.raises(ValueError):
+        text.word_vectors(df, "w", 8, 10**6)
+
+
 def test_factors_of_any_keys(spark):
     rows = [(f"user {u}", (1 << 40) + i, float(1 + u % 3 + i % 2)) for u in range(12) for i in range(8) if (u + i) % 5]
     df = spark.createDataFrame([*rows, (None, 1 << 40, 3.0)], "u string, i long, r double")
