@@ -19,7 +19,7 @@ WIDTHS = np.array([1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 48, 64, 96, 128, 192
 WINDOW, SENTENCE = 5, 1000
 #: A part is trained in about so many steps, or more, so that none has more words than BLOCK.
 STEPS, BLOCK = 64, 100_000
-RATE = 0.1
+RATE = 0.2
 
 
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
